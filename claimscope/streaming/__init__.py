@@ -1,0 +1,9 @@
+"""Streaming.
+
+The reference has no streaming logic (every input is a one-shot file read;
+no watermark, window, state or late data), so nothing is built here.  All
+operators are plain DataFrame functions, so a user can apply the claim-level
+ones (expressions, tagging, joins to static dimension tables) to a
+``readStream`` DataFrame unchanged; aggregating reports would need an output
+mode and watermark the reference never defines.
+"""
