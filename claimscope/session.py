@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CLAIMSCOPE_DRIVER_MEMORY", "16g"))
+        .config("spark.sql.constraintPropagation.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,3 +45,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def limit_constraint_inference(spark: SparkSession) -> None:
+    """Switch off Catalyst's constraint propagation for this session.
+
+    Feature tables derive many columns from the same inputs and then filter
+    every one for nulls; inferring filters from those constraints grows
+    combinatorially with the number of aliased expressions and made planning
+    (not execution) of the modelling queries take minutes.  Nothing in these
+    plans depends on inferred filters: the scans' own filters are explicit.
+    """
+    if spark.conf.get("spark.sql.constraintPropagation.enabled", "true") != "false":
+        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
