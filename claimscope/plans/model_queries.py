@@ -225,24 +225,54 @@ def _features_c_model(spark, d):
     return df, feats
 
 
-@query("m09_rf_report", None, ("M9", "M3", "M5", "M11", "M12"))
-def m09_rf_report(spark, d):
-    """Random forest, 100 trees of depth 10, on feature variant C."""
+def _smote_parts(spark, d):
+    """Variant C split 80/20; the training part balanced with SMOTE."""
+    from claimscope.operators.smote import smote
+
     df, feats = _features_c_model(spark, d)
-    s = FE.stratified_split(df).persist()
-    model = MO.fit_rf(s.where(~F.col("is_test")), feats, trees=100, depth=10)
-    pred = MO.predict(model, s.where(F.col("is_test")), feats).persist()
+    s = FE.stratified_split(df).checkpoint()
+    train = smote(s.where(~F.col("is_test")), feats).checkpoint()
+    return train, s.where(F.col("is_test")), feats
+
+
+def _report(model, val, feats):
+    pred = MO.predict(model, val, feats).persist()
     auc = ME.roc_auc(pred).select("auc").scalar()
     return ME.classification_report(pred).withColumn("auc", auc)
 
 
-@query("m10_feature_importance", None, ("M10", "M8", "M3"))
+@query("m18_smote", None, ("M18", "M3", "M5"))
+def m18_smote(spark, d):
+    train, _, _ = _smote_parts(spark, d)
+    return train
+
+
+@query("m18_smote_gbt_report", None, ("M18", "M8", "M11", "M12"))
+def m18_smote_gbt_report(spark, d):
+    """Boosted trees (100 rounds, depth 5, rate 0.1) on the SMOTE-balanced
+    training part, scored on the untouched validation part."""
+    train, val, feats = _smote_parts(spark, d)
+    return _report(MO.fit_gbt(train, feats, rounds=100, depth=5, rate=0.1), val, feats)
+
+
+@query("m09_rf_report", None, ("M9", "M18", "M11", "M12"))
+def m09_rf_report(spark, d):
+    """Random forest, 100 trees of depth 10, on the SMOTE-balanced part."""
+    train, val, feats = _smote_parts(spark, d)
+    return _report(MO.fit_rf(train, feats, trees=100, depth=10), val, feats)
+
+
+@query("m07_smote_logistic_report", None, ("M7", "M18", "M11", "M12"))
+def m07_smote_logistic_report(spark, d):
+    train, val, feats = _smote_parts(spark, d)
+    return _report(MO.fit_logistic(train, feats), val, feats)
+
+
+@query("m10_feature_importance", None, ("M10", "M8", "M18"))
 def m10_feature_importance(spark, d):
-    """Top-20 importances of boosted trees (100 rounds, depth 5, rate 0.1)
-    on feature variant C."""
-    df, feats = _features_c_model(spark, d)
-    s = FE.stratified_split(df).persist()
-    model = MO.fit_gbt(s.where(~F.col("is_test")), feats, rounds=100, depth=5, rate=0.1)
+    """Top-20 importances of the boosted trees trained after SMOTE."""
+    train, _, feats = _smote_parts(spark, d)
+    model = MO.fit_gbt(train, feats, rounds=100, depth=5, rate=0.1)
     return MO.feature_importance(model, feats, 20)
 
 

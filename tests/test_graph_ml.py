@@ -180,3 +180,39 @@ def test_explanation_text(spark):
     assert "- f2: -2.0000\n- f1: 0.5000\n" in p
     assert p.startswith("\nYou are a healthcare fraud detection analyst. A model has flagged")
     assert p.endswith("based on these features.")
+
+
+def test_exact_knn_matches_bruteforce(spark):
+    from claimscope.operators.smote import nearest_neighbors
+
+    rng = np.random.default_rng(7)
+    pts = rng.normal(size=(300, 4)) * np.array([50.0, 1.0, 3.0, 0.2])
+    pts[10] = pts[11]  # a duplicate pair
+    rows = [(str(i), [float(v) for v in p], float(p[0])) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "k string, x array<double>, _p double")
+    got = {}
+    for r in nearest_neighbors(df, "k", 5).collect():
+        got.setdefault(r.k, []).append((r.nn, r.nbr))
+    for i, p in enumerate(pts):
+        d = np.sqrt(((pts - p) ** 2).sum(axis=1))
+        order = sorted((d[j], str(j)) for j in range(len(pts)) if j != i)[:5]
+        assert [n for _, n in sorted(got[str(i)])] == [s for _, s in order]
+
+
+def test_smote_balances_inside_minority_box(spark):
+    from claimscope.operators.smote import smote
+
+    rng = np.random.default_rng(3)
+    data = [(f"a{i}", float(x), float(y), 0) for i, (x, y) in enumerate(rng.normal(size=(20, 2)))]
+    data += [(f"b{i}", float(x) + 5, float(y) * 2, 1) for i, (x, y) in enumerate(rng.normal(size=(6, 2)))]
+    df = spark.createDataFrame(data, "RowID string, f1 double, f2 double, FraudLabel int")
+    out = smote(df, ["f1", "f2"], k=5)
+    counts = {r.FraudLabel: r["count"] for r in out.groupBy("FraudLabel").count().collect()}
+    assert counts == {0: 20, 1: 20}
+    assert out.where("synthetic").count() == 14
+    mn = [min(r[i] for r in data if r[3] == 1) for i in (1, 2)]
+    mx = [max(r[i] for r in data if r[3] == 1) for i in (1, 2)]
+    for r in out.where("synthetic").collect():
+        assert mn[0] - 1e-9 <= r.f1 <= mx[0] + 1e-9 and mn[1] - 1e-9 <= r.f2 <= mx[1] + 1e-9
+    again = smote(df, ["f1", "f2"], k=5).where("synthetic")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.where("synthetic").collect()))
