@@ -21,15 +21,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a fact-table scan at least one partition per core.
+
+    A parquet split never cuts a row group, so a file written as a single
+    row group is read by ONE task and all per-row work before the first
+    shuffle runs on one core.  On a cluster the fact data spans many files
+    and row groups and this is a no-op; only when the scan has fewer
+    partitions than the cluster has cores are the (already pruned and
+    filtered) rows dealt round-robin to every core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def _id(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix), key.cast("string"))
 
 
 def claims_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim per line item (``lineitem`` joined to ``orders``)."""
-    li = _table(spark, sf_dir, "lineitem").select(
+    li = spread(_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate"
-    )
+    ))
     od = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(od, li.l_orderkey == od.o_orderkey)
 
