@@ -93,7 +93,7 @@ def _m2_sql() -> str:
   cast(case PotentialFraud when 'Yes' then 1 when 'No' then 0 end as integer) as FraudLabel from claims_full"""
 
 
-@query("m02_features_b", _m2_sql(), ("M2", "P11", "P8", "P4"))
+@query("m02_features_b", _m2_sql(), ("M2", "P11", "P8", "P4", "F3"))
 def m02_features_b(spark, d):
     return FE.features_b(fx.claims_full(spark, d))
 
