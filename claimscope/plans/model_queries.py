@@ -47,6 +47,18 @@ SPLIT_SQL = f"""select *, rn <= (n * 20 + 99) // 100 as is_test from (
 EXTRA = [("m1", M1_SQL), ("split", SPLIT_SQL)]
 
 
+_MEMO: dict = {}
+
+
+def memo(spark, d, name, fn):
+    """Compute once per (session, data folder): fitted models (driver-side
+    objects) and checkpointed training sets shared by several queries."""
+    key = (id(spark.sparkContext), spark.sparkContext.applicationId, d, name)
+    if key not in _MEMO:
+        _MEMO[key] = fn()
+    return _MEMO[key]
+
+
 def m1(spark, d):
     return FE.features_a(FE.enriched_claims(valid_stay(fx.claims_full(spark, d))))
 
@@ -175,20 +187,31 @@ def m06_one_hot(spark, d):
 
 # ------------------------------------------------------------ models
 def _train_val(spark, d):
-    s = split(spark, d).persist()
+    s = memo(spark, d, "split", lambda: split(spark, d).checkpoint())
     return s.where(~F.col("is_test")), s.where(F.col("is_test"))
 
 
+def _default_gbt(spark, d):
+    """Boosted trees with the library defaults on M1 (shared by M14/M15)."""
+    tr, _ = _train_val(spark, d)
+    return memo(spark, d, "gbt_default", lambda: MO.fit_gbt(tr, M1_MODEL))
+
+
 @query("m07_logistic_predictions", None, ("M7",))
 def m07_logistic_predictions(spark, d):
     tr, va = _train_val(spark, d)
-    return MO.predict(MO.fit_logistic(tr, M1_MODEL), va, M1_MODEL)
+    return MO.predict(_logistic(spark, d), va, M1_MODEL)
+
+
+def _logistic(spark, d):
+    tr, _ = _train_val(spark, d)
+    return memo(spark, d, "logistic", lambda: MO.fit_logistic(tr, M1_MODEL))
 
 
 @query("m07_logistic_report", None, ("M7", "M11", "M12"))
 def m07_logistic_report(spark, d):
     tr, va = _train_val(spark, d)
-    pred = MO.predict(MO.fit_logistic(tr, M1_MODEL), va, M1_MODEL).persist()
+    pred = MO.predict(_logistic(spark, d), va, M1_MODEL).persist()
     auc = ME.roc_auc(pred).select("auc").scalar()
     return ME.classification_report(pred).withColumn("auc", auc)
 
@@ -229,10 +252,13 @@ def _smote_parts(spark, d):
     """Variant C split 80/20; the training part balanced with SMOTE."""
     from claimscope.operators.smote import smote
 
-    df, feats = _features_c_model(spark, d)
-    s = FE.stratified_split(df).checkpoint()
-    train = smote(s.where(~F.col("is_test")), feats).checkpoint()
-    return train, s.where(F.col("is_test")), feats
+    def build():
+        df, feats = _features_c_model(spark, d)
+        s = FE.stratified_split(df).checkpoint()
+        train = smote(s.where(~F.col("is_test")), feats).checkpoint()
+        return train, s.where(F.col("is_test")), feats
+
+    return memo(spark, d, "smote_parts", build)
 
 
 def _report(model, val, feats):
@@ -252,7 +278,12 @@ def m18_smote_gbt_report(spark, d):
     """Boosted trees (100 rounds, depth 5, rate 0.1) on the SMOTE-balanced
     training part, scored on the untouched validation part."""
     train, val, feats = _smote_parts(spark, d)
-    return _report(MO.fit_gbt(train, feats, rounds=100, depth=5, rate=0.1), val, feats)
+    return _report(_smote_gbt(spark, d), val, feats)
+
+
+def _smote_gbt(spark, d):
+    train, _, feats = _smote_parts(spark, d)
+    return memo(spark, d, "smote_gbt", lambda: MO.fit_gbt(train, feats, rounds=100, depth=5, rate=0.1))
 
 
 @query("m09_rf_report", None, ("M9", "M18", "M11", "M12"))
@@ -271,9 +302,8 @@ def m07_smote_logistic_report(spark, d):
 @query("m10_feature_importance", None, ("M10", "M8", "M18"))
 def m10_feature_importance(spark, d):
     """Top-20 importances of the boosted trees trained after SMOTE."""
-    train, _, feats = _smote_parts(spark, d)
-    model = MO.fit_gbt(train, feats, rounds=100, depth=5, rate=0.1)
-    return MO.feature_importance(model, feats, 20)
+    _, _, feats = _smote_parts(spark, d)
+    return MO.feature_importance(_smote_gbt(spark, d), feats, 20)
 
 
 @query("m13_cross_validation", None, ("M13", "M8", "M11", "M12"))
@@ -385,33 +415,29 @@ def m15_explanation_fixed(spark, d):
 
 @query("m14_tree_contributions", None, ("M14", "F4"))
 def m14_tree_contributions(spark, d):
-    tr, va = _train_val(spark, d)
-    model = MO.fit_gbt(tr, M1_MODEL)
-    contrib, base = E.tree_contributions(model, va, M1_MODEL)
+    _, va = _train_val(spark, d)
+    contrib, base = E.tree_contributions(_default_gbt(spark, d), va, M1_MODEL)
     return contrib.withColumn("base", F.lit(base))
 
 
 @query("m14_mean_abs_contribution", None, ("M14",))
 def m14_mean_abs_contribution(spark, d):
-    tr, va = _train_val(spark, d)
-    model = MO.fit_gbt(tr, M1_MODEL)
-    contrib, _ = E.tree_contributions(model, va, M1_MODEL)
+    _, va = _train_val(spark, d)
+    contrib, _ = E.tree_contributions(_default_gbt(spark, d), va, M1_MODEL)
     return E.mean_abs_contribution(contrib, 10)
 
 
 @query("m14_linear_contributions", None, ("M14", "M7"))
 def m14_linear_contributions(spark, d):
     tr, va = _train_val(spark, d)
-    model = MO.fit_logistic(tr, M1_MODEL)
-    contrib, base = E.linear_contributions(model, tr, va, M1_MODEL)
+    contrib, base = E.linear_contributions(_logistic(spark, d), tr, va, M1_MODEL)
     return contrib.withColumn("base", F.lit(base))
 
 
 @query("m15_explanation_model", None, ("M15", "M14"))
 def m15_explanation_model(spark, d):
-    tr, va = _train_val(spark, d)
-    model = MO.fit_gbt(tr, M1_MODEL)
-    contrib, _ = E.tree_contributions(model, va, M1_MODEL, keep=["FraudLabel"])
+    _, va = _train_val(spark, d)
+    contrib, _ = E.tree_contributions(_default_gbt(spark, d), va, M1_MODEL, keep=["FraudLabel"])
     return E.explanation_prompt(contrib)
 
 

@@ -135,3 +135,17 @@ def test_tokens_lowercase_and_min_length(spark):
     df = spark.createDataFrame([("r1", "A b1 B1 nan"), ("r2", "b1")], "k string, t string")
     out = {(r.k, r.term): r.tf for r in tfidf(df, "k", "t").collect()}
     assert out == {("r1", "b1"): 2, ("r1", "nan"): 1, ("r2", "b1"): 1}
+
+
+def test_overlap_count_grouped_equals_window(spark):
+    import random
+
+    rnd = random.Random(5)
+    data = []
+    for i in range(400):
+        b = f"B{rnd.randint(0, 6)}"
+        s = D(2009, 1, 1) + dt.timedelta(days=rnd.randint(0, 40))
+        e = s + dt.timedelta(days=rnd.randint(-2, 6))
+        data.append((b, s, e, f"C{rnd.randint(0, 150)}"))
+    df = spark.createDataFrame(data, "BeneID string, ClaimStartDt date, ClaimEndDt date, ClaimID string")
+    assert W.overlap_count(df).first()[0] == W.overlap_count_window(df).first()[0]
