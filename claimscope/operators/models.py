@@ -33,9 +33,12 @@ def training_input(df: DataFrame, features: Sequence[str], label: str) -> DataFr
     would serialise the per-iteration passes of the estimators), cached for
     the many passes iterative training makes."""
     data = assemble(df, features).select(label, "features")
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < cores:
-        data = data.repartition(cores)
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if data.rdd.getNumPartitions() < cores:
+            data = data.repartition(cores)
+    except Exception:  # sessions without RDD access: keep the planner's partitioning
+        pass
     return data.persist()
 
 

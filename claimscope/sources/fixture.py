@@ -30,10 +30,12 @@ def spread(df: DataFrame) -> DataFrame:
     and row groups and this is a no-op; only when the scan has fewer
     partitions than the cluster has cores are the (already pruned and
     filtered) rows dealt round-robin to every core."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the plan as is
+        return df
+    return df.repartition(cores) if parts < cores else df
 
 
 def _id(prefix: str, key: Column) -> Column:
