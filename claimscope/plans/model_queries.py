@@ -100,7 +100,7 @@ def _m2_sql() -> str:
            + ["IPAnnualReimbursementAmt", "IPAnnualDeductibleAmt", "OPAnnualReimbursementAmt", "OPAnnualDeductibleAmt"])
     cols = [f"coalesce(cast({c} as double), 0.0) as {c}" for c in num]
     cols += [f"coalesce(try_cast({c} as double), 0.0) as {c}" for c in _B_TEXT]
-    cols += [f"0.0 as {c}" for c in _B_DATES]
+    cols += [f"cast(0.0 as double) as {c}" for c in _B_DATES]
     return f"""select {RID_SQL} as RowID, {", ".join(cols)},
   cast(case PotentialFraud when 'Yes' then 1 when 'No' then 0 end as integer) as FraudLabel from claims_full"""
 

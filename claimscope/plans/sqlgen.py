@@ -111,7 +111,7 @@ w as (select {hue_sel}x, count(*) as w from base group by all),
 p as (select {hue_sel}count(*) as n, stddev_samp(x) as sd, min(x) as lo, max(x) as hi from base group by all),
 pb as (select *, sd * pow(cast(n as double), -0.2) as bw from p),
 g as (select range as i from range({grid}))
-select {hue_sel}i as point, round(lo + i * (hi - lo) / {grid - 1}, 6) as x,
+select {hue_sel}cast(i as integer) as point, round(lo + i * (hi - lo) / {grid - 1}, 6) as x,
   round(sum(w * exp(-0.5 * ((lo + i * (hi - lo) / {grid - 1} - x) / bw) * ((lo + i * (hi - lo) / {grid - 1} - x) / bw)))
         / (n * bw * sqrt(2 * pi())), 8) as density
 from w join pb {join} cross join g
