@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from claimscope.llm.language_id import op5_language_id
 from claimscope.llm.substring_dedup import op9_substring_dedup
 
 QUERIES = {
+    "op5_language_id": op5_language_id,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
