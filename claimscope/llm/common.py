@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TEXT_HASH = "__cs_th"
+KEY, TEXT_HASH = "__cs_key", "__cs_th"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +45,17 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``__cs_id``, ``__cs_th`` (hash of the text) and ``__cs_text``: the identity of a document is id and hash."""
+    """``__cs_id``, ``__cs_key``, ``__cs_th`` and ``__cs_text``.
+
+    A document's identity is the pair of its key (hash of id and text) and the hash of its text, never null.
+    """
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).alias("__cs_id"), *identity(id_col, text_col), text.alias("__cs_text"))
+
+
+def identity(id_col: str, text_col: str) -> list[Column]:
     text = text_or_empty(text_col)
-    return docs.select(F.col(id_col).alias("__cs_id"), F.xxhash64(text).alias(TEXT_HASH), text.alias("__cs_text"))
+    return [F.xxhash64(F.col(id_col), F.lit(0), text).alias(KEY), F.xxhash64(text).alias(TEXT_HASH)]
 
 
 def text_chunks(texts: list[str], max_chars: int = 1 << 20, max_rows: int = 4096) -> Iterator[tuple[int, int]]:

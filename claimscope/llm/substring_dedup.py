@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import TEXT_HASH, batch_of, keyed_texts, taken, text_chunks, text_or_empty, written
+from claimscope.llm.common import KEY, TEXT_HASH, batch_of, identity, keyed_texts, taken, text_chunks, text_or_empty, written
 from claimscope.llm.words import _powers, mix64, sentences_of, words_of
 
 MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 24, 50
@@ -58,19 +58,19 @@ def spans_of(texts: list[str], min_sentences: int, min_words: int, long_sentence
 
 
 def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, long_sentence: int = LONG_SENTENCE) -> DataFrame:
-    """``__cs_id``, ``__cs_th``, ``start``, ``end`` and ``span`` (hash) of every run of every text."""
+    """``__cs_id``, ``__cs_key``, ``__cs_th``, ``start``, ``end`` and ``span`` (hash) of every run of every text."""
     if not 1 <= min_sentences or min_words < 1 or long_sentence < min_words:
         raise ValueError("need min_sentences >= 1 and 1 <= min_words <= long_sentence")
     keyed = keyed_texts(docs, id_col, text_col)
-    out = T.StructType([keyed.schema["__cs_id"], keyed.schema[TEXT_HASH]] + [T.StructField(c, T.LongType()) for c in ("start", "end", "span")])
+    out = T.StructType([keyed.schema[c] for c in ("__cs_id", KEY, TEXT_HASH)] + [T.StructField(c, T.LongType()) for c in ("start", "end", "span")])
 
     def spans(batches):
         for b in batches:
             texts = b.column("__cs_text").to_pylist()
-            schema = pa.schema([("__cs_id", b.schema.field("__cs_id").type), (TEXT_HASH, pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("span", pa.int64())])
+            schema = pa.schema([("__cs_id", b.schema.field("__cs_id").type), (KEY, pa.int64()), (TEXT_HASH, pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("span", pa.int64())])
             for i, j in text_chunks(texts):
                 d, start, end, h = spans_of(texts[i:j], min_sentences, min_words, long_sentence)
-                yield batch_of(schema, __cs_id=taken(b.column("__cs_id"), d + i), __cs_th=taken(b.column(TEXT_HASH), d + i), start=start, end=end, span=h.view(np.int64))
+                yield batch_of(schema, __cs_id=taken(b.column("__cs_id"), d + i), __cs_key=taken(b.column(KEY), d + i), __cs_th=taken(b.column(TEXT_HASH), d + i), start=start, end=end, span=h.view(np.int64))
 
     return keyed.mapInArrow(spans, out)
 
@@ -86,12 +86,12 @@ def merged(ranges) -> list[tuple[int, int]]:
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
-    """``__cs_id``, ``__cs_th`` and ``__cs_cut`` (start and end of each non-first run) of documents that have any."""
+    """``__cs_key``, ``__cs_th`` and ``__cs_cut`` (start and end of each non-first run) of documents that have any."""
     spans = written(sentence_spans(docs, id_col, text_col, **sizes), "spans")
-    place = F.struct("__cs_id", TEXT_HASH, "start")
+    place = F.struct("__cs_id", TEXT_HASH, KEY, "start")
     seen = spans.groupBy("span").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     again = spans.join(seen.where("n > 1").drop("n"), "span").where(~place.eqNullSafe(F.col("first")))
-    return again.groupBy("__cs_id", TEXT_HASH).agg(F.collect_set(F.struct("start", "end")).alias("__cs_cut"))
+    return again.groupBy(KEY, TEXT_HASH).agg(F.collect_set(F.struct("start", "end")).alias("__cs_cut"))
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
@@ -104,9 +104,8 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     cut_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     docs = docs.drop("cuts").withColumn(text_col, text_or_empty(text_col))
     cuts = repeated_ranges(docs, id_col, text_col, **sizes)
-    left = docs.withColumn(TEXT_HASH, F.xxhash64(F.col(text_col)))
-    cuts = cuts.withColumnsRenamed({"__cs_id": "__cs_rid", TEXT_HASH: "__cs_rth"})
-    both = left.join(cuts, F.col(id_col).eqNullSafe(F.col("__cs_rid")) & (F.col(TEXT_HASH) == F.col("__cs_rth")), "left")
+    left = docs.withColumns(dict(zip((KEY, TEXT_HASH), identity(id_col, text_col), strict=True)))
+    both = left.join(cuts, [KEY, TEXT_HASH], "left")
     both = both.select(*docs.columns, "__cs_cut")
     out = T.StructType([*docs.schema.fields, T.StructField("cuts", cut_type)])
 
