@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from claimscope.llm.decontaminate import op8_decontamination
 from claimscope.llm.language_id import op5_language_id
 from claimscope.llm.near_dedup import op4_minhash_near_dedup
 from claimscope.llm.substring_dedup import op9_substring_dedup
@@ -9,6 +10,7 @@ from claimscope.llm.substring_dedup import op9_substring_dedup
 QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_language_id": op5_language_id,
+    "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
