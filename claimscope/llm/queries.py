@@ -5,6 +5,7 @@ from __future__ import annotations
 from claimscope.llm.decontaminate import op8_decontamination
 from claimscope.llm.language_id import op5_language_id
 from claimscope.llm.near_dedup import op4_minhash_near_dedup
+from claimscope.llm.packing import op10_packing
 from claimscope.llm.substring_dedup import op9_substring_dedup
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
