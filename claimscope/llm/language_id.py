@@ -179,7 +179,7 @@ def keep_known_language(docs: DataFrame, labelled: DataFrame | None = None, min_
     """Rows of ``docs`` in a known language: those with ``und`` or a score under ``min_score`` go."""
     model = train(docs if labelled is None else labelled)
     alias = {c: f"__cs_c{i}" for i, c in enumerate(docs.columns)}  # no input column can clash with a result's
-    moved = docs.select(*[F.col(c).alias(a) for c, a in alias.items()], text_or_empty().alias("__cs_text"))
-    scored = predict(moved, model, "__cs_text")
+    moved = docs.select(*[F.col(c).alias(a) for c, a in alias.items()])
+    scored = predict(moved, model, alias["text"])
     kept = scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
     return kept.select(*[F.col(a).alias(c) for c, a in alias.items()])
