@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from claimscope.llm.decontaminate import op8_decontamination
+from claimscope.llm.fingerprints import OP6_SQL, op6_fingerprints
 from claimscope.llm.language_id import op5_language_id
 from claimscope.llm.near_dedup import op4_minhash_near_dedup
 from claimscope.llm.packing import op10_packing
@@ -11,9 +12,12 @@ from claimscope.llm.substring_dedup import op9_substring_dedup
 QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_language_id": op5_language_id,
+    "op6_fingerprints": op6_fingerprints,
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_fingerprints": OP6_SQL,
+}
