@@ -8,8 +8,10 @@ from claimscope.llm.language_id import op5_language_id
 from claimscope.llm.near_dedup import op4_minhash_near_dedup
 from claimscope.llm.packing import op10_packing
 from claimscope.llm.substring_dedup import op9_substring_dedup
+from claimscope.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": OP2_SQL,
     "op6_fingerprints": OP6_SQL,
 }
