@@ -8,13 +8,17 @@ from claimscope.llm.language_id import op5_language_id
 from claimscope.llm.near_dedup import op4_minhash_near_dedup
 from claimscope.llm.packing import op10_packing
 from claimscope.llm.substring_dedup import op9_substring_dedup
+from claimscope.llm.token_counts import op3_token_counts
+from claimscope.llm.url_lists import OP7_SQL, op7_url_lists
 from claimscope.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_token_counts": op3_token_counts,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
+    "op7_url_lists": op7_url_lists,
     "op8_decontamination": op8_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_packing": op10_packing,
@@ -23,4 +27,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op6_fingerprints": OP6_SQL,
+    "op7_url_lists": OP7_SQL,
 }
