@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from claimscope.llm.decontaminate import op8_decontamination
 from claimscope.llm.fingerprints import OP6_SQL, op6_fingerprints
+from claimscope.llm.html_extract import op1_html_text
 from claimscope.llm.language_id import op5_language_id
 from claimscope.llm.near_dedup import op4_minhash_near_dedup
 from claimscope.llm.packing import op10_packing
@@ -13,6 +14,7 @@ from claimscope.llm.url_lists import OP7_SQL, op7_url_lists
 from claimscope.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_warc": op2_warc,
     "op3_token_counts": op3_token_counts,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
