@@ -52,9 +52,11 @@ def bipartite_vertices(claims: DataFrame) -> DataFrame:
 
 # G2
 def bipartite_edges(claims: DataFrame) -> DataFrame:
-    """One patient -> provider edge per claim (parallel edges kept)."""
+    """One patient -> provider edge per claim (parallel edges kept), with the
+    provider label if the claims have it."""
+    label = ["PotentialFraud"] if "PotentialFraud" in claims.columns else []
     return claims.selectExpr(
-        "BeneID as src", "Provider as dst", "InscClaimAmtReimbursed", "ClaimStartDt", "ClaimEndDt", "PotentialFraud"
+        "BeneID as src", "Provider as dst", "InscClaimAmtReimbursed", "ClaimStartDt", "ClaimEndDt", *label
     )
 
 

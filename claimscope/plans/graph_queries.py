@@ -17,8 +17,8 @@ from claimscope.plans.base import query, rounded
 from claimscope.sources import fixture as fx
 
 
-def _claims(spark, d):
-    return fx.claims_full(spark, d)
+def _claims(spark, d, *sides):
+    return fx.claims_with(spark, d, *sides)
 
 
 BI_V = """select distinct BeneID as id, 'patient' as type from claims_full
@@ -46,7 +46,7 @@ def g01_bipartite_vertices(spark, d):
 select BeneID as src, Provider as dst, InscClaimAmtReimbursed, ClaimStartDt, ClaimEndDt, PotentialFraud from claims_full
 """, ("G2", "P15"))
 def g02_bipartite_edges(spark, d):
-    return G.bipartite_edges(_claims(spark, d))
+    return G.bipartite_edges(_claims(spark, d, fx.LABEL))
 
 
 @query("g03_tripartite_vertices", """
@@ -77,7 +77,7 @@ def g04_tripartite_edges(spark, d):
 
 @query("g05_provider_edges", G5_E, ("G5", "P7", "P10"))
 def g05_provider_edges(spark, d):
-    return G.provider_edges(_claims(spark, d))
+    return G.provider_edges(_claims(spark, d, fx.LABEL))
 
 
 @query("g06_node_attributes", f"""
@@ -88,7 +88,7 @@ from (select distinct id from (select src as id from ({G5_E}) union all select d
 left join ({FRAUD_IDS}) f on n.id = f.id
 """, ("G6", "P5"))
 def g06_node_attributes(spark, d):
-    c = _claims(spark, d)
+    c = _claims(spark, d, fx.LABEL)
     return G.node_attributes(G.provider_edges(c), G.fraud_ids(c))
 
 
@@ -147,13 +147,13 @@ def g09_label_propagation(spark, d):
 
 @query("o03_sample_chunks", SAMPLE, ("O3", "G11"))
 def o03_sample_chunks(spark, d):
-    s = G.sample_chunks(G.provider_edges(_claims(spark, d)), SUBGRAPH_EDGES, SUBGRAPH_COUNT, SEED)
+    s = G.sample_chunks(G.provider_edges(_claims(spark, d, fx.LABEL)), SUBGRAPH_EDGES, SUBGRAPH_COUNT, SEED)
     return s.select("src", "dst", "relationship", F.col("rn").cast("int").alias("rn"), "chunk")
 
 
 @query("g10_simple_subgraphs", SIMPLE, ("G10", "G11"))
 def g10_simple_subgraphs(spark, d):
-    s = G.sample_chunks(G.provider_edges(_claims(spark, d)), SUBGRAPH_EDGES, SUBGRAPH_COUNT, SEED)
+    s = G.sample_chunks(G.provider_edges(_claims(spark, d, fx.LABEL)), SUBGRAPH_EDGES, SUBGRAPH_COUNT, SEED)
     return G.simple_graph(s, ["chunk"])
 
 
@@ -165,6 +165,6 @@ from (select distinct chunk, id from (select chunk, u as id from ({SIMPLE}) unio
 left join ({FRAUD_IDS}) f on n.id = f.id
 """, ("G11", "G6", "G10"))
 def g11_subgraph_nodes(spark, d):
-    c = _claims(spark, d)
+    c = _claims(spark, d, fx.LABEL)
     _, nodes = G.sample_subgraphs(G.provider_edges(c), G.fraud_ids(c), SUBGRAPH_EDGES, SUBGRAPH_COUNT, SEED)
     return nodes

@@ -6,16 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimscope.plans import report_queries  # noqa: F401  (registers)
+from claimscope.plans import graph_queries, model_queries, report_queries  # noqa: F401  (register)
 from claimscope.plans.base import REGISTRY, Query
 
-for _mod in ("graph_queries", "model_queries"):
-    try:
-        __import__(f"claimscope.plans.{_mod}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if _mod not in str(e):
-            raise
-
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q.build for name, q in REGISTRY.items()}

@@ -41,20 +41,22 @@ from claimscope.plans.sqlgen import (
     stack_sql,
 )
 from claimscope.sources import fixture as fx
+from claimscope.sources.fixture import LABEL, PATIENT
 
 CLAIM_COLS_N = 31
 
 
-def full(spark, d):
-    return fx.claims_full(spark, d)
+def full(spark, d, *sides):
+    """All claims with the columns of the named sides."""
+    return fx.claims_with(spark, d, *sides)
 
 
-def valid(spark, d):
-    return valid_stay(fx.claims_full(spark, d))
+def valid(spark, d, *sides):
+    return valid_stay(full(spark, d, *sides))
 
 
-def valid_dup(spark, d):
-    return valid_stay(fx.claims_dup(spark, d))
+def valid_dup(spark, d, *sides):
+    return valid_stay(fx.with_second_copies(full(spark, d, *sides)))
 
 
 # ---------------------------------------------------------------- sources
@@ -89,7 +91,7 @@ def s06_head(spark, d):
     from claimscope.sources.readers import head
 
     cf = windows.with_row_id(
-        full(spark, d),
+        full(spark, d, LABEL),
         ["ClaimID", "Provider", "BeneID", "ClaimStartDt", "ClaimEndDt", "AttendingPhysician", "InscClaimAmtReimbursed"],
         "rid",
     )
@@ -106,7 +108,7 @@ def s03_code_lookup(spark, d):
 # ---------------------------------------------------------------- joins / union
 @query("j01_claims_full", "select * from claims_full", ("J1", "J2", "U1", "P1"), headline=True)
 def j01_claims_full(spark, d):
-    return full(spark, d)
+    return full(spark, d, PATIENT, LABEL)
 
 
 @query("u01_union_claims", """
@@ -155,7 +157,7 @@ select PotentialFraud, count(*) as count,
 from claims_full where PotentialFraud is not null group by PotentialFraud
 """, ("A1", "W5", "X14"))
 def a01_label_distribution(spark, d):
-    return R.label_distribution(full(spark, d))
+    return R.label_distribution(full(spark, d, LABEL))
 
 
 @query("a02_claims_per_provider", """
@@ -190,7 +192,7 @@ select Condition, PotentialFraud as Fraud,
 from ({chronic_long_sql('claims_full', 'PotentialFraud is not null')}) group by Condition, PotentialFraud
 """, ("A5", "P13", "U5", "U8"))
 def a05_chronic_percent(spark, d):
-    return R.chronic_percent(full(spark, d))
+    return R.chronic_percent(full(spark, d, PATIENT, LABEL))
 
 
 @query("a06_chronic_mean_raw", f"""
@@ -200,7 +202,7 @@ select Condition,
 from ({chronic_long_sql('claims_full', 'PotentialFraud is not null')}) group by Condition
 """, ("A6", "U7", "U8"))
 def a06_chronic_mean_raw(spark, d):
-    return R.chronic_mean_raw(full(spark, d))
+    return R.chronic_mean_raw(full(spark, d, PATIENT, LABEL))
 
 
 @query("a07_condition_fraud_stats", f"""
@@ -214,7 +216,7 @@ select replace(Condition, 'ChronicCond_', '') as Condition, count(*) as TotalWit
 from ({chronic_long_sql('claims_full')}) where flag = 1 group by Condition
 """, ("A7", "X12", "X14", "P5"))
 def a07_condition_fraud_stats(spark, d):
-    return R.condition_fraud_stats(full(spark, d))
+    return R.condition_fraud_stats(full(spark, d, PATIENT, LABEL))
 
 
 @query("a08_condition_fraud_long", f"""
@@ -227,7 +229,7 @@ union all
 select Condition, 'No', coalesce(case when y + n = 0 then null else cast(n as double) / (y + n) end * 100, 0.0) from s
 """, ("A8", "U5", "X12"))
 def a08_condition_fraud_long(spark, d):
-    return R.condition_fraud_long(full(spark, d))
+    return R.condition_fraud_long(full(spark, d, PATIENT, LABEL))
 
 
 def _describe(name, table_sql, build, value, ops=("A9",)):
@@ -238,9 +240,9 @@ def _describe(name, table_sql, build, value, ops=("A9",)):
     return _q
 
 
-_describe("a09_describe_reimbursed", "claims_full", full, "InscClaimAmtReimbursed")
+_describe("a09_describe_reimbursed", "claims_full", lambda s, d: full(s, d, LABEL), "InscClaimAmtReimbursed")
 _describe("a09_describe_stay", "(select *, ClaimEndDt - ClaimStartDt as LengthOfStay from valid_claims)",
-          lambda s, d: with_length_of_stay(valid(s, d)), "LengthOfStay", ("A9", "X3", "P6"))
+          lambda s, d: with_length_of_stay(valid(s, d, LABEL)), "LengthOfStay", ("A9", "X3", "P6"))
 _describe("a09_describe_physicians", """(
   select pp.Provider, pp.NumUniquePhysicians, l.PotentialFraud from (
     select Provider, count(distinct Physician) as NumUniquePhysicians from (
@@ -249,22 +251,22 @@ _describe("a09_describe_physicians", """(
       union all select Provider, OtherPhysician from valid_claims) where Provider is not null and Physician is not null
     group by Provider) pp
   left join (select distinct Provider, PotentialFraud from valid_claims) l on pp.Provider = l.Provider)""",
-          lambda s, d: R.physicians_per_provider(valid(s, d)), "NumUniquePhysicians", ("A9", "A10"))
+          lambda s, d: R.physicians_per_provider(valid(s, d, LABEL)), "NumUniquePhysicians", ("A9", "A10"))
 _describe("a09_describe_claims_per_patient",
           "(select BeneID, PotentialFraud, count(*) as ClaimCount from valid_claims where BeneID is not null and PotentialFraud is not null group by BeneID, PotentialFraud)",
-          lambda s, d: R.claims_per_patient(valid(s, d)), "ClaimCount", ("A9", "A11"))
+          lambda s, d: R.claims_per_patient(valid(s, d, LABEL)), "ClaimCount", ("A9", "A11"))
 _describe("a09_describe_claims_per_provider", """(
   select c.Provider, c.NumClaims, l.PotentialFraud from
   (select Provider, count(*) as NumClaims from valid_claims where Provider is not null group by Provider) c
   left join (select distinct Provider, PotentialFraud from valid_claims) l on c.Provider = l.Provider)""",
-          lambda s, d: R.claims_per_provider_labelled(valid(s, d)), "NumClaims", ("A9", "J5"))
+          lambda s, d: R.claims_per_provider_labelled(valid(s, d, LABEL)), "NumClaims", ("A9", "J5"))
 _describe("a09_describe_providers_per_patient", """(
   select BeneID, count(distinct Provider) as ProviderCount,
     first(PotentialFraud order by ClaimStartDt, ClaimID, Provider) as PotentialFraud
   from valid_claims where BeneID is not null group by BeneID)""",
-          lambda s, d: R.providers_per_patient(valid(s, d)), "ProviderCount", ("A9", "A13", "W4"))
+          lambda s, d: R.providers_per_patient(valid(s, d, LABEL)), "ProviderCount", ("A9", "A13", "W4"))
 _describe("a09_describe_age", "(select *, 2009 - year(DOB) as Age from valid_claims)",
-          lambda s, d: valid(s, d).withColumn("Age", X.age_by_year("DOB")), "Age", ("A9", "X4", "X2"))
+          lambda s, d: valid(s, d, PATIENT, LABEL).withColumn("Age", X.age_by_year("DOB")), "Age", ("A9", "X4", "X2"))
 
 
 @query("a10_physicians_per_provider", """
@@ -277,7 +279,7 @@ select pp.Provider, pp.NumUniquePhysicians, l.PotentialFraud from (
 left join (select distinct Provider, PotentialFraud from valid_claims) l on pp.Provider = l.Provider
 """, ("A10", "U2", "U4", "J5", "P7"))
 def a10_physicians_per_provider(spark, d):
-    return R.physicians_per_provider(valid(spark, d))
+    return R.physicians_per_provider(valid(spark, d, LABEL))
 
 
 @query("a11_claims_per_patient", """
@@ -285,7 +287,7 @@ select BeneID, PotentialFraud, count(*) as ClaimCount from valid_claims
 where BeneID is not null and PotentialFraud is not null group by BeneID, PotentialFraud
 """, "A11")
 def a11_claims_per_patient(spark, d):
-    return R.claims_per_patient(valid(spark, d))
+    return R.claims_per_patient(valid(spark, d, LABEL))
 
 
 @query("a12_providers_seen_hist", """
@@ -303,7 +305,7 @@ select BeneID, count(distinct Provider) as ProviderCount,
 from valid_claims where BeneID is not null group by BeneID
 """, ("A13", "W4"))
 def a13_providers_per_patient(spark, d):
-    return R.providers_per_patient(valid(spark, d))
+    return R.providers_per_patient(valid(spark, d, LABEL))
 
 
 @query("a14_suspicious_patients", """
@@ -314,7 +316,7 @@ from valid_claims where BeneID is not null group by BeneID having count(distinct
 order by NumProviders desc, BeneID limit 10
 """, ("A14", "J7", "W5", "O1", "O2"))
 def a14_suspicious_patients(spark, d):
-    return R.suspicious_patients(valid(spark, d), 10, 10)
+    return R.suspicious_patients(valid(spark, d, LABEL), 10, 10)
 
 
 A15_SQL = f"""
@@ -328,7 +330,7 @@ order by PercentFraud desc, BeneID limit 10
 
 @query("a15_high_provider_summary", A15_SQL, ("A15", "X7", "F1", "J6", "O2"), headline=True)
 def a15_high_provider_summary(spark, d):
-    return R.high_provider_summary(valid(spark, d), 15, 10)
+    return R.high_provider_summary(valid(spark, d, PATIENT, LABEL), 15, 10)
 
 
 @query("a16_fraud_by_age_group", f"""
@@ -344,7 +346,7 @@ select bins.AgeGroup, cast(coalesce(n, 0) as bigint) as "No", cast(coalesce(y, 0
 from bins left join r on bins.AgeGroup = r.AgeGroup
 """, ("A16", "X5", "X4", "U7"))
 def a16_fraud_by_age_group(spark, d):
-    return R.fraud_rate_by_age_group(valid(spark, d), X.age_by_year("DOB"))
+    return R.fraud_rate_by_age_group(valid(spark, d, PATIENT, LABEL), X.age_by_year("DOB"))
 
 
 def _rate_sql(dim_expr: str, name: str) -> str:
@@ -358,19 +360,19 @@ from (select {dim_expr} as {name}, count_if(PotentialFraud = 'No') as n, count_i
 
 @query("a16_fraud_by_gender", _rate_sql("Gender", "Gender"), "A16")
 def a16_fraud_by_gender(spark, d):
-    return R.fraud_rate_by(valid(spark, d), "Gender")
+    return R.fraud_rate_by(valid(spark, d, PATIENT, LABEL), "Gender")
 
 
 @query("a16_fraud_by_race", _rate_sql(case_map("Race", RACE_NAMES), "Race"), ("A16", "J8", "P12"))
 def a16_fraud_by_race(spark, d):
-    v = cleanup.refresh_column(valid(spark, d), fx.beneficiary(spark, d), "BeneID", "Race")
+    v = cleanup.refresh_column(valid(spark, d, LABEL), fx.beneficiary(spark, d), "BeneID", "Race")
     v = v.withColumn("Race", X.map_values("Race", RACE_NAMES))
     return R.fraud_rate_by(v, "Race")
 
 
 @query("a16_fraud_by_state", _rate_sql("State", "State"), "A16")
 def a16_fraud_by_state(spark, d):
-    return R.fraud_rate_by(valid(spark, d), "State")
+    return R.fraud_rate_by(valid(spark, d, PATIENT, LABEL), "State")
 
 
 @query("a17_top_states", f"""
@@ -378,7 +380,7 @@ select {case_map('State', STATE_NAMES)} as StateName, * from ({_rate_sql('State'
 order by PctFraud desc nulls last, State limit 10
 """, ("A17", "P12", "O2"))
 def a17_top_states(spark, d):
-    return R.top_states(valid(spark, d), 10)
+    return R.top_states(valid(spark, d, PATIENT, LABEL), 10)
 
 
 def _dup_count_sql(table: str, keys: list[str]) -> str:
@@ -412,7 +414,7 @@ select PotentialFraud, count, round_even(cast(count as double) / members * 100,
   union all select 'Yes', cast(y as bigint), members from t) where count > 0
 """, ("A19", "W3"))
 def a19_duplicate_label_split(spark, d):
-    return R.duplicate_label_split(valid_dup(spark, d), DUP_KEYS_FIVE)
+    return R.duplicate_label_split(valid_dup(spark, d, LABEL), DUP_KEYS_FIVE)
 
 
 @query("a20_max_providers", """
@@ -440,16 +442,16 @@ select PotentialFraud, DiagCode, Count from (
 where rn <= 10
 """, ("A23", "W2", "U5"))
 def a23_top_codes_by_label(spark, d):
-    return R.top_codes_by_label(full(spark, d), 10)
+    return R.top_codes_by_label(full(spark, d, LABEL), 10)
 
 
 _BOX = [
-    ("a24_box_reimbursed", "claims_full", "InscClaimAmtReimbursed", full, ("A24",)),
+    ("a24_box_reimbursed", "claims_full", "InscClaimAmtReimbursed", lambda s, d: full(s, d, LABEL), ("A24",)),
     ("a24_box_stay", "(select *, ClaimEndDt - ClaimStartDt as LengthOfStay from valid_claims)", "LengthOfStay",
-     lambda s, d: with_length_of_stay(valid(s, d)), ("A24", "X3")),
+     lambda s, d: with_length_of_stay(valid(s, d, LABEL)), ("A24", "X3")),
     ("a24_box_claims_per_patient",
      "(select BeneID, PotentialFraud, count(*) as ClaimCount from valid_claims where BeneID is not null and PotentialFraud is not null group by BeneID, PotentialFraud)",
-     "ClaimCount", lambda s, d: R.claims_per_patient(valid(s, d)), ("A24", "A11")),
+     "ClaimCount", lambda s, d: R.claims_per_patient(valid(s, d, LABEL)), ("A24", "A11")),
 ]
 
 
@@ -474,7 +476,7 @@ def a25_hist_log_reimbursed(spark, d):
 @query("a25_hist_age_by_label", histogram_sql("(select 2009 - year(DOB) as Age, PotentialFraud from valid_claims)",
                                               "Age", 30, "PotentialFraud"), ("A25", "X4"))
 def a25_hist_age_by_label(spark, d):
-    c = valid(spark, d).withColumn("Age", X.age_by_year("DOB"))
+    c = valid(spark, d, PATIENT, LABEL).withColumn("Age", X.age_by_year("DOB"))
     return rounded(stats.histogram(c, "Age", 30, "PotentialFraud"), {"lower": 6, "upper": 6})
 
 
@@ -488,7 +490,7 @@ def a26_density_log_reimbursed(spark, d):
 @query("a26_density_age_by_label", density_sql("(select 2009 - year(DOB) as Age, PotentialFraud from valid_claims)",
                                                "Age", 200, "PotentialFraud"), ("A26", "X4"))
 def a26_density_age_by_label(spark, d):
-    c = valid(spark, d).withColumn("Age", X.age_by_year("DOB"))
+    c = valid(spark, d, PATIENT, LABEL).withColumn("Age", X.age_by_year("DOB"))
     return rounded(stats.density(c, "Age", "PotentialFraud", grid=200), {"x": 6, "density": 8})
 
 
@@ -497,7 +499,7 @@ select Gender, PotentialFraud, count(*) as count from valid_claims
 where Gender is not null and PotentialFraud is not null group by Gender, PotentialFraud
 """, "A27")
 def a27_count_by_gender(spark, d):
-    return R.count_by(valid(spark, d), "Gender")
+    return R.count_by(valid(spark, d, PATIENT, LABEL), "Gender")
 
 
 @query("a27_count_by_race", f"""
@@ -505,7 +507,7 @@ select Race, PotentialFraud, count(*) as count from (select {case_map('Race', RA
 where Race is not null and PotentialFraud is not null group by Race, PotentialFraud
 """, ("A27", "P12"))
 def a27_count_by_race(spark, d):
-    v = valid(spark, d).withColumn("Race", X.map_values("Race", RACE_NAMES))
+    v = valid(spark, d, PATIENT, LABEL).withColumn("Race", X.map_values("Race", RACE_NAMES))
     return R.count_by(v, "Race")
 
 
@@ -526,7 +528,7 @@ select cast(count_if(n > 1) as bigint) as n_flag_all, cast(count_if(rn > 1) as b
   from claims_dup)
 """, ("W3", "A19"))
 def w03_duplicate_flags(spark, d):
-    dup = fx.claims_dup(spark, d).select(*DUP_KEYS_FIVE, "ClaimID")
+    dup = fx.with_second_copies(full(spark, d)).select(*DUP_KEYS_FIVE, "ClaimID")
     a = windows.flag_duplicates(dup, DUP_KEYS_FIVE, keep=False, name="flag_all")
     b = windows.flag_duplicates(a, DUP_KEYS_FIVE, keep="first", order=["ClaimID"], name="flag_later")
     return b.agg(F.count_if("flag_all").cast("bigint").alias("n_flag_all"),
@@ -613,7 +615,7 @@ from (select Age, {age_group_sql('Age')} as AgeGroup from (select cast(2009 - ye
 group by all
 """, ("X5", "X6", "P12"))
 def x05_age_groups(spark, d):
-    c = valid(spark, d).select(X.age_by_year("DOB").cast("int").alias("Age"))
+    c = valid(spark, d, PATIENT).select(X.age_by_year("DOB").cast("int").alias("Age"))
     c = c.withColumn("AgeGroup", X.age_group("Age"))
     c = c.withColumn("AgeMidpoint", X.age_midpoint("AgeGroup")).withColumn("AgeOrdinal", X.age_ordinal("AgeGroup"))
     return c.groupBy("Age", "AgeGroup", "AgeMidpoint", "AgeOrdinal").agg(F.count(F.lit(1)).alias("n"))
@@ -696,4 +698,4 @@ def p14_category_codes(spark, d):
     "P18")
 def p18_missing_fractions(spark, d):
     cols = ["DeductibleAmtPaid", "OperatingPhysician", "DiagnosisGroupCode", "ClmDiagnosisCode_10", "ClmProcedureCode_1", "DOD"]
-    return rounded(cleanup.missing_fractions(full(spark, d), cols), {"missing_fraction": 12})
+    return rounded(cleanup.missing_fractions(full(spark, d, PATIENT), cols), {"missing_fraction": 12})

@@ -21,34 +21,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a fact-table scan at least one partition per core.
-
-    A parquet split never cuts a row group, so a file written as a single
-    row group is read by ONE task and all per-row work before the first
-    shuffle runs on one core.  On a cluster the fact data spans many files
-    and row groups and this is a no-op; only when the scan has fewer
-    partitions than the cluster has cores are the (already pruned and
-    filtered) rows dealt round-robin to every core."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the plan as is
-        return df
-    return df.repartition(cores) if parts < cores else df
-
-
 def _id(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix), key.cast("string"))
 
 
 def claims_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim per line item (``lineitem`` joined to ``orders``)."""
-    li = spread(_table(spark, sf_dir, "lineitem").select(
+    li = _table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate"
-    ))
+    )
     od = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    j = li.join(od, li.l_orderkey == od.o_orderkey)
+    # dealt by the key that the join needs: the same shuffle as a sort-merge join's own, and a file with a single
+    # row group does not keep all later work in one task
+    j = li.repartition("l_orderkey").join(od, li.l_orderkey == od.o_orderkey)
 
     pk = F.col("l_partkey")
     ln = F.col("l_linenumber")
@@ -158,11 +143,32 @@ def claims_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _full(claims_src(spark, sf_dir), beneficiary(spark, sf_dir), provider_label(spark, sf_dir))
 
 
+PATIENT, LABEL = "patient", "label"
+
+
+def claims_with(spark: SparkSession, sf_dir: str, *sides: str) -> DataFrame:
+    """``claims_src`` with the columns of the named sides only (``PATIENT``, ``LABEL``).
+
+    Catalyst keeps a left join to a side that it does not know to be unique,
+    so a report asks for just the sides whose columns it reads."""
+    from claimscope.operators.claims import attach_beneficiary, attach_label
+
+    out = claims_src(spark, sf_dir)
+    if PATIENT in sides:
+        out = attach_beneficiary(out, beneficiary(spark, sf_dir))
+    if LABEL in sides:
+        out = attach_label(out, provider_label(spark, sf_dir))
+    return out
+
+
+def with_second_copies(claims: DataFrame) -> DataFrame:
+    """The claims plus a second copy of the rows whose attending physician id
+    has length 4 (for the duplicate operators)."""
+    return claims.unionByName(claims.where(F.length("AttendingPhysician") == 4))
+
+
 def claims_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``claims_full`` plus a second copy of its rows whose attending
-    physician id has length 4 (for the duplicate operators)."""
-    full = claims_full(spark, sf_dir)
-    return full.unionByName(full.where(F.length("AttendingPhysician") == 4))
+    return with_second_copies(claims_full(spark, sf_dir))
 
 
 def code_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
