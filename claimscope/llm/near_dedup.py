@@ -10,10 +10,12 @@ followed until the time by which all places are filled, a shingle costs about on
 Steps: (1) one pass over the texts gives each document its class (a 128-bit sum over its multiset; equal multisets,
 equal class) and its band keys; (2) one representative a class goes on, so copies never meet in pairs; (3) band keys
 with several representatives are buckets; each representative is compared with the most central one of the bucket
-it shares most bands with, and linked documents are merged; (4) in buckets that still hold several groups, every
-member outside the largest group is compared with every member of another group; (5) components of all links.  A
-link is the exact weighted Jaccard similarity of the whole texts, at least ``threshold``.  No bucket, partner or
-candidate is capped: a pair that shares a bucket is either compared or already in one group.
+it shares most bands with, and linked documents are merged; (4) the documents of buckets that
+still hold several groups are joined on their rare shingles by an exact prefix filter, and the pairs that pass it are
+compared; (5) components of all links.  A link is the exact weighted Jaccard similarity of the whole texts, at least
+``threshold``.  No bucket, partner or candidate is capped: two documents of one bucket are compared, or already in
+one group, or provably too different.  Documents that share a common passage but are otherwise different fall into
+common buckets by thousands; the prefix filter, which looks at their rare shingles, makes no pairs of them.
 
 Miss probability at similarity 0.8 with 36 bands of 6: (1 - 0.8^6)^36 = 2e-5.
 """
@@ -24,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,6 +178,41 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(compare, "a binary, b binary, similarity double")
 
 
+def remaining_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (cls, __cs_text, root) with different roots that may be similar enough.
+
+    Exact prefix filter: order each multiset by how many documents hold a shingle, rare ones first.  If two multisets
+    are similar enough, their first common shingle stands so early in both that enough weight is left after it.  A
+    shingle's pairs are made between documents outside its largest group and all others, never inside a group.
+    """
+    schema = pa.schema([("cls", pa.binary()), ("root", pa.binary()), ("shingle", pa.int64()), ("n", pa.int64()), ("weight", pa.int64())])
+
+    def split(batches):
+        for b in batches:
+            own = b.column("__cs_text").to_pylist()
+            for i, j in text_chunks(own):
+                doc, element, count = multisets(own[i:j])
+                weight = np.bincount(doc, count, j - i).astype(np.int64)
+                at = pa.array(doc + i)
+                yield batch_of(schema, cls=b.column("cls").take(at), root=b.column("root").take(at), shingle=element.view(np.int64), n=count, weight=weight[doc])
+
+    rows = written(texts.mapInArrow(split, "cls binary, root binary, shingle bigint, n bigint, weight bigint"), "shingles")
+    held = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+    order = Window.partitionBy("cls").orderBy("df", "shingle")  # one document's shingles
+    ranked = rows.join(held, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ranked = ranked.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    early = ranked.where((F.col("df") > 1) & (F.col("before") <= (1 - threshold) * F.col("weight") + 1e-9))
+    early = written(early.select("shingle", "cls", "root", "weight", "before"), "prefixes")
+    parts = early.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("big"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    placed = written(early.join(written(largest.select("shingle", F.col("big.root").alias("big")), "largest"), "shingle"), "placed")
+    one = placed.select("shingle", "big", F.col("cls").alias("a"), F.col("root").alias("root_a"), (F.col("weight") - F.col("before")).alias("left_a"), F.col("weight").alias("weight_a"))
+    two = placed.where("root <> big").select("shingle", F.col("cls").alias("b"), F.col("root").alias("root_b"), (F.col("weight") - F.col("before")).alias("left_b"), F.col("weight").alias("weight_b"))
+    needed = threshold / (1 + threshold) * (F.col("weight_a") + F.col("weight_b")) - 1e-9
+    near = (F.col("root_a") != F.col("root_b")) & ((F.col("root_a") == F.col("big")) | (F.col("a") < F.col("b"))) & (F.least("left_a", "left_b") >= needed)
+    return one.join(two, "shingle").where(near).select("a", "b").distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """One row for each input row: ``__cs_id``, ``__cs_key``, ``__cs_th``, ``cls`` (equal multisets), ``root`` (the
     group's class) and ``n_links`` (of its class).
@@ -203,18 +240,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = written(texts.select("cls", "__cs_text").dropDuplicates(["cls"]), "texts")
     links = written(verified(pairs, texts, threshold), "links")
     roots = components(links)
-    # buckets that still hold several groups
+    # documents of buckets that still hold several groups
     grouped = member.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    parts = grouped.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("big"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    open_ = written(grouped.join(largest, "band").select("band", "cls", "root", F.col("big.root").alias("big")), "open")
-    other = open_.select("band", F.col("cls").alias("a"), F.col("root").alias("root_a"))
-    out = open_.where("root <> big").select("band", F.col("cls").alias("b"), F.col("root").alias("root_b"), "big")
-    rest = out.join(other, "band").where("root_a <> root_b and (root_a = big or a < b)").select("a", "b").distinct()
+    mixed = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    open_ = written(grouped.join(written(mixed, "mixed"), "band").select("cls", "root").distinct(), "open")
+    rest = remaining_pairs(texts.join(open_, "cls"), threshold)
     more = written(verified(rest, texts, threshold), "links")
     roots = components(links.unionByName(more).select("a", "b"))
     degree = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    known = roots.withColumnRenamed("node", "cls").join(degree, "cls")
+    known = written(roots.withColumnRenamed("node", "cls").join(degree, "cls"), "known")
     out = signs.drop("bands").join(known, "cls", "left")
     return out.withColumns({"root": F.coalesce("root", "cls"), "n_links": F.coalesce("n_links", F.lit(0))})
 
@@ -235,6 +269,6 @@ def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     doc_id of the group), group_size, n_links (links of its class to others) and keep."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = written(near_duplicate_groups(docs), "groups")
-    groups = rows.groupBy("root").agg(F.min("__cs_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(rows.groupBy("root").agg(F.min("__cs_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")), "sizes")
     out = rows.join(groups, "root")
     return out.select(F.col("__cs_id").alias("doc_id"), F.lower(F.hex("cls")).alias("class_id"), "group_id", "group_size", "n_links", F.col("__cs_id").eqNullSafe(F.col("group_id")).alias("keep"))
