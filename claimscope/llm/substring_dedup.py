@@ -90,7 +90,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = written(sentence_spans(docs, id_col, text_col, **sizes), "spans")
     place = F.struct("__cs_id", TEXT_HASH, KEY, "start")
     seen = spans.groupBy("span").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    again = spans.join(seen.where("n > 1").drop("n"), "span").where(~place.eqNullSafe(F.col("first")))
+    seen = written(seen.where("n > 1").drop("n"), "repeated")
+    again = spans.join(seen, "span").where(~place.eqNullSafe(F.col("first")))
     return again.groupBy(KEY, TEXT_HASH).agg(F.collect_set(F.struct("start", "end")).alias("__cs_cut"))
 
 
