@@ -52,6 +52,8 @@ def grams(texts: list[str], bits: int, max_n: int) -> tuple[np.ndarray, np.ndarr
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of a run of edges only the first stays
     at = np.flatnonzero(keep)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     s = np.concatenate([[np.uint64(0)], value[at]])
     doc = np.searchsorted(doc_start, at, side="right") - 1
     doc = np.concatenate([doc[:1], doc])
