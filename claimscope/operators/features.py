@@ -29,13 +29,14 @@ from claimscope.functions.values import (
 from claimscope.operators import cleanup
 from claimscope.operators.ranking import hash_rank, seeded_hash
 from claimscope.operators.windows import with_row_id
-from claimscope.session import limit_constraint_inference
 
 LABEL = "FraudLabel"
+#: All columns of a claim; patient and label columns follow from them.
 ROW_ID_COLS = (
-    ["ClaimID", "BeneID", "Provider", "ClaimStartDt", "ClaimEndDt", "InscClaimAmtReimbursed",
-     "AttendingPhysician", "OperatingPhysician", "OtherPhysician"]
-    + [f"ClmDiagnosisCode_{i}" for i in range(1, 11)]
+    ["ClaimID", "BeneID", "Provider", "ClaimStartDt", "ClaimEndDt", "InscClaimAmtReimbursed", "DeductibleAmtPaid",
+     "AttendingPhysician", "OperatingPhysician", "OtherPhysician", "AdmissionDt", "DischargeDt",
+     "ClmAdmitDiagnosisCode", "DiagnosisGroupCode", "Source"]
+    + [f"ClmDiagnosisCode_{i}" for i in range(1, 11)] + [f"ClmProcedureCode_{i}" for i in range(1, 7)]
 )
 
 
@@ -48,11 +49,8 @@ def proc_cols(df: DataFrame) -> list[str]:
 
 
 def with_claim_row_id(claims: DataFrame) -> DataFrame:
-    """Claims keyed by RowID.  Every feature table starts here, so this is
-    also where constraint inference is limited for the session (see
-    ``session.limit_constraint_inference``)."""
-    limit_constraint_inference(claims.sparkSession)
-    return with_row_id(claims, ROW_ID_COLS)
+    """Claims keyed by RowID; claims that have one are returned as they are."""
+    return claims if "RowID" in claims.columns else with_row_id(claims, ROW_ID_COLS)
 
 
 def enriched_claims(valid_claims: DataFrame) -> DataFrame:
@@ -178,7 +176,3 @@ def one_hot(train: DataFrame, val: DataFrame, col: str, levels: Sequence[str] |
 
 
 AGE_CATEGORIES = AGE_LABELS
-
-
-def numeric_feature_cols(df: DataFrame, exclude: Sequence[str] = ("RowID", LABEL)) -> list[str]:
-    return [n for n, t in df.dtypes if n not in exclude and t in ("int", "bigint", "double", "float", "smallint", "tinyint")]

@@ -130,7 +130,7 @@ def node_attributes(edges: DataFrame, fraud: DataFrame, keys: list[str] | None =
 def degrees(edges: DataFrame) -> DataFrame:
     """In + out degree per vertex (parallel edges counted)."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
-    return ends.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("degree"))
+    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def _partitions(df: DataFrame) -> int:

@@ -110,7 +110,10 @@ def roc_auc(pred: DataFrame, label: str = "label", score: str = "score") -> Data
     neg * (2 * positives ranked strictly higher + pos) / (2 P N)."""
     cum = descending_prefix_sums(_score_counts(pred, label, score), "score", ["pos"])
     higher = F.col("cum_pos") - F.col("pos")
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  the product of two counts can exceed 64 bits
     agg = cum.agg(
-        F.sum(F.col("neg") * (2 * higher + F.col("pos"))).alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N")
+        F.sum((wide(F.col("neg")) * wide(2 * higher + F.col("pos"))).cast("decimal(38,0)")).alias("num"),
+        F.sum("pos").alias("P"), F.sum("neg").alias("N"),
     )
-    return agg.select((F.col("num") / (2 * F.col("P") * F.col("N"))).alias("auc"))
+    pairs = 2.0 * F.col("P") * F.col("N")
+    return agg.select((F.col("num").cast("double") / pairs).alias("auc"))

@@ -7,18 +7,20 @@ label, the 0/1 prediction and the positive-class score.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.functions.values import SEED
 from claimscope.operators.metrics import binary_metrics, roc_auc
 
 LABEL = "FraudLabel"
+MAX_DEPTH = 30
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -27,19 +29,15 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     )
 
 
-def training_input(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Assembled training rows spread over at least every core of the
-    cluster (AQE coalesces small inputs into one or two partitions, which
-    would serialise the per-iteration passes of the estimators), cached for
-    the many passes iterative training makes."""
-    data = assemble(df, features).select(label, "features")
+@contextmanager
+def training_input(df: DataFrame, features: Sequence[str], label: str) -> Iterator[DataFrame]:
+    """Assembled training rows, cached for the many passes of iterative
+    training and released after it."""
+    data = assemble(df, features).select(label, "features").persist()
     try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if data.rdd.getNumPartitions() < cores:
-            data = data.repartition(cores)
-    except Exception:  # sessions without RDD access: keep the planner's partitioning
-        pass
-    return data.persist()
+        yield data
+    finally:
+        data.unpersist()
 
 
 # M7
@@ -50,7 +48,8 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str = LABEL,
     n = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter, regParam=1.0 / (c * n),
                             elasticNetParam=0.0, standardization=False, fitIntercept=True)
-    return lr.fit(training_input(train, features, label))
+    with training_input(train, features, label) as data:
+        return lr.fit(data)
 
 
 # M8
@@ -62,16 +61,21 @@ def fit_gbt(train: DataFrame, features: Sequence[str], label: str = LABEL, round
     gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate,
                         subsamplingRate=subsample, featureSubsetStrategy=strategy, seed=seed,
                         maxMemoryInMB=1024, cacheNodeIds=True)
-    return gbt.fit(training_input(train, features, label))
+    with training_input(train, features, label) as data:
+        return gbt.fit(data)
 
 
 # M9
 def fit_rf(train: DataFrame, features: Sequence[str], label: str = LABEL, trees: int = 100,
-           depth: int | None = None, seed: int = SEED):
-    """Random forest; ``depth=None`` (unlimited) becomes Spark's maximum 30."""
+           depth: int = MAX_DEPTH, seed: int = SEED):
+    """Random forest.  Spark grows trees to a depth of at most 30, so a depth
+    must be given and may not exceed that."""
+    if not 1 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be between 1 and {MAX_DEPTH}: deeper or unlimited trees are not supported")
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees,
-                                maxDepth=min(depth or 30, 30), seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
-    return rf.fit(training_input(train, features, label))
+                                maxDepth=depth, seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
+    with training_input(train, features, label) as data:
+        return rf.fit(data)
 
 
 def predict(model, df: DataFrame, features: Sequence[str], label: str = LABEL, key: str = "RowID") -> DataFrame:
@@ -83,15 +87,12 @@ def predict(model, df: DataFrame, features: Sequence[str], label: str = LABEL, k
 
 
 # M10
-def feature_importance(model, names: Sequence[str], k: int = 20) -> DataFrame:
-    """Importances of a tree model as (Feature, Importance), top k."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    imp = model.featureImportances.toArray()
-    rows = [(n, float(v)) for n, v in zip(names, imp)]
+def feature_importance(spark: SparkSession, model, names: Sequence[str], k: int | None = 20) -> DataFrame:
+    """Importances of a tree model as (Feature, Importance), top k (all if
+    ``k`` is None)."""
+    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)]
     df = spark.createDataFrame(rows, "Feature string, Importance double")
-    return df.orderBy(F.desc("Importance"), "Feature").limit(k)
+    return df if k is None else df.orderBy(F.desc("Importance"), "Feature").limit(k)
 
 
 # M13
@@ -105,8 +106,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], fit: Callable, folds_
         train = df.where(F.col(folds_col) != f)
         val = df.where(F.col(folds_col) == f)
         model = fit(train, features, label)
-        pred = predict(model, val, features, label).persist()
-        m = _fold_metrics(pred)
+        m = _fold_metrics(predict(model, val, features, label))
         parts.append(m.withColumn("fold", F.lit(f)))
     out = parts[0]
     for p in parts[1:]:

@@ -41,21 +41,21 @@ def hash_rank(df: DataFrame, strata: Sequence[str], hash_col: str, name: str = "
     return joined.withColumn(name, F.col("_off") + F.row_number().over(within)).drop("_b", "_off")
 
 
-def descending_prefix_sums(df: DataFrame, score: str, values: Sequence[str],
-                           bits: int = DEFAULT_BITS) -> DataFrame:
+def descending_prefix_sums(df: DataFrame, score: str, values: Sequence[str], buckets: int = 256) -> DataFrame:
     """For a table with one row per distinct ``score``, add ``cum_<v>`` = sum
     of ``v`` over all rows with a score >= this row's (descending running
-    sum), exactly."""
+    sum), exactly.
+
+    Buckets are bounded by quantiles of the distinct scores, so each holds
+    about the same number of rows however the scores crowd together."""
     values = list(values)
-    mm = df.agg(F.min(score).alias("mn"), F.max(score).alias("mx"))
-    mn, mx = mm.select("mn").scalar(), mm.select("mx").scalar()
-    nb = (1 << bits) - 1
-    pos = F.floor((mx - F.col(score)) / (mx - mn) * nb)
-    bucket = F.when(mx == mn, F.lit(0)).otherwise(F.least(F.greatest(pos, F.lit(0)), F.lit(nb))).cast("long")
-    tagged = df.withColumn("_b", bucket)
+    cuts = df.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 100 * buckets).alias("c"))
+    limits = cuts.select("c").scalar()
+    tagged = df.withColumn("_cuts", limits)
+    tagged = tagged.withColumn("_b", F.size(F.filter("_cuts", lambda c: c >= F.col(score)))).drop("_cuts")
     hist = tagged.groupBy("_b").agg(*[F.sum(v).alias(f"_h_{v}") for v in values])
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # the bucket table has at most 2**bits rows: one ordered pass over it is bounded
+    # one row a bucket: the ordered pass over it is bounded
     offsets = hist.select("_b", *[F.coalesce(F.sum(f"_h_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values])
     joined = tagged.join(offsets, on="_b", how="inner")
     within = Window.partitionBy("_b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)

@@ -9,8 +9,6 @@ Gaussian kernel density evaluated on a fixed grid from the distinct values
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +48,8 @@ def histogram(df: DataFrame, value: str, bins: int, hue: str | None = None) -> D
     base = df.select(value, *_keys(hue)).where(F.col(value).isNotNull())
     if hue:
         base = base.where(F.col(hue).isNotNull())
-    mm = base.agg(F.min(value).cast("double").alias("mn"), F.max(value).cast("double").alias("mx"))
-    mn = mm.select("mn").scalar()
-    mx = mm.select("mx").scalar()
+    ends = base.agg(F.struct(F.min(value).cast("double").alias("mn"), F.max(value).cast("double").alias("mx")).alias("m")).scalar()
+    mn, mx = ends["mn"], ends["mx"]
     width = (mx - mn) / bins
     raw = F.floor((F.col(value).cast("double") - mn) / (mx - mn) * bins)
     b = F.when(mx == mn, F.lit(1)).otherwise(F.least(raw, F.lit(bins - 1)) + 1).cast("int")
@@ -81,9 +78,9 @@ def density(df: DataFrame, value: str, hue: str | None = None, grid: int = 200)
         params = base.groupBy(*keys).agg(*stats)
         j = weights.join(params, on=keys, how="inner")
     else:
-        # one group: the parameters are scalar subqueries (no join needed)
-        p = base.agg(*stats)
-        j = weights.withColumns({c: p.select(c).scalar() for c in ("n", "sd", "lo", "hi")})
+        # one group: the parameters are one scalar subquery (no join needed)
+        p = base.agg(F.struct(*stats).alias("p")).scalar()
+        j = weights.withColumns({c: p[c] for c in ("n", "sd", "lo", "hi")})
     j = j.withColumn("bw", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     g = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i")
     pts = j.select(*keys, "x", "w", "n", "bw", "lo", "hi", g)
@@ -95,7 +92,3 @@ def density(df: DataFrame, value: str, hue: str | None = None, grid: int = 200)
     return out.select(
         *keys, F.col("i").alias("point"), gx.alias("x"), (F.col("_s") / norm).alias("density")
     )
-
-
-def quantile_table(df: DataFrame, key: str, value: str, probs: Sequence[float]) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.percentile(F.col(value), list(probs)).alias("q"))

@@ -53,18 +53,6 @@ def overlap_count_window(claims: DataFrame) -> DataFrame:
     return flags.agg(F.count_if("Overlap").cast("bigint").alias("overlap_count"))
 
 
-def overlap_flags_running(claims: DataFrame, order_ties: Sequence[str] = ("ClaimEndDt", "ClaimID")) -> DataFrame:
-    """Variant: overlap with ANY earlier claim (start <= running max of the
-    earlier ends)."""
-    w = (
-        Window.partitionBy("BeneID").orderBy("ClaimStartDt", *order_ties)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return claims.withColumn(
-        "OverlapAny", F.coalesce(F.col("ClaimStartDt") <= F.max("ClaimEndDt").over(w), F.lit(False))
-    )
-
-
 # W2
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -99,24 +87,18 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     return agg.select(*key, "_r.*")
 
 
-# W5
-def share(df: DataFrame, value: str, by: Sequence[str] | None = None, name: str = "share") -> DataFrame:
-    """value / total of value (global, or within ``by``).  The global total
-    is a scalar subquery; within-group totals are a grouped aggregate joined
-    back on the group key."""
-    if not by:
-        total = df.agg(F.sum(value)).scalar()
-        return df.withColumn(name, F.col(value) / total)
-    totals = df.groupBy(*by).agg(F.sum(value).alias("_tot"))
-    return df.join(totals, on=list(by), how="left").withColumn(name, F.col(value) / F.col("_tot")).drop("_tot")
-
-
 # W6
 def with_row_id(df: DataFrame, keys: Sequence[str] | None = None, name: str = "RowID") -> DataFrame:
-    """Stable row key: md5 of the key columns (all columns by default), each
-    written as text with a marker for null.  Unlike a position-based id it
-    is the same on every recomputation, so joins on it survive task
-    retries."""
+    """Stable unique row key: md5 of the key columns (all columns by default),
+    each written as text with a marker for null, and of the row's copy number.
+
+    Equal rows are counted by a partial aggregation and expanded again into
+    numbered copies, so no window is needed and a row that is repeated very
+    often is one row until the expansion.  ``keys`` must determine the other
+    columns.  Unlike a position-based id it is the same on every
+    recomputation, so joins on it survive task retries."""
     keys = list(keys or df.columns)
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("␀")) for k in keys]
-    return df.withColumn(name, F.md5(F.concat_ws("|", *parts)))
+    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = copies.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_copy"))
+    return numbered.withColumn(name, F.md5(F.concat_ws("|", *parts, F.col("_copy").cast("string")))).drop("_copy")

@@ -93,7 +93,7 @@ def g06_node_attributes(spark, d):
 
 
 @query("g07_degrees", f"""
-select id, cast(count(*) as integer) as degree from (select src as id from ({BI_E}) union all select dst from ({BI_E})) group by id
+select id, cast(count(*) as bigint) as degree from (select src as id from ({BI_E}) union all select dst from ({BI_E})) group by id
 """, ("G7", "O1"))
 def g07_degrees(spark, d):
     return G.degrees(G.bipartite_edges(_claims(spark, d)))

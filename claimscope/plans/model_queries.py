@@ -8,19 +8,21 @@ tests (properties) in ``tests/``.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimscope.functions import expressions as X
-from claimscope.functions.values import AGE_LABELS, AGE_MIDPOINTS, CHRONIC_CONDITIONS, SEED
+from claimscope.functions.values import AGE_LABELS, AGE_MIDPOINTS, CHRONIC_CONDITIONS, FEATURES_D, SEED
 from claimscope.operators import explain as E
 from claimscope.operators import features as FE
 from claimscope.operators import metrics as ME
 from claimscope.operators import models as MO
 from claimscope.operators import text as TX
-from claimscope.operators.claims import valid_stay
+from claimscope.operators.claims import claims_full, valid_stay
 from claimscope.operators.reports import class_balance
 from claimscope.plans.base import query, rounded
 from claimscope.plans.sqlgen import age_group_sql, case_map, diag_cols, q, row_id_sql
+from claimscope.session import ensure_checkpoint_dir
 from claimscope.sources import fixture as fx
 
 M1_NUMERIC = (
@@ -59,8 +61,20 @@ def memo(spark, d, name, fn):
     return _MEMO[key]
 
 
+def claims(spark, d):
+    """All claims, keyed before patient and label columns are attached."""
+    keyed = FE.with_claim_row_id(fx.claims_src(spark, d))
+    return claims_full(keyed, fx.beneficiary(spark, d), fx.provider_label(spark, d))
+
+
+def kept(df):
+    """Reliable checkpoint in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def m1(spark, d):
-    return FE.features_a(FE.enriched_claims(valid_stay(fx.claims_full(spark, d))))
+    return FE.features_a(FE.enriched_claims(valid_stay(claims(spark, d))))
 
 
 def m1_model(spark, d):
@@ -86,8 +100,6 @@ def a21_class_balance(spark, d):
     return class_balance(m1(spark, d), "FraudLabel", 4)
 
 
-_B_DROP = ["BeneID", "ClaimID", "AttendingPhysician", "OperatingPhysician", "OtherPhysician", "AdmissionDt",
-           "ClaimStartDt", "ClaimEndDt", "PotentialFraud", "Provider", "DischargeDt"]
 _B_TEXT = ["ClmAdmitDiagnosisCode", "DiagnosisGroupCode", *diag_cols(), "Source", "RenalDiseaseIndicator"]
 _B_DATES = ["DOB", "DOD"]
 
@@ -107,7 +119,7 @@ def _m2_sql() -> str:
 
 @query("m02_features_b", _m2_sql(), ("M2", "P11", "P8", "P4", "F3"))
 def m02_features_b(spark, d):
-    return FE.features_b(fx.claims_full(spark, d))
+    return FE.features_b(claims(spark, d))
 
 
 _C_NUM = ["InscClaimAmtReimbursed", "DeductibleAmtPaid", "Gender", "Race", "RenalDiseaseIndicator", "State",
@@ -140,23 +152,38 @@ select RowID, {imputed}, coalesce(DiagnosisGroupCode, {mode}) as DiagnosisGroupC
 
 @query("m03_features_c", _m3_sql(), ("M3", "P17", "P18", "P19", "X4", "X8", "X9", "X10", "X3", "P12", "F2"))
 def m03_features_c(spark, d):
-    df = FE.features_c(fx.claims_full(spark, d))
+    df = FE.features_c(claims(spark, d))
     return rounded(df, {c: 9 for c in _C_NUM if c in df.columns})
 
 
 def topics(spark, d):
     """SVD topic vectors per claim (M16 -> M17) for the modelling claims."""
-    enr = FE.enriched_claims(valid_stay(fx.claims_full(spark, d)))
+    enr = valid_stay(FE.with_claim_row_id(fx.claims_src(spark, d)))
     docs = enr.select("RowID", X.code_document(FE.diag_cols(enr)).alias("DiagDoc"))
     return TX.svd_topics(TX.tfidf(docs, "RowID", "DiagDoc"), "RowID", 10)
 
 
 @query("m04_features_d", None, ("M4", "P14", "P7", "J9"))
 def m04_features_d(spark, d):
-    enr = FE.enriched_claims(valid_stay(fx.claims_full(spark, d)))
+    enr = FE.enriched_claims(valid_stay(claims(spark, d)))
     return FE.features_d(enr, topics(spark, d))
 
 
+_D_COLS = [c for c in FEATURES_D if c not in ("LengthOfStay", "Age", "DiagnosisGroupCode")]
+_D_SQL = f"""with base as (select {RID_SQL} as RowID, {", ".join(_D_COLS)}, DiagnosisGroupCode,
+  cast(ClaimEndDt - ClaimStartDt as integer) as LengthOfStay, cast(2009 - year(DOB) as integer) as Age,
+  cast(case PotentialFraud when 'Yes' then 1 when 'No' then 0 end as integer) as FraudLabel from valid_claims),
+full_rows as (select * from base where {" and ".join(f"{c} is not null" for c in FEATURES_D)} and FraudLabel is not null)
+select * exclude (DiagnosisGroupCode), cast(dense_rank() over (order by DiagnosisGroupCode) - 1 as integer) as DiagnosisGroupCode
+from full_rows"""
+
+
+@query("m04_features_d_base", _D_SQL, ("M4", "P14", "P7"))
+def m04_features_d_base(spark, d):
+    """Variant D without topic columns."""
+    return FE.features_d(FE.enriched_claims(valid_stay(claims(spark, d))))
+
+
 # ------------------------------------------------------------ split / encode
 @query("m05_split", "select RowID, FraudLabel, is_test from split", "M5", extra_ctes=EXTRA)
 def m05_split(spark, d):
@@ -169,10 +196,9 @@ select is_test, FraudLabel, count(*) as count,
 from split group by is_test, FraudLabel
 """, ("M5", "A21"), extra_ctes=EXTRA)
 def m05_split_balance(spark, d):
-    s = split(spark, d)
-    parts = [class_balance(s.where(F.col("is_test") == t), "FraudLabel", 4).withColumn("is_test", F.lit(t)) for t in (False, True)]
-    counts = s.groupBy("is_test", "FraudLabel").agg(F.count(F.lit(1)).alias("count"))
-    return parts[0].unionByName(parts[1]).join(counts, ["is_test", "FraudLabel"])
+    counts = split(spark, d).groupBy("is_test", "FraudLabel").agg(F.count(F.lit(1)).alias("count"))
+    part = F.sum("count").over(Window.partitionBy("is_test"))  # four rows
+    return counts.withColumn("share", F.bround(F.col("count") / part, 4))
 
 
 @query("m06_one_hot", "select RowID, is_test, " + ", ".join(
@@ -187,7 +213,7 @@ def m06_one_hot(spark, d):
 
 # ------------------------------------------------------------ models
 def _train_val(spark, d):
-    s = memo(spark, d, "split", lambda: split(spark, d).checkpoint())
+    s = memo(spark, d, "split", lambda: kept(split(spark, d)))
     return s.where(~F.col("is_test")), s.where(F.col("is_test"))
 
 
@@ -211,38 +237,50 @@ def _logistic(spark, d):
 @query("m07_logistic_report", None, ("M7", "M11", "M12"))
 def m07_logistic_report(spark, d):
     tr, va = _train_val(spark, d)
-    pred = MO.predict(_logistic(spark, d), va, M1_MODEL).persist()
-    auc = ME.roc_auc(pred).select("auc").scalar()
-    return ME.classification_report(pred).withColumn("auc", auc)
+    return _report(_logistic(spark, d), va, M1_MODEL)
+
+
+@query("m11_confusion_logistic", None, ("M7", "M11"))
+def m11_confusion_logistic(spark, d):
+    return ME.confusion(m07_logistic_predictions(spark, d))
+
+
+@query("m12_roc_curve_logistic", None, ("M7", "M12"))
+def m12_roc_curve_logistic(spark, d):
+    return ME.roc_curve(m07_logistic_predictions(spark, d))
+
+
+@query("m07_logistic_b_report", None, ("M7", "M2", "M11", "M12"))
+def m07_logistic_b_report(spark, d):
+    """Logistic regression on the zero-filled variant B."""
+    df, feats = _features_b_model(spark, d)
+    s = kept(FE.stratified_split(df))
+    return _report(MO.fit_logistic(s.where(~F.col("is_test")), feats), s.where(F.col("is_test")), feats)
 
 
 @query("m08_gbt_report", None, ("M8", "M11", "M12"))
 def m08_gbt_report(spark, d):
     tr, va = _train_val(spark, d)
     model = MO.fit_gbt(tr, M1_MODEL, rounds=200, depth=6, rate=0.1, subsample=0.8, col_sample=0.8)
-    pred = MO.predict(model, va, M1_MODEL).persist()
-    auc = ME.roc_auc(pred).select("auc").scalar()
-    return ME.classification_report(pred).withColumn("auc", auc)
+    return _report(model, va, M1_MODEL)
 
 
 @query("m08_gbt_topics_report", None, ("M8", "M4", "M16", "M17", "M11", "M12"))
 def m08_gbt_topics_report(spark, d):
-    df = FE.stratified_split(m04_features_d(spark, d)).persist()
+    df = kept(FE.stratified_split(m04_features_d(spark, d)))
     feats = [c for c in df.columns if c not in ("RowID", "FraudLabel", "is_test")]
     tr, va = df.where(~F.col("is_test")), df.where(F.col("is_test"))
-    pred = MO.predict(MO.fit_gbt(tr, feats), va, feats).persist()
-    auc = ME.roc_auc(pred).select("auc").scalar()
-    return ME.classification_report(pred).withColumn("auc", auc)
+    return _report(MO.fit_gbt(tr, feats), va, feats)
 
 
 def _features_b_model(spark, d):
-    df = FE.features_b(fx.claims_full(spark, d)).where(F.col("FraudLabel").isNotNull())
+    df = FE.features_b(claims(spark, d)).where(F.col("FraudLabel").isNotNull())
     feats = [c for c in df.columns if c not in ("RowID", "FraudLabel")]
     return df, feats
 
 
 def _features_c_model(spark, d):
-    df = FE.features_c(fx.claims_full(spark, d)).where(F.col("FraudLabel").isNotNull())
+    df = FE.features_c(claims(spark, d)).where(F.col("FraudLabel").isNotNull())
     df = df.withColumn("DiagnosisGroupCode", F.col("DiagnosisGroupCode").try_cast("double"))
     feats = [c for c in df.columns if c not in ("RowID", "FraudLabel")]
     return df, feats
@@ -254,15 +292,15 @@ def _smote_parts(spark, d):
 
     def build():
         df, feats = _features_c_model(spark, d)
-        s = FE.stratified_split(df).checkpoint()
-        train = smote(s.where(~F.col("is_test")), feats).checkpoint()
+        s = kept(FE.stratified_split(df))
+        train = kept(smote(s.where(~F.col("is_test")), feats))
         return train, s.where(F.col("is_test")), feats
 
     return memo(spark, d, "smote_parts", build)
 
 
 def _report(model, val, feats):
-    pred = MO.predict(model, val, feats).persist()
+    pred = MO.predict(model, val, feats)
     auc = ME.roc_auc(pred).select("auc").scalar()
     return ME.classification_report(pred).withColumn("auc", auc)
 
@@ -293,6 +331,13 @@ def m09_rf_report(spark, d):
     return _report(MO.fit_rf(train, feats, trees=100, depth=10), val, feats)
 
 
+@query("m10_forest_importance", None, ("M10", "M9", "M18"))
+def m10_forest_importance(spark, d):
+    """Top-20 importances of the forest trained after SMOTE."""
+    train, _, feats = _smote_parts(spark, d)
+    return MO.feature_importance(spark, MO.fit_rf(train, feats, trees=100, depth=10), feats, 20)
+
+
 @query("m07_smote_logistic_report", None, ("M7", "M18", "M11", "M12"))
 def m07_smote_logistic_report(spark, d):
     train, val, feats = _smote_parts(spark, d)
@@ -303,12 +348,12 @@ def m07_smote_logistic_report(spark, d):
 def m10_feature_importance(spark, d):
     """Top-20 importances of the boosted trees trained after SMOTE."""
     _, _, feats = _smote_parts(spark, d)
-    return MO.feature_importance(_smote_gbt(spark, d), feats, 20)
+    return MO.feature_importance(spark, _smote_gbt(spark, d), feats, 20)
 
 
 @query("m13_cross_validation", None, ("M13", "M8", "M11", "M12"))
 def m13_cross_validation(spark, d):
-    df = FE.stratified_folds(m1_model(spark, d)).persist()
+    df = kept(FE.stratified_folds(m1_model(spark, d)))
     return MO.cross_validate(df, M1_MODEL, lambda tr, f, lbl: MO.fit_gbt(tr, f, lbl))
 
 
@@ -452,7 +497,7 @@ w as (select tf.RowID, tf.term, tf.tf, idf.idf, tf.tf * idf.idf as raw from tf j
 select RowID, term, tf, round(idf, 9) as idf, round(raw / sqrt(sum(raw * raw) over (partition by RowID)), 9) as weight from w
 """, ("M16", "X13"))
 def m16_tfidf(spark, d):
-    enr = FE.with_claim_row_id(valid_stay(fx.claims_full(spark, d)))
+    enr = valid_stay(FE.with_claim_row_id(fx.claims_src(spark, d)))
     docs = enr.select("RowID", X.code_document(FE.diag_cols(enr)).alias("DiagDoc"))
     return rounded(TX.tfidf(docs, "RowID", "DiagDoc"), {"idf": 9, "weight": 9})
 

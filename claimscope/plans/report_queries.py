@@ -23,6 +23,7 @@ from claimscope.functions.values import (
 )
 from claimscope.operators import cleanup, reports as R, reshape, stats, windows
 from claimscope.operators.claims import union_claims, valid_stay, with_length_of_stay
+from claimscope.operators.features import ROW_ID_COLS
 from claimscope.plans.base import query, rounded
 from claimscope.plans.sqlgen import (
     age_group_sql,
@@ -383,6 +384,14 @@ def a17_top_states(spark, d):
     return R.top_states(valid(spark, d, PATIENT, LABEL), 10)
 
 
+@query("a17_top_states_15", f"""
+select {case_map('State', STATE_NAMES)} as StateName, * from ({_rate_sql('State', 'State')})
+order by PctFraud desc nulls last, State limit 15
+""", ("A17", "P12", "O2"))
+def a17_top_states_15(spark, d):
+    return R.top_states(valid(spark, d, PATIENT, LABEL), 15)
+
+
 def _dup_count_sql(table: str, keys: list[str]) -> str:
     ks = ", ".join(keys)
     return f"""select cast(coalesce(sum(n - 1), 0) as bigint) as n_duplicates, cast(count_if(n > 1) as bigint) as n_groups
@@ -445,7 +454,23 @@ def a23_top_codes_by_label(spark, d):
     return R.top_codes_by_label(full(spark, d, LABEL), 10)
 
 
+_PHYSICIANS_SQL = """(
+  select pp.Provider, pp.NumUniquePhysicians, l.PotentialFraud from (
+    select Provider, count(distinct Physician) as NumUniquePhysicians from (
+      select Provider, AttendingPhysician as Physician from valid_claims
+      union all select Provider, OperatingPhysician from valid_claims
+      union all select Provider, OtherPhysician from valid_claims) where Provider is not null and Physician is not null
+    group by Provider) pp
+  left join (select distinct Provider, PotentialFraud from valid_claims) l on pp.Provider = l.Provider)"""
+_VOLUME_SQL = """(
+  select c.Provider, c.NumClaims, l.PotentialFraud from
+  (select Provider, count(*) as NumClaims from valid_claims where Provider is not null group by Provider) c
+  left join (select distinct Provider, PotentialFraud from valid_claims) l on c.Provider = l.Provider)"""
 _BOX = [
+    ("a24_box_physicians_per_provider", _PHYSICIANS_SQL, "NumUniquePhysicians",
+     lambda s, d: R.physicians_per_provider(valid(s, d, LABEL)), ("A24", "A10")),
+    ("a24_box_claims_per_provider", _VOLUME_SQL, "NumClaims",
+     lambda s, d: R.claims_per_provider_labelled(valid(s, d, LABEL)), ("A24", "J5")),
     ("a24_box_reimbursed", "claims_full", "InscClaimAmtReimbursed", lambda s, d: full(s, d, LABEL), ("A24",)),
     ("a24_box_stay", "(select *, ClaimEndDt - ClaimStartDt as LengthOfStay from valid_claims)", "LengthOfStay",
      lambda s, d: with_length_of_stay(valid(s, d, LABEL)), ("A24", "X3")),
@@ -535,6 +560,28 @@ def w03_duplicate_flags(spark, d):
                  F.count_if("flag_later").cast("bigint").alias("n_flag_later"))
 
 
+@query("w01_overlap_flags", """
+select ClaimID, BeneID, ClaimStartDt, prev as PrevEndDt, coalesce(ClaimStartDt <= prev, false) as Overlap from (
+  select ClaimID, BeneID, ClaimStartDt, lag(ClaimEndDt) over (partition by BeneID order by ClaimStartDt, ClaimEndDt, ClaimID) as prev
+  from valid_claims)
+""", "W1")
+def w01_overlap_flags(spark, d):
+    v = valid(spark, d).select("ClaimID", "BeneID", "ClaimStartDt", "ClaimEndDt")
+    return windows.overlap_flags(v).select("ClaimID", "BeneID", "ClaimStartDt", "PrevEndDt", "Overlap")
+
+
+@query("w03_duplicate_rows", f"""
+select ClaimID, {", ".join(DUP_KEYS_FIVE)}, n > 1 as flag_all, rn > 1 as flag_later from (
+  select ClaimID, {", ".join(DUP_KEYS_FIVE)}, count(*) over (partition by {", ".join(DUP_KEYS_FIVE)}) as n,
+         row_number() over (partition by {", ".join(DUP_KEYS_FIVE)} order by ClaimID) as rn
+  from claims_dup)
+""", "W3")
+def w03_duplicate_rows(spark, d):
+    dup = fx.with_second_copies(full(spark, d)).select("ClaimID", *DUP_KEYS_FIVE)
+    a = windows.flag_duplicates(dup, DUP_KEYS_FIVE, keep=False, name="flag_all")
+    return windows.flag_duplicates(a, DUP_KEYS_FIVE, keep="first", order=["ClaimID"], name="flag_later")
+
+
 @query("w04_first_claim_per_patient", """
 select BeneID, ClaimStartDt, ClaimID, Provider from (
   select BeneID, ClaimStartDt, ClaimID, Provider,
@@ -546,18 +593,21 @@ def w04_first_claim_per_patient(spark, d):
     return windows.first_per_key(v, ["BeneID"], ["ClaimStartDt", "ClaimID", "Provider"])
 
 
-_RID_COLS = ["ClaimID", "BeneID", "Provider", "ClaimStartDt", "ClaimEndDt", "InscClaimAmtReimbursed",
-             "AttendingPhysician", "OperatingPhysician", "OtherPhysician"] + diag_cols()
-
-
 @query("w06_row_id", f"""
-select count(*) as n_rows, count(distinct {row_id_sql(_RID_COLS)}) as n_ids from claims_full
+select count(*) as n_rows, count(distinct RowID) as n_ids from (select {row_id_sql(ROW_ID_COLS)} as RowID from claims_full)
 """, "W6")
 def w06_row_id(spark, d):
-    r = windows.with_row_id(full(spark, d), _RID_COLS)
+    r = windows.with_row_id(full(spark, d), ROW_ID_COLS)
     return r.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("RowID").alias("n_ids"))
 
 
+@query("w06_row_id_of_copies", f"""
+select ClaimID, {row_id_sql(ROW_ID_COLS)} as RowID from claims_dup
+""", "W6")
+def w06_row_id_of_copies(spark, d):
+    return windows.with_row_id(fx.with_second_copies(full(spark, d)), ROW_ID_COLS).select("ClaimID", "RowID")
+
+
 # ---------------------------------------------------------------- reshape
 @query("u05_melt_diagnosis", f"""
 select ClaimID, variable, value from ({stack_sql('claims_full', diag_cols(), ['ClaimID'])}) where value is not null

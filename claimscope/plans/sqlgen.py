@@ -60,7 +60,8 @@ def stack_sql(table: str, cols: list[str], keep: list[str], name: str = "variabl
 
 def row_id_sql(cols: list[str]) -> str:
     parts = ", ".join(f"coalesce(cast({c} as varchar), '␀')" for c in cols)
-    return f"md5(concat_ws('|', {parts}))"
+    copy = f"row_number() over (partition by {', '.join(cols)})"
+    return f"md5(concat_ws('|', {parts}, cast({copy} as varchar)))"
 
 
 def describe_sql(table: str, key: str, value: str) -> str:

@@ -21,40 +21,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CLAIMSCOPE_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.constraintPropagation.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Folder for reliable checkpoints, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used as is.  Only when the
-    setting is absent (local tests) a private scratch folder is created.
+    Only operators that checkpoint call this.  Where the setting is absent, a
+    local session gets a folder on this machine; on a cluster that would not
+    be shared, so it is an error there.  No session setting is changed.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="claimscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
-
-
-def limit_constraint_inference(spark: SparkSession) -> None:
-    """Switch off Catalyst's constraint propagation for this session.
-
-    Feature tables derive many columns from the same inputs and then filter
-    every one for nulls; inferring filters from those constraints grows
-    combinatorially with the number of aliased expressions and made planning
-    (not execution) of the modelling queries take minutes.  Nothing in these
-    plans depends on inferred filters: the scans' own filters are explicit.
-    """
-    if spark.conf.get("spark.sql.constraintPropagation.enabled", "true") != "false":
-        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.gettempdir()}/claimscope-checkpoints"
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
