@@ -128,10 +128,6 @@ def high_missing_cols(df: DataFrame, threshold: float = 0.9, cols: Sequence[str]
     return [c for c in cols if row[c] is not None and row[c] > threshold]
 
 
-def drop_high_missing(df: DataFrame, threshold: float = 0.9) -> DataFrame:
-    return df.drop(*high_missing_cols(df, threshold))
-
-
 # P19
 def impute_values(df: DataFrame, cols: Sequence[str] | None = None) -> dict:
     """Fill values: numeric -> mean, other -> most frequent value (smallest

@@ -127,7 +127,7 @@ def features_d(enriched: DataFrame, topics: DataFrame | None = None) -> DataFram
     cols = ["RowID", *FEATURES_D, LABEL]
     df = enriched.withColumn(LABEL, X.label_code("PotentialFraud"))
     if topics is not None:
-        df = df.join(topics, on="RowID", how="left")
+        df = cleanup.join_on_row_id(df, topics)
         cols += [c for c in topics.columns if c != "RowID"]
     df = cleanup.dropna_any(df.select(*cols), [c for c in cols if c != "RowID"])
     return cleanup.category_codes(df, "DiagnosisGroupCode")

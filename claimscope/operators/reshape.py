@@ -46,15 +46,10 @@ def pivot_named_codes(claims: DataFrame, lookup: DataFrame, cols: Sequence[str])
     return out
 
 
-def pivot_long(long: DataFrame, row_key: str, variable: str, value: str, levels: Sequence[str]) -> DataFrame:
-    """Long -> wide with a fixed level list (no extra job to find levels)."""
-    return long.groupBy(row_key).pivot(variable, list(levels)).agg(F.first(value))
-
-
 # U8
-def transpose_by(df: DataFrame, id_col: str, value_cols: Sequence[str], new_id: str = "column") -> DataFrame:
-    """Swap rows and columns of a small result: unpivot then pivot on the
-    former row ids (the pivot levels are read from the result)."""
+def transpose_by(df: DataFrame, id_col: str, value_cols: Sequence[str], levels: Sequence[str],
+                 new_id: str = "column") -> DataFrame:
+    """Swap rows and columns of a small result: unpivot, then pivot on the
+    former row ids, whose values are given in ``levels``."""
     long = df.unpivot([id_col], list(value_cols), new_id, "_v")
-    levels = [r[0] for r in df.select(id_col).distinct().orderBy(id_col).collect()]
-    return long.groupBy(new_id).pivot(id_col, levels).agg(F.first("_v"))
+    return long.groupBy(new_id).pivot(id_col, list(levels)).agg(F.first("_v"))

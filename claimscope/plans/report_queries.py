@@ -617,6 +617,41 @@ def u05_melt_diagnosis(spark, d):
     return reshape.melt(c, ["ClaimID"], cleanup.cols_with_prefix(c, "ClmDiagnosisCode"))
 
 
+@query("u03_physician_roles", """
+select Physician, Role, count(*) as n_claims from (
+  select coalesce(AttendingPhysician, 'none') as Physician, 'attending' as Role from claims_full
+  union all select coalesce(OperatingPhysician, 'none'), 'operating' from claims_full
+  union all select coalesce(OtherPhysician, 'none'), 'other' from claims_full) group by Physician, Role
+""", ("U3", "P3", "P8", "P1"))
+def u03_physician_roles(spark, d):
+    c = full(spark, d)
+    parts = [cleanup.rename(c.select(f"{r.title()}Physician"), {f"{r.title()}Physician": "Physician"}).withColumn("Role", F.lit(r))
+             for r in ("attending", "operating", "other")]
+    rows = cleanup.fill_const(reshape.union_all(*parts), "none", ["Physician"])
+    return rows.groupBy("Physician", "Role").agg(F.count(F.lit(1)).alias("n_claims"))
+
+
+@query("u08_transposed_totals", """
+select "column", cast(max(case when Source = 'Inpatient' then v end) as bigint) as "Inpatient",
+  cast(max(case when Source = 'Outpatient' then v end) as bigint) as "Outpatient"
+from (select Source, unnest(['n_claims', 'reimbursed']) as "column", unnest([count(*), sum(InscClaimAmtReimbursed)]) as v
+      from claims_full group by Source) group by "column"
+""", "U8")
+def u08_transposed_totals(spark, d):
+    t = full(spark, d).groupBy("Source").agg(
+        F.count(F.lit(1)).alias("n_claims"), F.sum("InscClaimAmtReimbursed").alias("reimbursed"))
+    return reshape.transpose_by(t, "Source", ["n_claims", "reimbursed"], ["Inpatient", "Outpatient"])
+
+
+@query("j09_join_on_row_id", f"""
+select {row_id_sql(ROW_ID_COLS)} as RowID, ClaimID, cast(ClaimEndDt - ClaimStartDt as integer) as LengthOfStay from claims_dup
+""", ("J9", "W6", "X3"))
+def j09_join_on_row_id(spark, d):
+    c = windows.with_row_id(fx.with_second_copies(full(spark, d)), ROW_ID_COLS)
+    stay = with_length_of_stay(c).select("RowID", "LengthOfStay")
+    return cleanup.join_on_row_id(c.select("RowID", "ClaimID"), stay)
+
+
 @query("u06_named_codes", "select ClaimID, Provider, " + ", ".join(
     f"case when c.{c} is not null then coalesce(l{i}.ShortDescription, c.{c}) end as {c}_Named"
     for i, c in enumerate(diag_cols())) + " from claims_full c " + " ".join(
