@@ -169,6 +169,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, iters:
             "id", (F.lit(reset) + F.lit(1.0 - reset) * F.coalesce(F.col("s"), F.lit(0.0))).alias("rank")
         )
         ranks = _cut(ranks, i, checkpoint_every, iters)
+    w.unpersist()
+    ids.unpersist()
     total = ranks.agg(F.sum("rank")).scalar()
     count = ranks.agg(F.count(F.lit(1)).cast("double")).scalar()
     return ranks.select("id", (F.col("rank") * count / total).alias("pagerank"))
@@ -199,6 +201,8 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, iters: int = 5, che
             "id", F.coalesce(F.col("new"), F.col("label")).alias("label")
         )
         labels = _cut(labels, i, checkpoint_every, iters)
+    adj.unpersist()
+    ids.unpersist()
     return labels
 
 
