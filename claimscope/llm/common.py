@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,19 +59,31 @@ def identity(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(F.col(id_col), F.lit(0), text).alias(KEY), F.xxhash64(text).alias(TEXT_HASH)]
 
 
-def text_chunks(texts: list[str], max_chars: int = 1 << 20, max_rows: int = 4096) -> Iterator[tuple[int, int]]:
-    """(from, to) row ranges of at most ``max_rows`` rows and about ``max_chars`` characters.
-
-    A text longer than that forms a chunk of its own, so nothing is cut.
-    """
+def _cuts(sizes: list[int], max_size: int, max_rows: int) -> Iterator[tuple[int, int]]:
     start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and (size + len(t) > max_chars or i - start >= max_rows):
+    for i, n in enumerate(sizes):
+        if i > start and (size + n > max_size or i - start >= max_rows):
             yield start, i
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def text_chunks(texts: list[str], max_chars: int = 1 << 19, max_rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """(from, to) row ranges of at most ``max_rows`` rows and about ``max_chars`` characters."""
+    return _cuts([len(t) for t in texts], max_chars, max_rows)
+
+
+def column_chunks(column: pa.Array, max_bytes: int = 1 << 19, max_rows: int = 4096) -> Iterator[tuple[int, int, list[str]]]:
+    """(from, to, texts) of row ranges of at most ``max_rows`` rows and about ``max_bytes``; a null text is empty.
+
+    Only one chunk is held as Python strings.  A text longer than the limit forms a chunk of its own, so nothing is
+    cut.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for i, j in _cuts(sizes, max_bytes, max_rows):
+        yield i, j, [t or "" for t in column.slice(i, j - i).to_pylist()]
 
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import KEY, TEXT_HASH, batch_of, identity, keyed_texts, taken, text_chunks, text_or_empty, written
+from claimscope.llm.common import KEY, TEXT_HASH, batch_of, column_chunks, identity, keyed_texts, taken, text_or_empty, written
 from claimscope.llm.words import first_word, word_grams, words_of
 
 GRAM, WINDOW, BITMAP_BITS = 3, 3, 24
@@ -73,9 +73,8 @@ def gram_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str) ->
     def hits(batches):
         known = shared.value
         for b in batches:
-            texts = b.column("__cs_text").to_pylist()
-            for i, j in text_chunks(texts):
-                w = words_of(texts[i:j])
+            for i, _, texts in column_chunks(b.column("__cs_text")):
+                w = words_of(texts)
                 g, d, at = word_grams(w, GRAM)
                 low = g & mask
                 ok = np.flatnonzero((known[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import text_chunks, text_or_empty
+from claimscope.llm.common import column_chunks, text_or_empty
 from claimscope.llm.dom import parse
 from claimscope.llm.html_model import TreeModel, fit, forest, marginals, training_pages
 
@@ -51,10 +51,9 @@ def extract(pages: DataFrame, model: TreeModel, html_col: str = "html", cutoff:
     def run(batches):
         own = TreeModel(*shared.value)
         for b in batches:
-            htmls = b.column("__cs_html").to_pylist()
             texts: list[str] = []
-            for i, j in text_chunks(htmls, max_rows=256):
-                texts += main_texts(htmls[i:j], own, cutoff)
+            for _, _, htmls in column_chunks(b.column("__cs_html"), 1 << 20, 256):
+                texts += main_texts(htmls, own, cutoff)
             kept = [c for c in b.schema.names if c != "__cs_html"]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=[*kept, "text", "n_chars"])
 

@@ -19,11 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import batch_of, text_chunks, text_or_empty
+from claimscope.llm.common import batch_of, column_chunks, text_or_empty
 from claimscope.llm.words import _PLANE, _letters, code_points, mix64
 
 BITS, MAX_N, MAX_DOCS, ALPHA = 16, 3, 4000, 0.5
 UNKNOWN = "und"
+CHUNK = 1 << 18  # bytes of text scored at once
 
 
 @dataclass(frozen=True)
@@ -98,9 +99,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            texts, own = b.column("__cs_text").to_pylist(), b.column("__cs_lang").to_pylist()
-            for i, j in text_chunks(texts):
-                g, d = grams(texts[i:j], bits, max_n)
+            own = b.column("__cs_lang").to_pylist()
+            for i, j, texts in column_chunks(b.column("__cs_text"), CHUNK):
+                g, d = grams(texts, bits, max_n)
                 for lang in sorted(set(own[i:j])):
                     mine = np.array([x == lang for x in own[i:j]])
                     total[lang] = total.get(lang, 0) + np.bincount(g[mine[d]], minlength=1 << bits)
@@ -124,22 +125,18 @@ def score_texts(texts: list[str], model: Model) -> tuple[list[str], np.ndarray]:
     The n-grams of a text depend on each other, so the summed log likelihood is divided by the square root of
     their number before it is turned into probabilities; the order of the languages is that of the sums.
     """
-    bins = len(model.log_prob)
     langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    if not model.langs:
+    g, d = grams(texts, int(len(model.log_prob)).bit_length() - 1, model.max_n)
+    if not model.langs or not len(g):
         return langs, scores
-    for i, j in text_chunks(texts):
-        g, d = grams(texts[i:j], int(bins).bit_length() - 1, model.max_n)
-        if not len(g):
-            continue
-        head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-        n = np.diff(np.append(head, len(d)))
-        total = np.stack([np.add.reduceat(model.log_prob[:, k][g], head) for k in range(len(model.langs))], axis=1)
-        total = (total + model.log_prior) / np.sqrt(n)[:, None]
-        best = total.argmax(axis=1)
-        p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        for row, k, x in zip(d[head], best, p, strict=True):
-            langs[i + row], scores[i + row] = model.langs[k], x
+    head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+    n = np.diff(np.append(head, len(d)))
+    total = np.stack([np.add.reduceat(model.log_prob[:, k][g], head) for k in range(len(model.langs))], axis=1)
+    total = (total + model.log_prior) / np.sqrt(n)[:, None]
+    best = total.argmax(axis=1)
+    p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    for row, k, x in zip(d[head], best, p, strict=True):
+        langs[row], scores[row] = model.langs[k], x
     return langs, scores
 
 
@@ -159,8 +156,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         own = Model(langs, np.stack(columns, axis=1) if columns else np.zeros(shape), prior, max_n)
         own = Model(langs, np.asfortranarray(own.log_prob), prior, max_n)
         for b in batches:
-            got, p = score_texts([t or "" for t in b.column(text_col).to_pylist()], own)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string()), pa.array(p, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            for i, j, texts in column_chunks(b.column(text_col), CHUNK):
+                got, p = score_texts(texts, own)
+                part = b.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.string()), pa.array(p, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(score, out)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import KEY, TEXT_HASH, batch_of, identity, keyed_texts, text_chunks, written
+from claimscope.llm.common import KEY, TEXT_HASH, batch_of, column_chunks, identity, keyed_texts, written
 from claimscope.llm.components import components
 from claimscope.llm.words import mix64, shingles, words_of
 
@@ -128,9 +128,8 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -
 
     def sign(batches):
         for b in batches:
-            texts = b.column("__cs_text").to_pylist()
-            for i, j in text_chunks(texts):
-                doc, element, count = multisets(texts[i:j])
+            for i, j, texts in column_chunks(b.column("__cs_text")):
+                doc, element, count = multisets(texts)
                 keys = band_keys(bag_signatures(doc, element, count, j - i, bands * rows), bands, rows)
                 some = np.bincount(doc, minlength=j - i) > 0
                 sizes = np.zeros(j - i + 1, np.int32)
@@ -162,14 +161,13 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
         last: tuple[str | None, tuple] = (None, ())
         for batch in batches:
-            ta, tb = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            sims = np.zeros(len(ta))
-            for i, j in text_chunks(tb):
-                doc, element, count = multisets(tb[i:j])
+            sims = np.zeros(len(batch))
+            for i, j, tb in column_chunks(batch.column("text_b")):
+                doc, element, count = multisets(tb)
                 edge = np.searchsorted(doc, np.arange(j - i + 1))
                 for k in range(i, j):
-                    if ta[k] != last[0]:
-                        last = (ta[k], multisets([ta[k]])[1:])
+                    if (ta := batch.column("text_a")[k].as_py()) != last[0]:
+                        last = (ta, multisets([ta])[1:])
                     lo, hi = edge[k - i], edge[k - i + 1]
                     sims[k] = overlap(last[1], (element[lo:hi], count[lo:hi]))
             ok = np.flatnonzero(sims >= threshold)
@@ -189,9 +187,8 @@ def remaining_pairs(texts: DataFrame, threshold: float) -> DataFrame:
 
     def split(batches):
         for b in batches:
-            own = b.column("__cs_text").to_pylist()
-            for i, j in text_chunks(own):
-                doc, element, count = multisets(own[i:j])
+            for i, j, own in column_chunks(b.column("__cs_text")):
+                doc, element, count = multisets(own)
                 weight = np.bincount(doc, count, j - i).astype(np.int64)
                 at = pa.array(doc + i)
                 yield batch_of(schema, cls=b.column("cls").take(at), root=b.column("root").take(at), shingle=element.view(np.int64), n=count, weight=weight[doc])
@@ -235,7 +232,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     wanted = member.select("cls").distinct()
     keyed = keyed_texts(docs, id_col, text_col)
     # one text of each class that stands in a bucket
-    place = signs.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(KEY, TEXT_HASH)).alias("p"))
+    place = signs.groupBy("cls").agg(F.min(F.struct(KEY, TEXT_HASH)).alias("p")).join(wanted, "cls", "left_semi")
     texts = keyed.join(place.select("cls", f"p.{KEY}", f"p.{TEXT_HASH}"), [KEY, TEXT_HASH])
     texts = written(texts.select("cls", "__cs_text").dropDuplicates(["cls"]), "texts")
     links = written(verified(pairs, texts, threshold), "links")

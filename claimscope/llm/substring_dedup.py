@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import KEY, TEXT_HASH, batch_of, identity, keyed_texts, taken, text_chunks, text_or_empty, written
+from claimscope.llm.common import KEY, TEXT_HASH, batch_of, column_chunks, identity, keyed_texts, taken, text_or_empty, written
 from claimscope.llm.words import _powers, mix64, sentences_of, words_of
 
 MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 24, 50
@@ -66,10 +66,9 @@ def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def spans(batches):
         for b in batches:
-            texts = b.column("__cs_text").to_pylist()
             schema = pa.schema([("__cs_id", b.schema.field("__cs_id").type), (KEY, pa.int64()), (TEXT_HASH, pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("span", pa.int64())])
-            for i, j in text_chunks(texts):
-                d, start, end, h = spans_of(texts[i:j], min_sentences, min_words, long_sentence)
+            for i, _, texts in column_chunks(b.column("__cs_text")):
+                d, start, end, h = spans_of(texts, min_sentences, min_words, long_sentence)
                 yield batch_of(schema, __cs_id=taken(b.column("__cs_id"), d + i), __cs_key=taken(b.column(KEY), d + i), __cs_th=taken(b.column(TEXT_HASH), d + i), start=start, end=end, span=h.view(np.int64))
 
     return keyed.mapInArrow(spans, out)
@@ -111,21 +110,18 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     out = T.StructType([*docs.schema.fields, T.StructField("cuts", cut_type)])
 
     def cut(batches):
-        for b in batches:
-            texts, ranges = b.column(text_col).to_pylist(), b.column("__cs_cut").to_pylist()
-            gone = []
-            for i, r in enumerate(ranges):
-                gone.append(merged((x["start"], x["end"]) for x in r) if r else [])
-                if r:
-                    t, at, kept = texts[i], 0, []
-                    for a, e in gone[-1]:
-                        kept.append(t[at:a])
-                        at = e
-                    texts[i] = "".join([*kept, t[at:]])
-            cols = {n: b.column(n) for n in b.schema.names if n != "__cs_cut"}
-            cols[text_col] = pa.array(texts, b.schema.field(text_col).type)
-            pairs = pa.array([[{"start": a, "end": e} for a, e in g] for g in gone], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*cols.values(), pairs], names=[*cols, "cuts"])
+        for whole in batches:
+            for i, j, texts in column_chunks(whole.column(text_col), 1 << 21):
+                b = whole.slice(i, j - i)
+                gone = [merged((x["start"], x["end"]) for x in r) if r else [] for r in b.column("__cs_cut").to_pylist()]
+                for k, ranges in enumerate(gone):
+                    if ranges:
+                        edges = [0, *[x for r in ranges for x in r], len(texts[k])]
+                        texts[k] = "".join(texts[k][a:e] for a, e in zip(edges[::2], edges[1::2], strict=True))
+                cols = {n: b.column(n) for n in b.schema.names if n != "__cs_cut"}
+                cols[text_col] = pa.array(texts, b.schema.field(text_col).type)
+                pairs = pa.array([[{"start": a, "end": e} for a, e in g] for g in gone], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([*cols.values(), pairs], names=[*cols, "cuts"])
 
     return both.mapInArrow(cut, out)
 
