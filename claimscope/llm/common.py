@@ -70,11 +70,6 @@ def _cuts(sizes: list[int], max_size: int, max_rows: int) -> Iterator[tuple[int,
         yield start, len(sizes)
 
 
-def text_chunks(texts: list[str], max_chars: int = 1 << 19, max_rows: int = 4096) -> Iterator[tuple[int, int]]:
-    """(from, to) row ranges of at most ``max_rows`` rows and about ``max_chars`` characters."""
-    return _cuts([len(t) for t in texts], max_chars, max_rows)
-
-
 def column_chunks(column: pa.Array, max_bytes: int = 1 << 19, max_rows: int = 4096) -> Iterator[tuple[int, int, list[str]]]:
     """(from, to, texts) of row ranges of at most ``max_rows`` rows and about ``max_bytes``; a null text is empty.
 

@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import TEXT_HASH, keyed_texts, text_chunks, written
+from claimscope.llm.common import TEXT_HASH, column_chunks, keyed_texts, written
 
 LENGTH, END_ID = 4096, 2
 DIMS, BITS = 4, 12
 _SEPARATOR = "\x01"  # a word that no other text yields once texts that hold it are encoded by themselves
-_KNOWN_WORDS = 600_000  # entries of a worker's memory of encoded words; beyond, it starts anew
+_PART = 512  # pieces encoded in one call; longer strings fall out of the processor's cache
+_KNOWN_WORDS = 600_000  # pieces in a worker's memory; beyond, it starts anew and keeps those still in use
 
 
 def tokenizer_path() -> str:
@@ -47,41 +48,58 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids must fit into 16 bits")
+        self.ends_word = np.zeros(1 << 16, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.separator = self._ids(_SEPARATOR)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}  # what was known until the memory last started anew
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _SEPARATOR not in w and w]
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(self._ids(f" {_SEPARATOR} ".join(part)), np.int64)
-            cut = np.flatnonzero(ids == self.separator[0]) if len(self.separator) == 1 else np.zeros(0, np.int64)
-            if len(cut) == len(part) - 1:
-                for w, x in zip(part, np.split(ids, cut), strict=True):
-                    self.known[w] = x[x != self.separator[0]].astype("<u2").tobytes()
-            else:
-                for w in part:
-                    self.known[w] = np.array(self._ids(w), "<u2").tobytes()
+        """A piece of letters alone is one word of the tokenizer, whose last id ends a word; other pieces are set
+        apart by a separator."""
+        one = [w for w in words if w.isalpha() and "\u0130" not in w]  # its lower case holds a mark
+        more = [w for w in words if not w.isalpha() and _SEPARATOR not in w]
+        for part in (one[i : i + _PART] for i in range(0, len(one), _PART)):
+            ids = np.array(self._ids(" ".join(part)), "<u2")
+            ends = (2 * np.flatnonzero(self.ends_word[ids]) + 2).tolist()
+            self._cut(part, ids, [0, *ends[:-1]], ends)
+        for part in (more[i : i + _PART] for i in range(0, len(more), _PART)):
+            ids = np.array(self._ids(f" {_SEPARATOR} ".join(part)), "<u2")
+            cut = (2 * np.flatnonzero(ids == self.separator[0])).tolist() if len(self.separator) == 1 else []
+            self._cut(part, ids, [0, *[c + 2 for c in cut]], [*cut, 2 * len(ids)])
         for w in words:
             if w not in self.known:
                 self.known[w] = np.array(self._ids(w), "<u2").tobytes()
 
+    def _cut(self, words: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        """Remember the words' ids, if there are as many stretches of ids as words."""
+        if len(words) == len(starts) == len(ends):
+            data = ids.tobytes()
+            self.known.update(zip(words, map(data.__getitem__, map(slice, starts, ends)), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]  # other white space stays inside a piece
-        new = set().union(*split).difference(self.known)
+        rows = [list(map(self.known.get, s)) for s in split]
+        gaps = [(k, [i for i, x in enumerate(r) if x is None]) for k, r in enumerate(rows) if None in r]
+        new = {split[k][i] for k, at in gaps for i in at}
         if new:
             if len(self.known) + len(new) > _KNOWN_WORDS:
-                self.known.clear()
-                new = set().union(*split)
-            self._learn(sorted(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+                self.before, self.known = self.known, {"": b""}
+            again = new.intersection(self.before)
+            self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
+            self._learn(sorted(new.difference(again)))
+            for k, at in gaps:
+                row, pieces = rows[k], split[k]
+                for i in at:
+                    row[i] = self.known[pieces[i]]
+        return [b"".join(r) for r in rows]
 
 
 @lru_cache(maxsize=4)
@@ -139,10 +157,9 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int)
     def encode(batches):
         encoder = _encoder(path)
         for b in batches:
-            texts = b.column("__cs_text").to_pylist()
             kept = [c for c in b.schema.names if c != "__cs_text"]
-            for i, j in text_chunks(texts):
-                rows = encoder.encode(texts[i:j])
+            for i, j, texts in column_chunks(b.column("__cs_text")):
+                rows = encoder.encode(texts)
                 edges = np.zeros(j - i + 1, np.int64)
                 np.cumsum([len(x) // 2 for x in rows], out=edges[1:])
                 vectors = document_vectors(np.frombuffer(b"".join(rows), "<u2"), edges)
@@ -167,6 +184,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     ordered = ordered.select("__cs_id", "n", "ids")
 
     def cut(batches):
+        _encoder.cache_clear()  # all texts are encoded: the worker's memory of words can go
         base = TaskContext.get().partitionId() << 40
         sequence, filled = 0, []  # the pieces of the sequence that is being filled
         room = length
