@@ -1,30 +1,30 @@
-"""Operator 8: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
-
-1. Every run of three words of a test item is a possible seed.  A bitmap of their hashes, of fixed size, is broadcast;
-   one pass over the documents keeps the runs that it lets through, a small part of all.
-2. Joined to the items' runs, these give each run's document frequency.  Of every ``window`` consecutive runs of an
-   item the rarest becomes a seed, so every stretch of an item is covered however common its words are.
-3. Seeds join documents to items; around each hit lies the window of words that the item could take up.  Windows of
-   one item that overlap are merged, and only these windows travel on, not the documents.
-4. Smith-Waterman aligns item and window, word by word: match 1, mismatch and gap -1.  The item is found if the
-   score reaches ``needed_score``; edits, insertions and omissions only lower it.
-
-No seed, candidate or item is capped.  A passage that a third of the documents hold yields rows in proportion to
-those documents; the joins are on (run) and (item), which AQE splits where one key is hot.
+"""Operator 8: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
+
+1. Every run of three words of a test item is a seed.  A bitmap of their hashes, of fixed size, is broadcast; one pass
+   over the documents keeps the runs that it lets through, a small part of all.
+2. Seeds join documents to items, every run that a document holds; around each hit lies the window of words that the
+   item could take up.  Windows of one item that overlap are merged, and only these windows travel on, not the documents.
+3. Smith-Waterman aligns item and window, word by word: match 1, mismatch and gap -1.  The item is found if the
+   score reaches ``needed_score``; edits, insertions and omissions only lower it.  Windows that hold fewer words of the
+   item than that are not aligned.
+
+No seed, candidate or item is capped; only a copy that holds no three words of the item in a row has no seed.  A passage
+that a third of the documents hold yields rows in proportion to those documents; the joins are on (run) and (item),
+which AQE splits where one key is hot.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimscope.llm.common import KEY, TEXT_HASH, batch_of, column_chunks, identity, keyed_texts, taken, text_or_empty, written
 from claimscope.llm.words import first_word, word_grams, words_of
 
-GRAM, WINDOW, BITMAP_BITS = 3, 3, 24
+GRAM, BITMAP_BITS = 3, 24
 SHARE, LEAST_WORDS, ENOUGH_WORDS = 0.5, 8, 20
 
 
@@ -116,7 +116,7 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: float = SHARE, least: int = LEAST_WORDS, enough: int = ENOUGH_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, least: int = LEAST_WORDS, enough: int = ENOUGH_WORDS) -> DataFrame:
     """One row for each document and item found in it: ``__cs_key``, ``__cs_th``, ``__cs_id``, ``item_id``, ``score``,
     ``item_words``, ``word_from`` and ``word_to`` (the best window, in words of the document).
 
@@ -126,12 +126,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     item = written(item_words(items, item_id_col, item_text_col), "items")
     grams = item.select("item", F.size("words").alias("len"), F.posexplode("grams").alias("pos", "gram"))
     hits = written(gram_hits(docs, grams.select("gram"), id_col, text_col), "hits")
-    known = grams.select("gram").distinct()
-    seen = hits.join(known, "gram", "left_semi").groupBy("gram", KEY, TEXT_HASH).agg(F.lit(1).alias("one")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = grams.join(seen, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ahead = Window.partitionBy("item").orderBy("pos").rowsBetween(0, window - 1)  # an item's own words, never more
-    seeds = ranked.select("item", "len", F.min(F.struct("df", "pos", "gram")).over(ahead).alias("s")).select("item", "len", "s.pos", "s.gram").distinct()
-    found = hits.join(written(seeds, "seeds"), "gram")
+    found = hits.join(grams, "gram")
     slack = F.expr("4 + len div 4")
     spans = found.select(KEY, TEXT_HASH, "item", (F.col("at") - F.col("pos") - slack).alias("lo"), (F.col("at") - F.col("pos") + F.col("len") + slack).alias("hi"))
     wanted = spans.distinct().groupBy(KEY, TEXT_HASH).agg(F.collect_list(F.struct("item", "lo", "hi")).alias("spans"))
@@ -157,16 +152,21 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*kept, pa.array(num, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=[f.name for f in cut_type])
 
     cut = keyed.mapInArrow(windows, cut_type)
-    both = cut.join(item.select("item", "item_id", "words"), "item")
+    both = cut.join(item.select("item", "item_id", "words", needed_score(F.size("words"), share, least, enough).alias("needed")), "item")
     scored_type = T.StructType([both.schema[c] for c in (KEY, TEXT_HASH, "__cs_id", "item", "item_id", "word_from", "word_to")] + [T.StructField("item_words", T.IntegerType()), T.StructField("score", T.IntegerType())])
 
     def score(batches):
         for b in batches:
             a, w = ([x.values.to_numpy(zero_copy_only=False) for x in b.column(c)] for c in ("words", "part"))
             kept = [b.column(c) for c in (KEY, TEXT_HASH, "__cs_id", "item", "item_id", "word_from", "word_to")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(x) for x in a], pa.int32()), pa.array(align(a, w), pa.int32())], names=[f.name for f in scored_type])
-
-    scored = both.mapInArrow(score, scored_type).where(F.col("score") >= needed_score(F.col("item_words"), share, least, enough))
+            needed = b.column("needed").to_pylist()
+            able = [k for k, n in enumerate(needed) if np.isin(a[k], w[k]).sum() >= n]  # each word of the item matches once
+            best = np.zeros(len(a), np.int32)
+            best[able] = align([a[k] for k in able], [w[k] for k in able])
+            ok = np.flatnonzero(best >= np.array(needed))
+            yield pa.RecordBatch.from_arrays([*[taken(x, ok) for x in kept], pa.array([len(a[k]) for k in ok], pa.int32()), pa.array(best[ok], pa.int32())], names=[f.name for f in scored_type])
+
+    scored = both.mapInArrow(score, scored_type)
     best = scored.groupBy(KEY, TEXT_HASH, "item").agg(F.max(F.struct("score", (-F.col("word_from")).alias("before"), "word_to", "__cs_id", "item_id", "item_words")).alias("m"))
     return best.select(KEY, TEXT_HASH, "m.__cs_id", "m.item_id", "m.score", "m.item_words", (-F.col("m.before")).alias("word_from"), "m.word_to")
 

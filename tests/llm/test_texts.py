@@ -121,6 +121,23 @@ def test_copies_and_edited_copies_are_found(spark, docs_of, leaks):
     assert contaminated(docs_of(docs).where("doc_id < 0"), bench).count() == 0
 
 
+def test_copies_with_an_edit_every_few_words_are_found(spark, docs_of):
+    rng = random.Random(10)
+    items = [(i, words(rng, 40)) for i in range(12)]
+    docs = [(100, items[0][1]), (101, items[1][1])]  # exact copies of two beside the edited ones
+    for i, t in items:
+        w = t.split()
+        for every in (4, 5):
+            for shift in (every - 1, rng.randrange(every)):
+                edited = [words(rng, 1) if k % every == shift else x for k, x in enumerate(w)]
+                docs.append((len(docs), words(rng, 30) + "\n" + " ".join(edited) + " " + words(rng, 30)))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["__cs_id"], r.item_id): r.score for r in contaminated(docs_of(docs), bench).collect()}
+    want = {(d, i): brute_score(t.split(), x.split()) for d, x in docs for i, t in items}
+    want = {k: v for k, v in want.items() if v >= 20}
+    assert got == want and len(want) >= 40
+
+
 # ---- tokens ----------------------------------------------------------------------------------------------------
 def test_sections_add_up_and_shares_equal_brute_force(docs_of):
     texts = odd_texts(random.Random(4)) + ["one two\nthree\n\nfour", "no feed"]
