@@ -12,12 +12,17 @@ TOKEN = re.compile(
 )
 LOOSE = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>")
 HINTS = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-STYLE_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+MAY_HIDE = re.compile("hidden|style", re.I)
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select button object audio video canvas head".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())  # end at their end tag only
+UNSEEN = frozenset("template svg select button object audio video canvas head".split())
+IN_HEAD = RAW | frozenset("base link meta template basefont bgsound head".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | MATH
 CLOSES_P = frozenset("address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag on the left ends an open element on the right, unless one of the third stands between.
 IMPLIED = {
@@ -47,10 +52,12 @@ def parse(html: str) -> Page:
     """Blocks and text leaves of a page.
 
     Text between two block bounds is one leaf, whatever inline markup it has.  Scripts, styles, form controls,
-    comments and hidden elements give no leaf.  Unclosed and stray tags are accepted as browsers do.
+    comments and hidden elements give no leaf.  Unclosed and stray tags are accepted as browsers do; a hidden element
+    ends where a visible one would.
     """
     page = Page()
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with their block's node
+    marks: list[int] = []  # places of hidden elements on the stack; without any, text is seen
     buffer: list[str] = []
     links = linked = at = 0
     size = len(html)
@@ -71,24 +78,45 @@ def parse(html: str) -> Page:
 
     def close_to(depth: int) -> None:
         nonlocal links
+        if not marks or depth < marks[0]:
+            flush()
         while len(stack) > depth:
             name, _ = stack.pop()
             if name == "a":
                 links -= 1
+        while marks and marks[-1] >= depth:
+            marks.pop()
+
+    def end_inline(d: int) -> None:
+        """Ends one inline element, with all in it if that holds a hidden one."""
+        nonlocal links
+        past = len(stack) if marks and marks[-1] > d else d + 1
+        links -= sum(name == "a" for name, _ in stack[d:past])
+        del stack[d:past]
+        while marks and marks[-1] >= d:
+            marks.pop()
+
+    def seen(text: str) -> None:
+        nonlocal linked
+        if stack[-1][0] == "head" and not text.isspace():  # text ends a head
+            close_to(len(stack) - 1)
+        if not marks:
+            buffer.append(text)
+            if links:
+                linked += len(text)
 
     while at < size:
         lt = html.find("<", at)
         if lt < 0:
             lt = size
         if lt > at:
-            buffer.append(html[at:lt])
-            if links:
-                linked += lt - at
+            seen(html[at:lt])
         if lt >= size:
             break
         m = TOKEN.match(html, lt) or LOOSE.match(html, lt)
         if m is None:
-            buffer.append("&lt;")
+            if not marks:
+                buffer.append("&lt;")
             at = lt + 1
             continue
         at = m.end()
@@ -100,54 +128,59 @@ def parse(html: str) -> Page:
             if tag in INLINE:
                 for d in range(len(stack) - 1, 0, -1):
                     if stack[d][0] == tag:
-                        if tag == "a":
-                            links -= 1
-                        del stack[d]
+                        end_inline(d)
                         break
                     if stack[d][0] not in INLINE:
                         break
-                if tag == "br":
+                if tag == "br" and not marks:
                     buffer.append(" ")
                 continue
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d][0] == tag:
-                    flush()
                     close_to(d)
                     break
             else:
-                if tag == "p":
+                if tag == "p" and not marks:
                     flush()
             continue
         attrs = m["attrs"]
-        if tag in RAW or (attrs and STYLE_HIDDEN.search(attrs)):
-            if tag in VOID or attrs.endswith("/") and tag not in RAW:
-                continue
-            if tag not in INLINE and tag not in ("script", "style", "noscript", "svg", "button", "select"):
-                flush()
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            close_to(len(stack) - 1)
+        if tag in RAW and not (marks and any(name == "svg" for name, _ in stack)):
+            if not marks:
+                if tag not in ("script", "style", "noscript"):
+                    flush()
+                buffer.append(" ")
             at = _skip(html, at, tag)
-            buffer.append(" ")
+            continue
+        hides = tag in UNSEEN or bool(attrs) and _hides(attrs)
+        if attrs.endswith("/") and (tag in MATH or tag == "svg" or hides and tag not in UNSEEN) or hides and tag in VOID:
             continue
         if tag in INLINE:
             if tag in ("br", "img", "wbr"):
-                if tag == "br":
+                if tag == "br" and not marks:
                     buffer.append(" ")
                 continue
             if tag == "a":
                 for d in range(len(stack) - 1, 0, -1):  # a link does not hold another
                     if stack[d][0] == "a":
-                        del stack[d]
-                        links -= 1
+                        end_inline(d)
                         break
                     if stack[d][0] not in INLINE:
                         break
                 links += 1
+            if not marks and (hides or tag in ("mtr", "mtd")):
+                buffer.append(" ")
+            if hides:
+                marks.append(len(stack))
             stack.append((tag, stack[-1][1]))
             continue
         if tag in VOID:
-            if tag == "hr":
+            if tag == "hr" and not marks:
                 flush()
             continue
-        flush()
+        if not marks and tag not in ("svg", "button", "select"):
+            flush()
         if tag in CLOSES_P:
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d][0] == "p":
@@ -166,6 +199,14 @@ def parse(html: str) -> Page:
                         break
         if tag in ("html", "body") and any(n == tag for n, _ in stack):
             continue
+        if hides:
+            if not marks:
+                buffer.append(" ")
+            marks.append(len(stack))
+        if marks:
+            stack.append((tag, stack[-1][1]))
+            continue
+        flush()
         hints = " ".join(x for g in HINTS.findall(attrs) for x in g if x) if attrs else ""
         page.parent.append(stack[-1][1])
         page.tag.append(tag)
@@ -179,18 +220,20 @@ def parse(html: str) -> Page:
     return page
 
 
+def _hides(attrs: str) -> bool:
+    """Do the attributes of a start tag hide its element?  Names and values count, not words inside other values."""
+    if not MAY_HIDE.search(attrs):
+        return False
+    own: dict[str, str] = {}
+    for name, *values in ATTR.findall(attrs):
+        own.setdefault(name.lower(), unescape("".join(values)))
+    if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    shown = DISPLAY.findall(own.get("style", ""))
+    return bool(shown) and shown[-1].lower() == "none"
+
+
 def _skip(html: str, at: int, tag: str) -> int:
-    """Position after the end tag of an element whose content is not read; its start tag ends at ``at``."""
-    depth = 1
-    nested = tag not in ("script", "style", "textarea", "title", "xmp", "noscript")
-    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(html, at):
-        if m[1]:
-            depth -= 1
-        elif nested and not m[0].endswith("/>"):
-            depth += 1
-        if not depth:
-            return m.end()
-    if tag == "head":  # an unclosed head ends where the body begins
-        m = re.compile(r"<(?:body|article|main|div|p|h1)\b", re.I).search(html, at)
-        return m.start() if m else len(html)
-    return len(html)
+    """Position after the end tag of an element whose content is not markup; its start tag ends at ``at``."""
+    m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+    return m.end() if m else len(html)

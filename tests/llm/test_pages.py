@@ -43,6 +43,32 @@ def test_leaves(html, want):
     assert leaves(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<p hidden>a<p>b</p><p>c</p>", ["b", "c"]),
+        ("<ul><li>a<li hidden>no<li>c</ul><p>d", ["a", "c", "d"]),
+        ("<table><tr><td>a<td hidden>no<td>b<tr hidden><td>no<tr><td>c</table>d", ["a", "b", "c", "d"]),
+        ("<dl><dt>a<dd hidden>no<dt>b</dl>c", ["a", "b", "c"]),
+        ("<div><div hidden>no<p>no</div>yes</div>out", ["yes", "out"]),
+        ("<div><div hidden>no</div></div><p>a<span hidden>no</p>b", ["a", "b"]),
+        ("a <a href=/><span hidden>no</a> b<span hidden>no<div>no</div></span>c", ["a b c"]),
+        ("<div>a<button>no<div>no</div></button>b<select><option>no<option>no</div>c", ["a b", "c"]),
+        ("<div><p>a<button>no</div><p>c</p>", ["a", "c"]),
+        ("a<svg/>b<svg><title>no</svg>c", ["ab c"]),
+        ('<article data-title="the hidden valley">a</article>', ["a"]),
+        ('<div class="flex hidden md:block">a</div>', ["a"]),
+        ("<p title='display:none'>a</p><p data-x='aria-hidden=true'>b</p>", ["a", "b"]),
+        ("<p style='x-display:none'>a</p><p style='display:none;display:block'>b</p><p aria-hidden=false>c", ["a", "b", "c"]),
+        ("<p HIDDEN=''>no</p><p Style = 'color:red; Display : None'>no</p><p aria-hidden=TRUE>no</p>a", ["a"]),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><mspace/></math> hold.</p>", ["Let x=1 hold."]),
+        ("<head><title>no</title><div>a</div></head>b", ["a", "b"]),
+    ],
+)
+def test_hidden_elements_end_like_others(html, want):
+    assert leaves(html) == want
+
+
 def test_deep_and_wide_pages():
     assert leaves("<div>" * 5000 + "x" + "</div>" * 5000) == ["x"]
     assert len(leaves("<p>x" * 20000)) == 20000
