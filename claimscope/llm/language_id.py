@@ -39,6 +39,16 @@ def _letter_table() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(_PLANE)])
 
 
+def _letters_of(cp: np.ndarray) -> np.ndarray:
+    """Is each code point a letter?  Those above the first plane are looked up once for each distinct one."""
+    letter = _LETTER[0][np.minimum(cp, _PLANE - 1)]
+    high = np.flatnonzero(cp >= _PLANE)
+    if len(high):
+        distinct, place = np.unique(cp[high], return_inverse=True)
+        letter[high] = np.array([chr(c).isalpha() for c in distinct])[place]
+    return letter
+
+
 _LETTER: list[np.ndarray] = []
 
 
@@ -48,7 +58,7 @@ def grams(texts: list[str], bits: int, max_n: int) -> tuple[np.ndarray, np.ndarr
         _LETTER.append(_letter_table())
     cp, doc_start = code_points(texts)
     low = np.minimum(cp, _PLANE - 1)
-    letter = _LETTER[0][low] | (cp >= _PLANE)
+    letter = _letters_of(cp)
     value = np.where(letter, _letters()[1][low] ^ (cp >= _PLANE) * cp.astype(np.uint64), np.uint64(0))
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # of a run of edges only the first stays

@@ -63,6 +63,16 @@ def test_language_of_odd_texts(spark, labelled):
     assert {r.lang_pred for r in predict(docs, train(labelled.where("doc_id < 0"))).collect()} == {"und"}
 
 
+def test_astral_characters_are_letters_only_if_they_are(spark, labelled):
+    model = train(labelled)
+    texts = ["👍 🎉 123", "🎉", "𝟙𝟚", "𠮷野", "𝐚", "🎉𐐨🎉", "𐐀 1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in predict(docs, model).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].lang_pred == "und") == (got[i].score == 0) == (not any(c.isalpha() for c in t))
+    assert keep_known_language(labelled.unionByName(docs.where("doc_id < 3").selectExpr("doc_id + 2000 as doc_id", "text", "'xx' as lang", "'x' as score"))).where("doc_id >= 2000").count() == 0
+
+
 def test_stage_keeps_columns_and_clean_documents(labelled):
     kept = keep_known_language(labelled)
     assert kept.columns == labelled.columns
