@@ -212,7 +212,8 @@ def remaining_pairs(texts: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """One row for each input row: ``__cs_id``, ``__cs_key``, ``__cs_th``, ``cls`` (equal multisets), ``root`` (the
-    group's class) and ``n_links`` (of its class).
+    group's class) and ``n_verified`` (pairs of its class that were compared and hold the group together; members of a
+    group that were never compared with each other do not count).
 
     Texts that differ only in case, punctuation or white space are of one class.  Null and empty texts form one
     class.  Ties, repeated rows and repeated ids change nothing: classes and groups depend on texts alone.
@@ -244,10 +245,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rest = remaining_pairs(texts.join(open_, "cls"), threshold)
     more = written(verified(rest, texts, threshold), "links")
     roots = components(links.unionByName(more).select("a", "b"))
-    degree = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_verified"))
     known = written(roots.withColumnRenamed("node", "cls").join(degree, "cls"), "known")
     out = signs.drop("bands").join(known, "cls", "left")
-    return out.withColumns({"root": F.coalesce("root", "cls"), "n_links": F.coalesce("n_links", F.lit(0))})
+    return out.withColumns({"root": F.coalesce("root", "cls"), "n_verified": F.coalesce("n_verified", F.lit(0))})
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -263,9 +264,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document with its group: doc_id, class_id (hex, equal texts up to case and punctuation), group_id (least
-    doc_id of the group), group_size, n_links (links of its class to others) and keep."""
+    doc_id of the group), group_size, n_verified (pairs of its class that were
+    compared and hold the group together, not all similar texts) and keep."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = written(near_duplicate_groups(docs), "groups")
     groups = written(rows.groupBy("root").agg(F.min("__cs_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")), "sizes")
     out = rows.join(groups, "root")
-    return out.select(F.col("__cs_id").alias("doc_id"), F.lower(F.hex("cls")).alias("class_id"), "group_id", "group_size", "n_links", F.col("__cs_id").eqNullSafe(F.col("group_id")).alias("keep"))
+    return out.select(F.col("__cs_id").alias("doc_id"), F.lower(F.hex("cls")).alias("class_id"), "group_id", "group_size", "n_verified", F.col("__cs_id").eqNullSafe(F.col("group_id")).alias("keep"))

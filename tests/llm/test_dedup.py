@@ -80,6 +80,15 @@ def test_groups_equal_brute_force(docs_of, corpus):
     assert [first[r.root] for r in sorted(got, key=lambda r: r["__cs_id"])] == brute_groups([t or "" for _, t in corpus])
 
 
+def test_verified_pairs_hold_the_group_together(docs_of):
+    rng = random.Random(11)
+    hot = words(rng, 120)
+    got = near_duplicate_groups(docs_of([(i, edited(rng, hot, 1)) for i in range(12)] + [(12, words(rng, 50))])).collect()
+    pairs = {r["__cs_id"]: r.n_verified for r in got}
+    assert "n_links" not in got[0].asDict() and pairs.pop(12) == 0
+    assert all(pairs.values()) and sum(pairs.values()) >= 2 * 11  # a tree at least, not every similar pair
+
+
 def test_keep_one_with_null_ids_and_repeated_rows(docs_of):
     rng = random.Random(6)
     a, b, c = words(rng, 60), words(rng, 50), words(rng, 40)
