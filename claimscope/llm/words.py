@@ -42,6 +42,12 @@ def _spaces() -> np.ndarray:
     return np.array([chr(c).isspace() for c in range(_PLANE)])
 
 
+@lru_cache(maxsize=1)
+def _closers() -> np.ndarray:
+    """Closing quotes and brackets, and the straight quotes."""
+    return np.array([c in (34, 39) or unicodedata.category(chr(c)) in ("Pe", "Pf") for c in range(_PLANE)])
+
+
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -147,15 +153,21 @@ class Sentences(NamedTuple):
 
 
 def sentences_of(w: Words) -> Sentences:
-    """Sentences end after a full stop, exclamation or question mark before white space, and at line ends.
+    """Sentences end after a full stop, exclamation or question mark before white space, after an ideographic full stop
+    or a full-width mark whatever follows, and at line ends.  Closing quotes and brackets after a stop go with it.
 
     A piece without words joins the sentence before it in its text; a text without words has no sentence.
     """
     cp = w.cp
     low = np.minimum(cp, _PLANE - 1)
     space = _spaces()[low]
-    stop = (cp == 46) | (cp == 33) | (cp == 63) | (cp == 0x3002)
-    cut = cp == 10
+    wide = (cp == 0x3002) | (cp == 0xFF01) | (cp == 0xFF1F)
+    stop = (cp == 46) | (cp == 33) | (cp == 63) | wide
+    closer = _closers()[low]
+    if (stop[:-1] & closer[1:]).any():
+        before = np.maximum.accumulate(np.where(closer, 0, np.arange(len(cp))))  # what a run of closers follows
+        stop, wide = stop[before], wide[before]
+    cut = (cp == 10) | wide
     cut[:-1] |= stop[:-1] & space[1:]
     # a word opens a sentence if a cut lies between it and the word before it, or another text begins
     cuts = np.zeros(len(cp) + 1, np.int64)

@@ -150,6 +150,16 @@ def test_repeated_spans_equal_brute_force(docs_of):
             assert sum(t.count(p) for t in got.values()) == 1
 
 
+def test_repeated_spans_in_wide_and_quoted_lines(docs_of):
+    rng = random.Random(12)
+    wide = "".join("漢 字 " * 8 + f"{k}。" for k in range(4))  # no blank after a stop
+    quoted = " ".join(f'"{words(rng, 15)}."' for _ in range(4))
+    rows = [(1, "一。" + wide + "二三"), (2, "四五。" + wide + "六"), (3, "One. " + quoted + " Two three"), (4, "Four five. " + quoted + " Six")]
+    got = {r.doc_id: r.text for r in remove_repeated_spans(docs_of(rows)).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1]
+    assert got[2] == "四五。六" and got[4] == "Four five. Six"
+
+
 def test_repeated_rows_are_one_document(docs_of):
     rng = random.Random(8)
     text = " ".join(words(rng, 12).capitalize() + "." for _ in range(6))

@@ -35,6 +35,17 @@ def test_words_and_sentences():
     assert s.words.tolist() == [2, 1, 4] and s.doc.tolist() == [0, 0, 0]
 
 
+def test_sentences_with_closing_quotes_and_wide_stops():
+    of = lambda t: sentences_of(words_of([t]))
+    text = 'He said "one two." Then (three four.) Five!”\'» six. 5.5 "a"b.'
+    s = of(text)
+    assert [text[a:z].strip() for a, z in zip(s.start, s.end, strict=True)] == ['He said "one two."', "Then (three four.)", "Five!”'»", "six.", '5.5 "a"b.']
+    text = "一二。三四！「五六。」七八？九"
+    s = of(text)
+    assert [text[a:z] for a, z in zip(s.start, s.end, strict=True)] == ["一二。", "三四！", "「五六。」", "七八？", "九"]
+    assert of(')"one two').words.tolist() == [2] and of("..)))").words.tolist() == []
+
+
 # ---- language ------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def labelled(spark):
