@@ -160,6 +160,16 @@ def test_repeated_spans_in_wide_and_quoted_lines(docs_of):
     assert got[2] == "四五。六" and got[4] == "Four five. Six"
 
 
+def test_limit_of_passages_glued_to_other_text(docs_of):
+    """README: a passage glued to differing text keeps one whole sentence of under 50 words, and is not found."""
+    rng = random.Random(13)
+    one, two = (words(rng, 30).capitalize() + "." for _ in range(2))
+    rows = [(1, f"Heading {one} {two} Tail."), (2, f"Other title {one} {two} End."), (3, f"Third.\n{one} {two}\nLast."), (4, f"Fourth.\n{one} {two}\nStop.")]
+    got = {r.doc_id: r.text for r in remove_repeated_spans(docs_of(rows)).collect()}
+    assert [got[i] == t for i, t in rows] == [True, True, True, False]
+    assert one not in got[4] and two not in got[4]
+
+
 def test_repeated_rows_are_one_document(docs_of):
     rng = random.Random(8)
     text = " ".join(words(rng, 12).capitalize() + "." for _ in range(6))
