@@ -1,6 +1,6 @@
 """Operator 8: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-1. Every run of three words of a test item is a seed.  A bitmap of their hashes, of fixed size, is broadcast; one pass
+1. Every run of three words of a test item is a seed; of a shorter item, the run of all its words is.  A bitmap of their hashes, of fixed size, is broadcast; one pass
    over the documents keeps the runs that it lets through, a small part of all.
 2. Seeds join documents to items, every run that a document holds; around each hit lies the window of words that the
    item could take up.  Windows of one item that overlap are merged, and only these windows travel on, not the documents.
@@ -34,8 +34,8 @@ def needed_score(words: Column, share: float = SHARE, least: int = LEAST_WORDS,
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item`` (number), ``item_id``, ``words`` (hashes), ``grams`` (hashes of the runs of three words) of distinct
-    items.  Items of fewer than three words have no run and are never found."""
+    """``item`` (number), ``item_id``, ``words`` (hashes), ``grams`` (hashes of the runs of three words, or of
+    all words of a shorter item) of distinct items.  Items without a word have no run and are never found."""
     src = items.select(F.col(id_col).alias("item_id"), text_or_empty(text_col).alias("text")).distinct()
     src = src.select(F.xxhash64(F.col("item_id"), F.lit(0), F.col("text")).alias("item"), "item_id", "text")
     out = T.StructType([src.schema["item"], src.schema["item_id"], T.StructField("words", T.ArrayType(T.LongType())), T.StructField("grams", T.ArrayType(T.LongType()))])
@@ -46,7 +46,7 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
             for t in b.column("text").to_pylist():
                 w = words_of([t])
                 words.append(w.hash.view(np.int64))
-                grams.append(word_grams(w, GRAM)[0].view(np.int64))
+                grams.append(word_grams(w, max(1, min(GRAM, len(w.hash))))[0].view(np.int64))
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("item"), b.column("item_id"), pa.array(words, lists), pa.array(grams, lists)], names=["item", "item_id", "words", "grams"])
 
@@ -64,9 +64,13 @@ def bitmap(grams: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
 
 
 def gram_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``__cs_key``, ``__cs_th``, ``gram``, ``at`` (number of the first word) of runs that the bitmap lets through."""
+    """``__cs_key``, ``__cs_th``, ``gram``, ``at`` (number of the first word) of runs that the bitmap lets through.
+
+    ``grams`` has ``gram`` and ``len`` (words of its item), which tells the lengths of the runs.
+    """
     keyed = keyed_texts(docs, id_col, text_col).drop("__cs_id")
     mask = np.uint64((1 << BITMAP_BITS) - 1)
+    sizes = sorted(r["n"] for r in grams.select(F.least("len", F.lit(GRAM)).alias("n")).distinct().collect())  # at most GRAM
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(grams))
     schema = pa.schema([(KEY, pa.int64()), (TEXT_HASH, pa.int64()), ("gram", pa.int64()), ("at", pa.int64())])
 
@@ -75,10 +79,12 @@ def gram_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str) ->
         for b in batches:
             for i, _, texts in column_chunks(b.column("__cs_text")):
                 w = words_of(texts)
-                g, d, at = word_grams(w, GRAM)
-                low = g & mask
-                ok = np.flatnonzero((known[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
-                if len(ok):
+                for n in sizes:
+                    g, d, at = word_grams(w, n)
+                    low = g & mask
+                    ok = np.flatnonzero((known[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
+                    if not len(ok):
+                        continue
                     yield batch_of(schema, __cs_key=taken(b.column(KEY), d[ok] + i), __cs_th=taken(b.column(TEXT_HASH), d[ok] + i), gram=g[ok].view(np.int64), at=at[ok] - first_word(w)[d[ok]])
 
     return keyed.mapInArrow(hits, "__cs_key bigint, __cs_th bigint, gram bigint, at bigint")
@@ -125,7 +131,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """
     item = written(item_words(items, item_id_col, item_text_col), "items")
     grams = item.select("item", F.size("words").alias("len"), F.posexplode("grams").alias("pos", "gram"))
-    hits = written(gram_hits(docs, grams.select("gram"), id_col, text_col), "hits")
+    hits = written(gram_hits(docs, grams.select("gram", "len"), id_col, text_col), "hits")
     found = hits.join(grams, "gram")
     slack = F.expr("4 + len div 4")
     spans = found.select(KEY, TEXT_HASH, "item", (F.col("at") - F.col("pos") - slack).alias("lo"), (F.col("at") - F.col("pos") + F.col("len") + slack).alias("hi"))

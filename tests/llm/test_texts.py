@@ -142,6 +142,14 @@ def test_copies_and_edited_copies_are_found(spark, docs_of, leaks):
     assert contaminated(docs_of(docs).where("doc_id < 0"), bench).count() == 0
 
 
+def test_items_of_one_or_two_words_are_found(spark, docs_of):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "two words"), (3, ""), (4, "three short words"), (5, "?!")], "item_id bigint, text string")
+    docs = docs_of([(1, "yes"), (2, "Two words."), (3, "words two"), (4, "here are two, words and yes at the end"), (5, ""), (6, None), (7, "three short words"), (8, "yesterday")])
+    got = {(r["__cs_id"], r.item_id): (r.score, r.item_words) for r in contaminated(docs, bench).collect()}
+    assert got == {(1, 1): (1, 1), (2, 2): (2, 2), (4, 1): (1, 1), (4, 2): (2, 2), (7, 4): (3, 3)}
+    assert contaminated(docs, bench.where("item_id in (3, 5)")).count() == 0
+
+
 def test_copies_with_an_edit_every_few_words_are_found(spark, docs_of):
     rng = random.Random(10)
     items = [(i, words(rng, 40)) for i in range(12)]
