@@ -6,9 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY, TEXT_HASH = "__cs_key", "__cs_th"
@@ -41,6 +42,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """``df`` with ``__cs_row``, its rows' numbers from 0 in the order of ``keys`` (nulls first), over the whole table.
+
+    One range shuffle and a table of one row a partition, whose running sum gives each partition its first number.
+    Rows equal in ``keys`` are told apart by their place in a written table, so that a row repeated very often is
+    dealt over many partitions.  Only DataFrame functions.
+    """
+    src = written(df, label).withColumn("__cs_tie", F.monotonically_increasing_id())
+    order = [*keys, "__cs_tie"]
+    put = src.repartitionByRange(*order).sortWithinPartitions(*order).drop("__cs_tie")
+    put = written(put.withColumn("__cs_at", F.monotonically_increasing_id()), label)
+    part = F.shiftright("__cs_at", 33)
+    sizes = put.groupBy(part.alias("__cs_part")).agg(F.count(F.lit(1)).alias("__cs_n"))
+    before = Window.orderBy("__cs_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    first = sizes.select("__cs_part", F.coalesce(F.sum("__cs_n").over(before), F.lit(0)).alias("__cs_first"))
+    place = F.col("__cs_first") + F.col("__cs_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return put.withColumn("__cs_part", part).join(F.broadcast(first), "__cs_part").withColumn("__cs_row", place).drop("__cs_part", "__cs_first", "__cs_at")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -81,6 +101,23 @@ def column_chunks(column: pa.Array, max_bytes: int = 1 << 19, max_rows: int = 40
         yield i, j, [t or "" for t in column.slice(i, j - i).to_pylist()]
 
 
+def column_slices(column: pa.Array, max_bytes: int, max_rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, bytes, edges) of row ranges: UTF-8 bytes of the texts in one array, without Python strings.
+
+    Text ``k`` of a range is ``bytes[edges[k]:edges[k + 1]]``.  The column has no nulls.  A text longer than the limit
+    forms a range of its own.
+    """
+    column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
+    n = len(column)
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if n and column.buffers()[2] and column.buffers()[2].size else np.zeros(0, np.uint8)
+    i = 0
+    while i < n:
+        j = min(max(i + 1, int(np.searchsorted(edges, edges[i] + max_bytes, side="right")) - 1), n, i + max_rows)
+        yield i, j, data[edges[i] : edges[j]], edges[i : j + 1] - edges[i]
+        i = j
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in schema], schema=schema)
 

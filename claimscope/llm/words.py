@@ -62,6 +62,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def sums_of_ranges(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each range of ``value`` that depends on the order within it, not on its place."""
+    up, down = _powers(len(value) + 1)
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value * up[:-1], out=total[1:])
+    return mix64((total[end] - total[start]) * down[start])
+
+
 class Words(NamedTuple):
     cp: np.ndarray  # code points of all texts, one line feed after each
     doc_start: np.ndarray  # position of each text in cp, and the end
