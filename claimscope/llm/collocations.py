@@ -86,10 +86,10 @@ def chains(p: Pieces, n: int) -> np.ndarray:
 
 
 class Container:
-    """Phrases of one range of the trie: packed ids (first three words; fourth and fifth) and counts."""
+    """Phrases of one range of the trie, from ``floor`` on: packed ids (first three words; fourth and fifth), counts."""
 
-    def __init__(self, high: np.ndarray, low: np.ndarray, count: np.ndarray):
-        self.high, self.low, self.count = high, low, count
+    def __init__(self, floor: int, high: np.ndarray, low: np.ndarray, count: np.ndarray):
+        self.floor, self.high, self.low, self.count = floor, high, low, count
         self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
 
@@ -107,11 +107,15 @@ class Container:
     def burst(self) -> tuple[Container, Container] | None:
         """Two containers cut where a first word ends, or else a second or a third one; None if all three are equal."""
         for word in range(3):
-            prefix = self.high >> np.uint64(ID_BITS * (2 - word))
+            rest = ID_BITS * (2 - word)
+            prefix = self.high >> np.uint64(rest)
             ends = np.flatnonzero(prefix[1:] != prefix[:-1]) + 1
             if len(ends):
                 at = ends[np.argmin(np.abs(ends - len(prefix) // 2))]
-                return tuple(Container(self.high[s], self.low[s], self.count[s]) for s in (slice(0, at), slice(at, None)))
+                return (
+                    Container(self.floor, self.high[:at], self.low[:at], self.count[:at]),
+                    Container(int(prefix[at]) << rest, self.high[at:], self.low[at:], self.count[at:]),
+                )
         return None
 
 
@@ -137,8 +141,7 @@ class HatTrie:
         self.names: list[pa.Array] = []  # the words by id
         self.langs: list[np.ndarray] = []
         empty = np.zeros(0, np.uint64)
-        self.floors = np.zeros(1, np.uint64)  # least phrase of each container's range
-        self.containers = [Container(empty, empty, np.zeros(0, np.int64))]
+        self.containers = [Container(0, empty, empty, np.zeros(0, np.int64))]
 
     def word_ids(self, p: Pieces, lang: np.ndarray, at: np.ndarray) -> np.ndarray | None:
         """Ids (from 1) of the words at ``at``; None if there are too many different ones, and nothing is kept then."""
@@ -162,7 +165,8 @@ class HatTrie:
 
     def add(self, high: np.ndarray, low: np.ndarray) -> None:
         high, low, count = added(high, low, np.ones(len(high), np.int64))
-        edge = np.append(np.searchsorted(high, self.floors), len(high))
+        floors = np.array([c.floor for c in self.containers], np.uint64)
+        edge = np.append(np.searchsorted(high, floors), len(high))
         for k, c in list(enumerate(self.containers)):
             if edge[k + 1] > edge[k]:
                 s = slice(edge[k], edge[k + 1])
@@ -178,7 +182,6 @@ class HatTrie:
                 todo += halves
         while any(id(c) in done for c in self.containers):
             self.containers = [x for c in self.containers for x in done.get(id(c), (c,))]
-        self.floors = np.array([0, *[c.high[0] for c in self.containers[1:]]], np.uint64) if done else self.floors
 
     def held(self) -> int:
         return sum(len(c.high) + c.waiting for c in self.containers)
