@@ -52,7 +52,7 @@ def walked(df: DataFrame, column: str, n: int, seed: int = SEED, inverse: bool =
     """``df`` with ``column``, a number below ``n``, replaced by its place in the permutation of [0, n) (or back)."""
     a, b = sides(n)
     df = permuted(df, column, n, seed, inverse)
-    if a * b == n:
+    if a * b == max(n, 1):
         return df
     ends = df.sparkSession.range(n, a * b).select(F.col("id").alias("__cs_out"), F.col("id").alias("__cs_in"))
     while True:
