@@ -35,6 +35,7 @@ from claimscope.llm.components import components
 from claimscope.llm.words import mix64, shingles, words_of
 
 SHINGLE, BANDS, BAND_ROWS, THRESHOLD = 5, 36, 6, 0.8
+GROUP = 256  # pairs of one class that a task compares in a row
 _ID_BITS = 52  # bits of a shingle's hash that stand beside its text's number in one sortable word
 
 
@@ -152,36 +153,48 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs of classes (a, b) those whose texts are similar enough, with ``similarity``."""
-    first = texts.select(F.col("cls").alias("b"), F.col("__cs_text").alias("text_b"))
-    second = texts.select(F.col("cls").alias("a"), F.col("__cs_text").alias("text_a"))
-    both = pairs.join(first, "b").join(second, "a").select("a", "b", "text_a", "text_b")
+    """Of the pairs of classes (a, b) those whose texts are similar enough, with ``similarity``.
+
+    The pairs of one ``a`` are dealt into groups of about ``GROUP``; a task meets the text of ``a`` once a group, and
+    then each ``b``, so that no row holds two texts and a class in very many pairs is spread over tasks.
+    """
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.expr(f"pmod(xxhash64(b), (size + {GROUP - 1}) div {GROUP})").alias("part"))
+    dealt = written(dealt, "dealt")
+    ones = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("cls", "a"), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), "__cs_text")
+    others = dealt.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "__cs_text")
+    rows = ones.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", "b")  # a's own row first
 
     def compare(batches):
         schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
-        last: tuple[str | None, tuple] = (None, ())
+        one = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in batches:
-            sims = np.zeros(len(batch))
-            for i, j, tb in column_chunks(batch.column("text_b")):
-                doc, element, count = multisets(tb)
+            sims = np.full(len(batch), -1.0)
+            own = batch.column("b").is_null().to_pylist()
+            for i, j, some in column_chunks(batch.column("__cs_text")):
+                doc, element, count = multisets(some)
                 edge = np.searchsorted(doc, np.arange(j - i + 1))
                 for k in range(i, j):
-                    if (ta := batch.column("text_a")[k].as_py()) != last[0]:
-                        last = (ta, multisets([ta])[1:])
-                    lo, hi = edge[k - i], edge[k - i + 1]
-                    sims[k] = overlap(last[1], (element[lo:hi], count[lo:hi]))
+                    bag = element[edge[k - i] : edge[k - i + 1]], count[edge[k - i] : edge[k - i + 1]]
+                    if own[k]:
+                        one = bag
+                    else:
+                        sims[k] = overlap(one, bag)
             ok = np.flatnonzero(sims >= threshold)
             yield batch_of(schema, a=batch.column("a").take(pa.array(ok)), b=batch.column("b").take(pa.array(ok)), similarity=sims[ok])
 
-    return both.mapInArrow(compare, "a binary, b binary, similarity double")
+    return rows.mapInArrow(compare, "a binary, b binary, similarity double")
 
 
 def remaining_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of ``texts`` (cls, __cs_text, root) with different roots that may be similar enough.
 
     Exact prefix filter: order each multiset by how many documents hold a shingle, rare ones first.  If two multisets
-    are similar enough, their first common shingle stands so early in both that enough weight is left after it.  A
-    shingle's pairs are made between documents outside its largest group and all others, never inside a group.
+    are similar enough, their first common shingle stands so early in both that enough weight is left after it: in the
+    first 1 - t of the larger one and the first 1 - 2t/(1 + t) of the smaller one (of its *core*).  Two documents of
+    equal size that share a passage meet only if the passage makes them similar, so a template that very many documents
+    share makes no pairs of them.  A shingle's pairs are made between documents outside its largest group and all
+    others, never inside a group, and at least one side has the shingle in its core.
     """
     schema = pa.schema([("cls", pa.binary()), ("root", pa.binary()), ("shingle", pa.int64()), ("n", pa.int64()), ("weight", pa.int64())])
 
@@ -203,11 +216,17 @@ def remaining_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     parts = early.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("big"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     placed = written(early.join(written(largest.select("shingle", F.col("big.root").alias("big")), "largest"), "shingle"), "placed")
-    one = placed.select("shingle", "big", F.col("cls").alias("a"), F.col("root").alias("root_a"), (F.col("weight") - F.col("before")).alias("left_a"), F.col("weight").alias("weight_a"))
-    two = placed.where("root <> big").select("shingle", F.col("cls").alias("b"), F.col("root").alias("root_b"), (F.col("weight") - F.col("before")).alias("left_b"), F.col("weight").alias("weight_b"))
+    core = F.col("before") <= (1 - 2 * threshold / (1 + threshold)) * F.col("weight") + 1e-9
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select("shingle", F.col("cls").alias(x), F.col("root").alias(f"root_{x}"), (F.col("weight") - F.col("before")).alias(f"left_{x}"), F.col("weight").alias(f"weight_{x}"), core.alias(f"core_{x}"), (F.col("root") == F.col("big")).alias(f"big_{x}"))
+
+    one, two = side(placed, "a"), side(placed.where("root <> big"), "b")
     needed = threshold / (1 + threshold) * (F.col("weight_a") + F.col("weight_b")) - 1e-9
-    near = (F.col("root_a") != F.col("root_b")) & ((F.col("root_a") == F.col("big")) | (F.col("a") < F.col("b"))) & (F.least("left_a", "left_b") >= needed)
-    return one.join(two, "shingle").where(near).select("a", "b").distinct()
+    smaller_core = F.when(F.col("weight_a") < F.col("weight_b"), F.col("core_a")).when(F.col("weight_a") > F.col("weight_b"), F.col("core_b")).otherwise(F.col("core_a") & F.col("core_b"))
+    near = (F.col("root_a") != F.col("root_b")) & (F.col("big_a") | (F.col("a") < F.col("b"))) & (F.least("left_a", "left_b") >= needed) & smaller_core
+    pairs = [one.where("core_a").join(two, "shingle").where(near), one.where("not core_a").join(two.where("core_b"), "shingle").where(near)]
+    return pairs[0].select("a", "b").union(pairs[1].select("a", "b")).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -244,7 +263,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     open_ = written(grouped.join(written(mixed, "mixed"), "band").select("cls", "root").distinct(), "open")
     rest = remaining_pairs(texts.join(open_, "cls"), threshold)
     more = written(verified(rest, texts, threshold), "links")
-    roots = components(links.unionByName(more).select("a", "b"))
+    # the groups that these links unite: components of roots, not of documents
+    ends = [open_.select(F.col("cls").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b")]
+    bridges = written(more.join(ends[0], "a").join(ends[1], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "bridges")
+    united = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("united"))
+    alone = open_.where("cls = root").select(F.col("cls").alias("node"), "root")
+    roots = roots.unionByName(alone).distinct().join(united, "root", "left").select("node", F.coalesce("united", "root").alias("root"))
     degree = links.unionByName(more).select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_verified"))
     known = written(roots.withColumnRenamed("node", "cls").join(degree, "cls"), "known")
     out = signs.drop("bands").join(known, "cls", "left")

@@ -12,6 +12,7 @@ large group of copies is spread over ranges.  A task streams through its range a
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -28,7 +29,13 @@ LENGTH, END_ID = 4096, 2
 DIMS, BITS = 4, 12
 _SEPARATOR = "\x01"  # a word that no other text yields once texts that hold it are encoded by themselves
 _PART = 512  # pieces encoded in one call; longer strings fall out of the processor's cache
-_KNOWN_WORDS = 600_000  # pieces in a worker's memory; beyond, it starts anew and keeps those still in use
+_KNOWN_WORDS = 400_000  # pieces in a worker's memory; beyond, it starts anew and keeps those still in use
+#: Letters whose lower case is one letter and that no normal form changes: Latin up to U+017F, less one whose lower
+#: case holds a mark.
+_LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
+#: How byte-level tokenizers write a byte: as its Latin-1 sign if that is visible, or else as the next sign from 256 on.
+_HIDDEN = [*range(33), *range(127, 161), 173]
+_BYTE_SIGNS = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 
 def tokenizer_path() -> str:
@@ -54,6 +61,9 @@ class WordEncoder:
         self.ends_word = np.zeros(1 << 16, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.separator = self._ids(_SEPARATOR)
+        self.model = self.tokenizer.model
+        self.two_bytes = [i.to_bytes(2, "little") for i in range(max(vocabulary.values()) + 1)]
+        self.stops = {c: np.array(self._ids(c), "<u2").tobytes() for c in ".,"}
         self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}  # what was known until the memory last started anew
 
@@ -61,10 +71,25 @@ class WordEncoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, words: list[str]) -> None:
-        """A piece of letters alone is one word of the tokenizer, whose last id ends a word; other pieces are set
-        apart by a separator."""
-        one = [w for w in words if w.isalpha() and "\u0130" not in w]  # its lower case holds a mark
-        more = [w for w in words if not w.isalpha() and _SEPARATOR not in w]
+        """A stop or comma after a letter or digit is a word of the tokenizer by itself, and its words have no case, so
+        ``The``, ``the,`` and ``the.`` are looked up as ``the``.  A run of Latin letters is one word for the
+        tokenizer's model; other runs of letters end with an id that ends a word; the rest is set apart by a separator."""
+        one, more, fresh = [], [], {}
+        known, tokenize, two_bytes, stops = self.known, self.model.tokenize, self.two_bytes, self.stops
+        for w in words:
+            stop = stops.get(w[-1], b"") if w[-2:-1].isalnum() else b""
+            core = w[:-1] if stop else w
+            if core.isalpha() and (core.isascii() or _LATIN(core)):
+                core = core.lower()
+                ids = fresh.get(core) or known.get(core)
+                if ids is None:
+                    seen = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                    ids = fresh[core] = b"".join([two_bytes[x.id] for x in tokenize(seen)])
+                known[w] = ids + stop
+            elif w.isalpha() and "\u0130" not in w:  # its lower case holds a mark
+                one.append(w)
+            elif _SEPARATOR not in w:
+                more.append(w)
         for part in (one[i : i + _PART] for i in range(0, len(one), _PART)):
             ids = np.array(self._ids(" ".join(part)), "<u2")
             ends = (2 * np.flatnonzero(self.ends_word[ids]) + 2).tolist()
@@ -74,8 +99,8 @@ class WordEncoder:
             cut = (2 * np.flatnonzero(ids == self.separator[0])).tolist() if len(self.separator) == 1 else []
             self._cut(part, ids, [0, *[c + 2 for c in cut]], [*cut, 2 * len(ids)])
         for w in words:
-            if w not in self.known:
-                self.known[w] = np.array(self._ids(w), "<u2").tobytes()
+            if w not in known:
+                known[w] = np.array(self._ids(w), "<u2").tobytes()
 
     def _cut(self, words: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
         """Remember the words' ids, if there are as many stretches of ids as words."""
@@ -92,9 +117,11 @@ class WordEncoder:
         if new:
             if len(self.known) + len(new) > _KNOWN_WORDS:
                 self.before, self.known = self.known, {"": b""}
-            again = new.intersection(self.before)
-            self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
-            self._learn(sorted(new.difference(again)))
+            if self.before:
+                again = [w for w in new if w in self.before]
+                self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
+                new.difference_update(again)
+            self._learn(list(new))
             for k, at in gaps:
                 row, pieces = rows[k], split[k]
                 for i in at:
@@ -114,10 +141,12 @@ def _directions() -> np.ndarray:
 
 def document_vectors(ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Mean direction of each document's ids; zero for a document without any."""
-    total = np.zeros((len(ids) + 1, DIMS))
-    np.cumsum(_directions()[ids], axis=0, dtype=np.float64, out=total[1:])
     n = np.diff(edges)
-    return (total[edges[1:]] - total[edges[:-1]]) / np.maximum(n, 1)[:, None]
+    total = np.zeros((len(n), DIMS))
+    some = np.flatnonzero(n)
+    if len(some):
+        total[some] = np.add.reduceat(_directions()[ids], edges[some], axis=0)
+    return total / np.maximum(n, 1)[:, None]
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
