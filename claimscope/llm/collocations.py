@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimscope.llm.common import column_slices, read_table, text_or_empty, written
+from claimscope.llm.common import column_slices, lean, read_table, text_or_empty, written
 from claimscope.llm.decontaminate import bitmap
 from claimscope.llm.words import mix64, sums_of_ranges
 
@@ -317,7 +317,7 @@ def counted(texts: DataFrame, lengths: tuple[int, ...], part: int, frequent: np.
             for run in trie.flush():
                 yield from trie.rows(run, pa.array(names, pa.string()))
 
-    return texts.mapInArrow(count, "lang string, phrase string, n bigint")
+    return texts.mapInArrow(lean(count), "lang string, phrase string, n bigint")
 
 
 def merged(runs: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,12 @@ KEY, TEXT_HASH = "__cs_key", "__cs_th"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a local test session) is a folder on this machine used.
+    Only in a local session without the setting is a folder on this machine used; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/claimscope-checkpoints"
     return base.rstrip("/")
 
@@ -118,6 +121,32 @@ def column_slices(column: pa.Array, max_bytes: int, max_rows: int = 1 << 16) ->
         i = j
 
 
+#: Functions that empty what an operator remembers in a worker between tasks.
+CACHES: list[Callable[[], None]] = []
+
+
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A task for ``mapInArrow`` that starts without what other operators' tasks left in a reused worker, and ends by
+    handing freed memory back to the system."""
+
+    def run(batches):
+        from claimscope.llm import common  # the worker's own module, with its caches
+
+        for empty in common.CACHES:
+            empty()
+        yield from task(batches)
+        common.hand_back()
+
+    return run
+
+
+def hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in schema], schema=schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import KEY, TEXT_HASH, batch_of, column_chunks, identity, keyed_texts, taken, text_or_empty, written
+from claimscope.llm.common import KEY, TEXT_HASH, batch_of, column_chunks, identity, keyed_texts, lean, taken, text_or_empty, written
 from claimscope.llm.words import first_word, word_grams, words_of
 
 GRAM, BITMAP_BITS = 3, 24
@@ -87,7 +87,7 @@ def gram_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str) ->
                         continue
                     yield batch_of(schema, __cs_key=taken(b.column(KEY), d[ok] + i), __cs_th=taken(b.column(TEXT_HASH), d[ok] + i), gram=g[ok].view(np.int64), at=at[ok] - first_word(w)[d[ok]])
 
-    return keyed.mapInArrow(hits, "__cs_key bigint, __cs_th bigint, gram bigint, at bigint")
+    return keyed.mapInArrow(lean(hits), "__cs_key bigint, __cs_th bigint, gram bigint, at bigint")
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
@@ -157,7 +157,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             kept = [taken(b.column(c), row) for c in (KEY, TEXT_HASH, "__cs_id")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(num, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names=[f.name for f in cut_type])
 
-    cut = keyed.mapInArrow(windows, cut_type)
+    cut = keyed.mapInArrow(lean(windows), cut_type)
     both = cut.join(item.select("item", "item_id", "words", needed_score(F.size("words"), share, least, enough).alias("needed")), "item")
     scored_type = T.StructType([both.schema[c] for c in (KEY, TEXT_HASH, "__cs_id", "item", "item_id", "word_from", "word_to")] + [T.StructField("item_words", T.IntegerType()), T.StructField("score", T.IntegerType())])
 
@@ -172,7 +172,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             ok = np.flatnonzero(best >= np.array(needed))
             yield pa.RecordBatch.from_arrays([*[taken(x, ok) for x in kept], pa.array([len(a[k]) for k in ok], pa.int32()), pa.array(best[ok], pa.int32())], names=[f.name for f in scored_type])
 
-    scored = both.mapInArrow(score, scored_type)
+    scored = both.mapInArrow(lean(score), scored_type)
     best = scored.groupBy(KEY, TEXT_HASH, "item").agg(F.max(F.struct("score", (-F.col("word_from")).alias("before"), "word_to", "__cs_id", "item_id", "item_words")).alias("m"))
     return best.select(KEY, TEXT_HASH, "m.__cs_id", "m.item_id", "m.score", "m.item_words", (-F.col("m.before")).alias("word_from"), "m.word_to")
 

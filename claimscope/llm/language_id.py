@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import batch_of, column_chunks, text_or_empty
+from claimscope.llm.common import batch_of, column_chunks, lean, text_or_empty
 from claimscope.llm.words import _PLANE, _letters, code_points, mix64
 
 BITS, MAX_N, MAX_DOCS, ALPHA = 16, 3, 4000, 0.5
@@ -120,7 +120,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             at = np.flatnonzero(n)
             yield batch_of(schema, lang=[lang] * len(at), bin=at, n=n[at])
 
-    counts = sample.mapInArrow(count, "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(lean(count), "lang string, bin bigint, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     matrix = np.full((1 << bits, len(langs)), alpha)
     got = counts.toPandas()  # at most 2^bits rows a language
     place = {k: i for i, k in enumerate(langs)}
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.string()), pa.array(p, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(score, out)
+    return docs.mapInArrow(lean(score), out)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import KEY, TEXT_HASH, batch_of, column_chunks, identity, keyed_texts, written
+from claimscope.llm.common import KEY, TEXT_HASH, batch_of, column_chunks, identity, keyed_texts, lean, written
 from claimscope.llm.components import components
 from claimscope.llm.words import mix64, shingles, words_of
 
@@ -140,7 +140,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("__cs_id", KEY, TEXT_HASH)] + [cls, lists], names=["__cs_id", KEY, TEXT_HASH, "cls", "bands"])
 
-    return keyed.mapInArrow(sign, out)
+    return keyed.mapInArrow(lean(sign), out)
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             ok = np.flatnonzero(sims >= threshold)
             yield batch_of(schema, a=batch.column("a").take(pa.array(ok)), b=batch.column("b").take(pa.array(ok)), similarity=sims[ok])
 
-    return rows.mapInArrow(compare, "a binary, b binary, similarity double")
+    return rows.mapInArrow(lean(compare), "a binary, b binary, similarity double")
 
 
 def remaining_pairs(texts: DataFrame, threshold: float) -> DataFrame:
@@ -206,7 +206,7 @@ def remaining_pairs(texts: DataFrame, threshold: float) -> DataFrame:
                 at = pa.array(doc + i)
                 yield batch_of(schema, cls=b.column("cls").take(at), root=b.column("root").take(at), shingle=element.view(np.int64), n=count, weight=weight[doc])
 
-    rows = written(texts.mapInArrow(split, "cls binary, root binary, shingle bigint, n bigint, weight bigint"), "shingles")
+    rows = written(texts.mapInArrow(lean(split), "cls binary, root binary, shingle bigint, n bigint, weight bigint"), "shingles")
     held = written(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
     order = Window.partitionBy("cls").orderBy("df", "shingle")  # one document's shingles
     ranked = rows.join(held, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))

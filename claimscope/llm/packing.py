@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import TEXT_HASH, column_chunks, keyed_texts, written
+from claimscope.llm.common import CACHES, TEXT_HASH, column_chunks, keyed_texts, lean, written
 
 LENGTH, END_ID = 4096, 2
 DIMS, BITS = 4, 12
 _SEPARATOR = "\x01"  # a word that no other text yields once texts that hold it are encoded by themselves
 _PART = 512  # pieces encoded in one call; longer strings fall out of the processor's cache
-_KNOWN_WORDS = 400_000  # pieces in a worker's memory; beyond, it starts anew and keeps those still in use
+_KNOWN_WORDS = 300_000  # pieces in a worker's memory; beyond, it starts anew and keeps those still in use
 #: Letters whose lower case is one letter and that no normal form changes: Latin up to U+017F, less one whose lower
 #: case holds a mark.
 _LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
@@ -134,6 +134,9 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+CACHES.append(_encoder.cache_clear)  # only encoding needs it
+
+
 @lru_cache(maxsize=1)
 def _directions() -> np.ndarray:
     return np.random.default_rng(10).standard_normal((1 << 16, DIMS)).astype(np.float32)
@@ -213,7 +216,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     ordered = ordered.select("__cs_id", "n", "ids")
 
     def cut(batches):
-        _encoder.cache_clear()  # all texts are encoded: the worker's memory of words can go
         base = TaskContext.get().partitionId() << 40
         sequence, filled = 0, []  # the pieces of the sequence that is being filled
         room = length
@@ -256,7 +258,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             sizes = [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
             yield batch(rows(filled, sequence, sizes), id_type)
 
-    return ordered.mapInArrow(cut, out)
+    return ordered.mapInArrow(lean(cut), out)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimscope.llm.common import KEY, TEXT_HASH, batch_of, column_chunks, identity, keyed_texts, taken, text_or_empty, written
+from claimscope.llm.common import KEY, TEXT_HASH, batch_of, column_chunks, identity, keyed_texts, lean, taken, text_or_empty, written
 from claimscope.llm.words import _powers, mix64, sentences_of, words_of
 
 MIN_SENTENCES, MIN_WORDS, LONG_SENTENCE = 2, 24, 50
@@ -71,7 +71,7 @@ def sentence_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 d, start, end, h = spans_of(texts, min_sentences, min_words, long_sentence)
                 yield batch_of(schema, __cs_id=taken(b.column("__cs_id"), d + i), __cs_key=taken(b.column(KEY), d + i), __cs_th=taken(b.column(TEXT_HASH), d + i), start=start, end=end, span=h.view(np.int64))
 
-    return keyed.mapInArrow(spans, out)
+    return keyed.mapInArrow(lean(spans), out)
 
 
 def merged(ranges) -> list[tuple[int, int]]:
@@ -123,7 +123,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 pairs = pa.array([[{"start": a, "end": e} for a, e in g] for g in gone], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 yield pa.RecordBatch.from_arrays([*cols.values(), pairs], names=[*cols, "cuts"])
 
-    return both.mapInArrow(cut, out)
+    return both.mapInArrow(lean(cut), out)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
