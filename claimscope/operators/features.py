@@ -29,6 +29,7 @@ from claimscope.functions.values import (
 from claimscope.operators import cleanup
 from claimscope.operators.ranking import hash_rank, seeded_hash
 from claimscope.operators.windows import with_row_id
+from claimscope.session import ensure_checkpoint_dir
 
 LABEL = "FraudLabel"
 #: All columns of a claim; patient and label columns follow from them.
@@ -137,8 +138,8 @@ def features_d(enriched: DataFrame, topics: DataFrame | None = None) -> DataFram
 def stratified_split(df: DataFrame, label: str = LABEL, test_pct: int = 20, seed: int = SEED,
                      key: str = "RowID", group_col: str | None = None) -> DataFrame:
     """Adds ``is_test``: per class, the ceil(test_pct % of the class) rows
-    first in md5(seed | key) order.  Exact class shares; distributed (see
-    ``ranking.hash_rank``).  ``group_col`` (e.g. Provider) keeps every group
+    first in md5(seed | key) order.  ``key`` is unique, so class shares are
+    exact; distributed (see ``ranking.hash_rank``).  ``group_col`` (e.g. Provider) keeps every group
     on one side by hashing the group instead of the row."""
     if group_col:
         groups = df.select(label, group_col).distinct().withColumn("_h", seeded_hash([group_col], seed))
@@ -146,9 +147,14 @@ def stratified_split(df: DataFrame, label: str = LABEL, test_pct: int = 20, seed
         cut = F.floor((F.col("_n") * test_pct + 99) / 100)
         flags = ranked.select(label, group_col, (F.col("_rank") <= cut).alias("is_test"))
         return df.join(flags, on=[label, group_col], how="left")
-    ranked = hash_rank(df.withColumn("_h", seeded_hash([key], seed)), [label], "_h", "_rank", size_col="_n")
+    # only label and hash are ranked; the hash at the cut of each class then tells the rest, one row a class
+    hashed = df.withColumn("_h", seeded_hash([key], seed))
+    ensure_checkpoint_dir(df.sparkSession)
+    ranked = hash_rank(hashed.select(label, "_h").checkpoint(), [label], "_h", "_rank", size_col="_n")
     cut = F.floor((F.col("_n") * test_pct + 99) / 100)
-    return ranked.withColumn("is_test", F.col("_rank") <= cut).drop("_h", "_rank", "_n")
+    last = ranked.where(F.col("_rank") == cut).select(F.col(label).alias("_class"), F.col("_h").alias("_last"))
+    joined = hashed.join(F.broadcast(last), F.col(label).eqNullSafe(F.col("_class")), "left")
+    return joined.withColumn("is_test", F.coalesce(F.col("_h") <= F.col("_last"), F.lit(False))).drop("_h", "_class", "_last")
 
 
 # M13 folds

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from claimscope.functions.values import SEED
 from claimscope.operators.metrics import binary_metrics, roc_auc
+from claimscope.session import ensure_checkpoint_dir
 
 LABEL = "FraudLabel"
 MAX_DEPTH = 30
@@ -45,10 +48,10 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str = LABEL,
                  c: float = 1.0):
     """L2 logistic regression with the objective of C-regularised
     least-log-loss on unscaled features: regParam = 1 / (C n)."""
-    n = train.count()
-    lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter, regParam=1.0 / (c * n),
-                            elasticNetParam=0.0, standardization=False, fitIntercept=True)
     with training_input(train, features, label) as data:
+        lr = LogisticRegression(featuresCol="features", labelCol=label, maxIter=max_iter,
+                                regParam=1.0 / (c * data.count()), elasticNetParam=0.0, standardization=False,
+                                fitIntercept=True)
         return lr.fit(data)
 
 
@@ -101,13 +104,17 @@ def cross_validate(df: DataFrame, features: Sequence[str], fit: Callable, folds_
     """Train on k-1 folds, score the held-out fold, for every fold; returns
     the per-fold metrics (accuracy, precision, recall, F1, AUC) and, as
     fold = -1, their mean."""
-    parts = []
-    for f in range(k):
-        train = df.where(F.col(folds_col) != f)
-        val = df.where(F.col(folds_col) == f)
-        model = fit(train, features, label)
-        m = _fold_metrics(predict(model, val, features, label))
-        parts.append(m.withColumn("fold", F.lit(f)))
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+
+    def one(f: int) -> DataFrame:
+        model = fit(df.where(F.col(folds_col) != f), features, label)
+        pred = predict(model, df.where(F.col(folds_col) == f), features, label).checkpoint()
+        return _fold_metrics(pred).withColumn("fold", F.lit(f))
+
+    # the folds' fits are independent jobs over the same input; run side by side they fill each other's gaps
+    with ThreadPool(k) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(one), range(k))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimscope.session import ensure_checkpoint_dir
+
 DEFAULT_BITS = 20
 
 
@@ -41,23 +43,22 @@ def hash_rank(df: DataFrame, strata: Sequence[str], hash_col: str, name: str = "
     return joined.withColumn(name, F.col("_off") + F.row_number().over(within)).drop("_b", "_off")
 
 
-def descending_prefix_sums(df: DataFrame, score: str, values: Sequence[str], buckets: int = 256) -> DataFrame:
+def descending_prefix_sums(df: DataFrame, score: str, values: Sequence[str]) -> DataFrame:
     """For a table with one row per distinct ``score``, add ``cum_<v>`` = sum
     of ``v`` over all rows with a score >= this row's (descending running
     sum), exactly.
 
-    Buckets are bounded by quantiles of the distinct scores, so each holds
-    about the same number of rows however the scores crowd together."""
+    The scores are range-partitioned, so the number of parts follows the
+    data; a running sum inside each part starts from the sum of all parts
+    before it (a table of one row a part).  Both tables are checkpointed: the
+    bounds of the ranges are sampled, so they must be drawn only once."""
     values = list(values)
-    cuts = df.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 100 * buckets).alias("c"))
-    limits = cuts.select("c").scalar()
-    tagged = df.withColumn("_cuts", limits)
-    tagged = tagged.withColumn("_b", F.size(F.filter("_cuts", lambda c: c >= F.col(score)))).drop("_cuts")
-    hist = tagged.groupBy("_b").agg(*[F.sum(v).alias(f"_h_{v}") for v in values])
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.checkpoint().repartitionByRange(F.desc(score)).withColumn("_b", F.spark_partition_id()).checkpoint()
+    hist = ranged.groupBy("_b").agg(*[F.sum(v).alias(f"_h_{v}") for v in values])
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a bucket: the ordered pass over it is bounded
     offsets = hist.select("_b", *[F.coalesce(F.sum(f"_h_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values])
-    joined = tagged.join(offsets, on="_b", how="inner")
+    joined = ranged.join(F.broadcast(offsets), on="_b", how="inner")
     within = Window.partitionBy("_b").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(
         *df.columns, *[(F.col(f"_o_{v}") + F.sum(v).over(within)).alias(f"cum_{v}") for v in values]

@@ -15,6 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimscope.session import ensure_checkpoint_dir
+
+#: Rows of the set of repeated hashes (32 bytes each) up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
+COPY_BLOCK = 100_000
+
 
 # W1
 def overlap_flags(claims: DataFrame, order_ties: Sequence[str] = ("ClaimEndDt", "ClaimID")) -> DataFrame:
@@ -92,13 +98,31 @@ def with_row_id(df: DataFrame, keys: Sequence[str] | None = None, name: str = "R
     """Stable unique row key: md5 of the key columns (all columns by default),
     each written as text with a marker for null, and of the row's copy number.
 
-    Equal rows are counted by a partial aggregation and expanded again into
-    numbered copies, so no window is needed and a row that is repeated very
-    often is one row until the expansion.  ``keys`` must determine the other
-    columns.  Unlike a position-based id it is the same on every
-    recomputation, so joins on it survive task retries."""
+    Only the 128-bit hashes of the rows are counted; rows whose hash occurs
+    once have copy number 1 and are not shuffled.  The others are grouped and
+    expanded into numbered copies in blocks, so a row that is repeated very
+    often builds no long array.  ``keys`` must determine the other columns.
+    Unlike a position-based id it is the same on every recomputation, so joins
+    on it survive task retries.  The set of repeated hashes is counted when
+    the operator is applied: it is broadcast up to ``BROADCAST_ROWS`` rows and
+    joined by a shuffle beyond."""
     keys = list(keys or df.columns)
+    cols = df.columns
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("␀")) for k in keys]
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    numbered = copies.select(*df.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_copy"))
-    return numbered.withColumn(name, F.md5(F.concat_ws("|", *parts, F.col("_copy").cast("string")))).drop("_copy")
+    row_id = lambda copy: F.md5(F.concat_ws("|", *parts, copy))
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", *parts)))
+    ensure_checkpoint_dir(df.sparkSession)
+    repeated = hashed.select("_h").groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h").checkpoint()
+    found = repeated.count()
+    if not found:
+        return df.withColumn(name, row_id(F.lit("1")))
+    side = F.broadcast(repeated) if found <= BROADCAST_ROWS else repeated
+    single = hashed.join(side, "_h", "left_anti").withColumn(name, row_id(F.lit("1")))
+    groups = hashed.join(side, "_h", "left_semi").groupBy("_h", *cols).agg(F.count(F.lit(1)).alias("_n"))
+    # different rows whose text is the same go on numbering where the one before ended
+    before = Window.partitionBy("_h").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    blocks = groups.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_n - 1) div {COPY_BLOCK})")))
+    copies = blocks.withColumn("_copy", F.explode(F.expr(f"sequence(_block * {COPY_BLOCK} + 1, least(_n, (_block + 1) * {COPY_BLOCK}))")))
+    copies = copies.withColumn(name, row_id((F.col("_first") + F.col("_copy")).cast("string")))
+    return single.select(*cols, name).unionByName(copies.select(*cols, name))

@@ -368,7 +368,9 @@ RULE_PRED_SQL = f"select label, score, cast(score > 0.99 as integer) as predicti
 def rule_predictions(spark, d):
     """A fixed, model-free score (X10 ratio) and 0/1 prediction used to
     check the metric operators exactly."""
-    df = m1(spark, d)
+    src = fx.claims_src(spark, d).withColumn("RowID", F.lit(None).cast("string"))  # no row is looked up by its id
+    full_claims = claims_full(src, fx.beneficiary(spark, d), fx.provider_label(spark, d))
+    df = FE.features_a(FE.enriched_claims(valid_stay(full_claims)))
     score = X.reimbursed_ratio()
     return df.select(F.col("FraudLabel").alias("label"), score.alias("score"),
                      (score > 0.99).cast("int").alias("prediction"))
