@@ -161,8 +161,11 @@ def stratified_split(df: DataFrame, label: str = LABEL, test_pct: int = 20, seed
 def stratified_folds(df: DataFrame, label: str = LABEL, k: int = 5, seed: int = SEED, key: str = "RowID") -> DataFrame:
     """Adds ``fold`` in 0..k-1: rank within class (seeded hash order) mod k,
     so every fold gets the same share of each class (within one row)."""
-    ranked = hash_rank(df.withColumn("_h", seeded_hash([key], seed)), [label], "_h", "_rank")
-    return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_h", "_rank")
+    ensure_checkpoint_dir(df.sparkSession)
+    narrow = df.select(F.col(key).alias("_key"), label, seeded_hash([key], seed).alias("_h")).checkpoint()
+    ranked = hash_rank(narrow, [label], "_h", "_rank")
+    folds = ranked.select("_key", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int").alias("fold"))
+    return df.join(folds, df[key] == folds["_key"]).drop("_key")
 
 
 # M6
