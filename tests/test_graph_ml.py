@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from claimscope.operators import explain as E
@@ -11,6 +12,7 @@ from claimscope.operators import features as FE
 from claimscope.operators import graph as G
 from claimscope.operators import metrics as ME
 from claimscope.operators import models as MO
+from claimscope.operators import smote as SM
 
 
 def edges_df(spark, pairs):
@@ -182,21 +184,56 @@ def test_explanation_text(spark):
     assert p.endswith("based on these features.")
 
 
-def test_exact_knn_matches_bruteforce(spark):
-    from claimscope.operators.smote import nearest_neighbors
+def _nearest_by_force(pts, k):
+    out = {}
+    for i, p in enumerate(pts):
+        d = np.sqrt(((pts - p) ** 2).cumsum(axis=1)[:, -1])
+        out[str(i)] = [s for _, s in sorted((d[j], str(j)) for j in range(len(pts)) if j != i)[:k]]
+    return {a: b for a, b in out.items() if b}
+
 
+def _points(spark, pts):
+    return spark.createDataFrame([(str(i), [float(v) for v in p]) for i, p in enumerate(pts)], "k string, x array<double>")
+
+
+@pytest.mark.parametrize("case", ["scaled", "mostly one point", "one", "all equal"])
+def test_exact_knn_matches_bruteforce(spark, case):
     rng = np.random.default_rng(7)
-    pts = rng.normal(size=(300, 4)) * np.array([50.0, 1.0, 3.0, 0.2])
-    pts[10] = pts[11]  # a duplicate pair
-    rows = [(str(i), [float(v) for v in p], float(p[0])) for i, p in enumerate(pts)]
-    df = spark.createDataFrame(rows, "k string, x array<double>, _p double")
+    if case == "scaled":
+        pts = rng.normal(size=(300, 4)) * np.array([50.0, 1.0, 3.0, 0.2])
+        pts[10] = pts[11]  # a duplicate pair
+    elif case == "mostly one point":  # and a grid of equal distances around it
+        pts = np.zeros((200, 3))
+        pts[100:] = rng.integers(0, 4, size=(100, 3))
+        pts[:20] = rng.normal(size=(20, 3))
+        pts[5] = 1e6
+    else:
+        pts = {"one": np.zeros((1, 2)), "all equal": np.zeros((9, 2))}[case]
     got = {}
-    for r in nearest_neighbors(df, "k", 5).collect():
+    for r in SM.nearest_neighbors(_points(spark, pts), "k", 5, leaf_size=8).collect():
         got.setdefault(r.k, []).append((r.nn, r.nbr))
-    for i, p in enumerate(pts):
-        d = np.sqrt(((pts - p) ** 2).sum(axis=1))
-        order = sorted((d[j], str(j)) for j in range(len(pts)) if j != i)[:5]
-        assert [n for _, n in sorted(got[str(i)])] == [s for _, s in order]
+    assert {a: [n for _, n in sorted(b)] for a, b in got.items()} == _nearest_by_force(pts, 5)
+
+
+def test_knn_leaves_are_bounded_and_candidates_do_not_follow_the_rows(spark):
+    rng = np.random.default_rng(11)
+    per_point = {}
+    for n in (1000, 4000):
+        pts = rng.uniform(size=(n, 3))
+        pts[rng.uniform(size=n) < 0.5] = 0.5  # half of the rows are one point
+        locs = SM.locations(_points(spark, pts), "k", 5)
+        rows, parts = SM.split_tree(locs, 5, leaf_size=16)
+        assert parts.where("leaf").agg(F.max("n")).first()[0] <= 16
+        assert rows.agg(F.sum("w")).first()[0] == n and rows.count() == locs.count()
+        # the true 6th distance plus some slack as the bound of every location
+        uniq = {r.loc: np.array(r.x) for r in locs.select("loc", "x").collect()}
+        xs = np.array(list(uniq.values()))
+        kth = {a: float(np.sort(np.sqrt(((xs - x) ** 2).sum(axis=1)))[min(6, len(xs) - 1)]) for a, x in uniq.items()}
+        bounds = spark.createDataFrame(list(kth.items()), "q string, bound double")
+        queries = rows.select(F.col("loc").alias("q"), F.col("x").alias("qx"), F.col("node").alias("home")).join(bounds, "q")
+        hits = SM.leaf_hits(queries, parts, 5).join(parts.where("leaf").select("node", "n"), "node")
+        per_point[n] = hits.agg(F.sum("n")).first()[0] / len(uniq)
+    assert per_point[4000] < 1.5 * per_point[1000] and per_point[4000] < 4000 / 8
 
 
 def test_smote_balances_inside_minority_box(spark):
