@@ -63,3 +63,40 @@ def descending_prefix_sums(df: DataFrame, score: str, values: Sequence[str]) ->
     return joined.select(
         *df.columns, *[(F.col(f"_o_{v}") + F.sum(v).over(within)).alias(f"cum_{v}") for v in values]
     )
+
+
+def ranked_counts(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row per (key, distinct non-null value): ``n`` rows have it, they
+    take the 0-based ranks ``lo`` to ``hi`` - 1 of the key's ``total``
+    non-null values in ascending order.  Null values keep a row without ranks.
+
+    The rows are counted with partial aggregation; the counts are
+    range-partitioned by (key, value), so a key with very many values lies in
+    many parts, and a part starts from the sum of the key's parts before it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = df.groupBy(F.col(key).alias("key"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    ranged = counts.where(F.col("value").isNotNull()).repartitionByRange("key", "value")
+    ranged = ranged.withColumn("_b", F.spark_partition_id()).checkpoint()
+    hist = ranged.groupBy("key", "_b").agg(F.sum("n").alias("_n"))
+    before = Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hist.select("key", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                          F.sum("_n").over(Window.partitionBy("key")).alias("total"))
+    within = Window.partitionBy("key", "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = ranged.join(offsets, ["key", "_b"]).withColumn("hi", F.col("_off") + F.sum("n").over(within))
+    ranks = ranks.select("key", "value", "n", (F.col("hi") - F.col("n")).alias("lo"), "hi", "total")
+    rest = counts.where(F.col("value").isNull())
+    return ranks.unionByName(rest, allowMissingColumns=True).checkpoint()
+
+
+def quantiles(ranks: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """(key, q0, q1, ...): exact quantiles with linear interpolation from
+    ``ranked_counts``; null for a key without values."""
+    aggs, picks = [], []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("total") - 1)
+        value = F.col("value").cast("double")
+        for side, rank in (("l", F.floor(pos)), ("u", F.ceil(pos))):
+            aggs.append(F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), value)).alias(f"_{side}{i}"))
+        share = pos - F.floor(pos)
+        picks.append((F.col(f"_l{i}") * (1 - share) + F.col(f"_u{i}") * share).alias(f"q{i}"))
+    return ranks.groupBy("key").agg(*aggs, F.max("total").alias("total")).select("key", *picks)

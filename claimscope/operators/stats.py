@@ -12,6 +12,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.operators.ranking import quantiles, ranked_counts
+
 
 def _keys(hue: str | None) -> list[str]:
     return [hue] if hue else []
@@ -20,24 +22,19 @@ def _keys(hue: str | None) -> list[str]:
 # A24
 def box_stats(df: DataFrame, key: str, value: str, whis: float = 1.5) -> DataFrame:
     """Quartiles (linear interpolation), whiskers at the most extreme data
-    points within ``whis`` x IQR of the box, and the number of outliers."""
+    points within ``whis`` x IQR of the box, and the number of outliers, all
+    from the ranked counts of distinct values (one read of ``df``)."""
     base = df.select(key, value).where(F.col(key).isNotNull() & F.col(value).isNotNull())
-    q = base.groupBy(key).agg(F.percentile(F.col(value), [0.25, 0.5, 0.75]).alias("_q")).select(
-        key,
-        F.col("_q")[0].cast("double").alias("q1"),
-        F.col("_q")[1].cast("double").alias("median"),
-        F.col("_q")[2].cast("double").alias("q3"),
-    )
-    q = q.withColumn("_lo", F.col("q1") - whis * (F.col("q3") - F.col("q1"))).withColumn(
-        "_hi", F.col("q3") + whis * (F.col("q3") - F.col("q1"))
-    )
-    v = F.col(value)
-    j = base.join(q, on=key, how="inner")
-    inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
-    return j.groupBy(key, "q1", "median", "q3").agg(
+    ranks = ranked_counts(base, key, value)
+    q = quantiles(ranks, [0.25, 0.5, 0.75]).select(
+        "key", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    iqr = F.col("q3") - F.col("q1")
+    v = F.col("value")
+    inside = (v >= F.col("q1") - whis * iqr) & (v <= F.col("q3") + whis * iqr)
+    return ranks.join(q, "key").groupBy(F.col("key").alias(key), "q1", "median", "q3").agg(
         F.min(F.when(inside, v)).cast("double").alias("whisker_low"),
         F.max(F.when(inside, v)).cast("double").alias("whisker_high"),
-        F.count_if(~inside).cast("bigint").alias("n_outliers"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("n_outliers"),
     )
 
 

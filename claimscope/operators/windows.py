@@ -11,6 +11,7 @@ map task before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,18 +21,57 @@ from claimscope.session import ensure_checkpoint_dir
 #: Rows of the set of repeated hashes (32 bytes each) up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
 COPY_BLOCK = 100_000
+#: Rows of one key beyond which it is cut into ordered parts of this size.
+HOT_ROWS = 1_000_000
+
+
+def ordered_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int) -> DataFrame:
+    """``df`` with ``_b``, the number of its part in the order (keys, order):
+    parts of about ``rows`` rows that cut a key wherever needed.  ``_t`` is a
+    random tie-break, written before the bounds are drawn, so that rows equal
+    in all columns are cut as well."""
+    ensure_checkpoint_dir(df.sparkSession)
+    drawn = df.withColumn("_t", F.rand()).checkpoint()
+    number = max(1, -(-drawn.count() // rows))
+    return drawn.repartitionByRange(number, *keys, *order, "_t").withColumn("_b", F.spark_partition_id()).checkpoint()
+
+
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str,
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``value`` of the previous row of the same key (in ``order``; equal
+    rows in any order), null for its first row; null keys are one key.
+
+    A key of at most ``hot_rows`` rows is one window group.  Larger keys (at
+    most rows / ``hot_rows`` of them, so their list is broadcast) are cut into
+    ordered parts, and the last row of a part is handed to the next one."""
+    keys, order = list(keys), list(order)
+    ensure_checkpoint_dir(df.sparkSession)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = hot.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).checkpoint()
+    lag = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
+    if hot.isEmpty():
+        return df.withColumn(name, lag)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    cold = df.join(F.broadcast(hot), same, "left_anti").withColumn(name, lag)
+    parts = ordered_parts(df.join(F.broadcast(hot), same, "left_semi"), keys, order, hot_rows)
+    last = parts.groupBy(*keys, "_b").agg(F.max_by(F.struct(value.alias("v")), F.struct(*order, "_t")).alias("_last"))
+    handed = last.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_b").alias("_to"),
+                         F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_before"))
+    within = Window.partitionBy("_b", *keys).orderBy(*order, "_t")
+    rows = parts.withColumns({"_prev": F.lag(value).over(within), "_first": F.row_number().over(within) == 1})
+    rows = rows.join(handed, (F.col("_b") == F.col("_to")) & same, "left")
+    rows = rows.withColumn(name, F.when(F.col("_first"), F.col("_before.v")).otherwise(F.col("_prev")))
+    return cold.unionByName(rows.select(*df.columns, name))
 
 
 # W1
-def overlap_flags(claims: DataFrame, order_ties: Sequence[str] = ("ClaimEndDt", "ClaimID")) -> DataFrame:
+def overlap_flags(claims: DataFrame, order_ties: Sequence[str] = ("ClaimEndDt", "ClaimID"),
+                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """``Overlap`` = claim starts on/before the end of the patient's
     immediately previous claim (ordered by start, then the tie keys; the
     reference's tie order is load order)."""
-    w = Window.partitionBy("BeneID").orderBy("ClaimStartDt", *order_ties)
-    prev = F.lag("ClaimEndDt").over(w)
-    return claims.withColumn("PrevEndDt", prev).withColumn(
-        "Overlap", F.coalesce(F.col("ClaimStartDt") <= F.col("PrevEndDt"), F.lit(False))
-    )
+    prev = with_previous(claims, ["BeneID"], ["ClaimStartDt", *order_ties], F.col("ClaimEndDt"), "PrevEndDt", hot_rows)
+    return prev.withColumn("Overlap", F.coalesce(F.col("ClaimStartDt") <= F.col("PrevEndDt"), F.lit(False)))
 
 
 def overlap_count(claims: DataFrame) -> DataFrame:
@@ -67,10 +107,11 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 
 # W3
 def flag_duplicates(df: DataFrame, keys: Sequence[str], keep: str | bool = False,
-                    order: Sequence[str] | None = None, name: str = "is_duplicate") -> DataFrame:
+                    order: Sequence[str] | None = None, name: str = "is_duplicate",
+                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """``keep=False``: every member of a group of >1 rows is flagged (group
     size by aggregation, null-safe join back).  ``keep='first'``: all but the
-    first row of each group (by ``order``; row_number window)."""
+    first row of each group (by ``order``), that is, rows with a previous one."""
     if keep is False:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
@@ -80,8 +121,8 @@ def flag_duplicates(df: DataFrame, keys: Sequence[str], keep: str | bool = False
             cond = c if cond is None else cond & c
         joined = df.join(sizes, cond, "left")
         return joined.select(*df.columns, (F.col("_n") > 1).alias(name))
-    w = Window.partitionBy(*keys).orderBy(*(order or keys))
-    return df.withColumn(name, F.row_number().over(w) > 1)
+    prev = with_previous(df, keys, order or keys, F.lit(True), "_prev", hot_rows)
+    return prev.withColumn(name, F.col("_prev").isNotNull()).drop("_prev")
 
 
 # W4

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from claimscope.functions import expressions as X
-from claimscope.operators import cleanup, reports as R, windows as W
+from claimscope.operators import cleanup, reports as R, stats as S, windows as W
 from claimscope.operators.claims import union_claims
 
 D = dt.date
@@ -149,3 +149,44 @@ def test_overlap_count_grouped_equals_window(spark):
         data.append((b, s, e, f"C{rnd.randint(0, 150)}"))
     df = spark.createDataFrame(data, "BeneID string, ClaimStartDt date, ClaimEndDt date, ClaimID string")
     assert W.overlap_count(df).first()[0] == W.overlap_count_window(df).first()[0]
+
+
+def test_previous_rows_of_a_hot_key_are_cut_into_parts(spark):
+    # a third of the rows is one key; half of these are equal in all columns
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+        F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 40).alias("o"))
+    df = df.withColumn("end", F.when(F.col("o") % 5 > 0, F.col("o")))
+    parts = W.ordered_parts(df.where("k = 'hot'"), ["k"], ["o"], 100)
+    sizes = [r["count"] for r in parts.groupBy("_b").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 300
+    out = W.with_previous(df, ["k"], ["o"], F.col("end"), "prev", hot_rows=100)
+    plain = W.with_previous(df, ["k"], ["o"], F.col("end"), "prev")
+    assert out.columns == plain.columns and out.count() == 3000
+    assert out.exceptAll(plain).count() == 0 and plain.exceptAll(out).count() == 0
+    later = W.flag_duplicates(df, ["k"], keep="first", name="later", hot_rows=100)
+    firsts = later.where("not later").groupBy("k").count().collect()
+    assert len(firsts) == df.select("k").distinct().count() and all(r["count"] == 1 for r in firsts)
+    # without an order the rows of a key are equal, and its parts stay small
+    sizes = [r["count"] for r in W.ordered_parts(df.where("k = 'hot'").select("k"), ["k"], [], 100).groupBy("_b").count().collect()]
+    assert max(sizes) <= 300
+
+
+def test_quantiles_by_ranked_counts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    groups = {"a": [float(v) for v in rng.integers(0, 30, 500)], "b": [2.5], "c": [], "d": [1.0, 2.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("c", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    out = {r.g: r for r in R.describe_by(df, "g", "v").collect()}
+    assert set(out) == {"a", "b", "c", "d"} and out["c"]["count"] == 0 and out["c"].p50 is None
+    for g in ("a", "b", "d"):
+        v = np.array(groups[g])
+        assert out[g]["count"] == len(v) and abs(out[g]["mean"] - v.mean()) < 1e-9
+        assert np.allclose([out[g]["min"], out[g].p25, out[g].p50, out[g].p75, out[g]["max"]], np.percentile(v, [0, 25, 50, 75, 100]))
+        assert out[g]["std"] is None if len(v) == 1 else abs(out[g]["std"] - v.std(ddof=1)) < 1e-9
+    box = {r.g: r for r in S.box_stats(df, "g", "v").collect()}
+    assert set(box) == {"a", "b", "d"} and box["b"].q1 == 2.5 and box["b"].n_outliers == 0
+    assert R.describe_by(df.limit(0), "g", "v").count() == 0
+    assert "percentile" not in R.describe_by(df, "g", "v")._jdf.queryExecution().toString()
