@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimscope.functions.expressions import to_double_lenient
+from claimscope.operators.ranking import positions
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -79,10 +80,10 @@ def _lenient(df: DataFrame, c: str):
 # P14
 def category_codes(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     """Value -> 0-based position in the sorted distinct non-null values;
-    null -> -1.  The distinct-value table is the size of the category set."""
+    null -> -1.  The distinct values are numbered by range, in many tasks."""
     name = name or col
     levels = df.select(col).where(F.col(col).isNotNull()).distinct()
-    levels = levels.withColumn("_code", (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int"))
+    levels = positions(levels, col, "_code").withColumn("_code", F.col("_code").cast("int"))
     out = df.join(levels, on=col, how="left")
     out = out.withColumn("_code", F.coalesce(F.col("_code"), F.lit(-1)))
     cols = [F.col("_code").alias(name) if c == col else F.col(c) for c in df.columns]
@@ -131,17 +132,22 @@ def high_missing_cols(df: DataFrame, threshold: float = 0.9, cols: Sequence[str]
 # P19
 def impute_values(df: DataFrame, cols: Sequence[str] | None = None) -> dict:
     """Fill values: numeric -> mean, other -> most frequent value (smallest
-    on a tie).  One aggregation pass; ``mode`` keeps one counter per
-    distinct value of a non-numeric column."""
+    on a tie; as text, like its counts).  Means are one aggregation; the other
+    columns are unpivoted once and counted by (column, value), so no task
+    holds the values of a column."""
     cols = list(cols or df.columns)
-    aggs = []
-    for c in cols:
-        if is_numeric(df.schema[c].dataType):
-            aggs.append(F.avg(c).alias(c))
-        else:
-            aggs.append(F.mode(c, deterministic=True).alias(c))
-    row = df.agg(*aggs).first()
-    return {c: row[c] for c in cols if row[c] is not None}
+    numeric = [c for c in cols if is_numeric(df.schema[c].dataType)]
+    other = [c for c in cols if c not in numeric]
+    values = df.agg(*[F.avg(c).alias(c) for c in numeric]).first().asDict() if numeric else {}
+    if other:
+        texts = df.select(*[F.col(c).cast("string").alias(c) for c in other])
+        counts = texts.unpivot([], other, "column", "value").where(F.col("value").isNotNull()).groupBy("column", "value").agg(
+            F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))
+        texts = {r["column"]: r["value"] for r in best.collect()}
+        typed = [F.lit(texts[c]).cast(df.schema[c].dataType).alias(c) for c in other if c in texts]
+        values |= df.sparkSession.range(1).select(*typed).first().asDict() if typed else {}
+    return {c: values[c] for c in cols if values.get(c) is not None}
 
 
 def impute_mean_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -100,3 +100,17 @@ def quantiles(ranks: DataFrame, probs: Sequence[float]) -> DataFrame:
         share = pos - F.floor(pos)
         picks.append((F.col(f"_l{i}") * (1 - share) + F.col(f"_u{i}") * share).alias(f"q{i}"))
     return ranks.groupBy("key").agg(*aggs, F.max("total").alias("total")).select("key", *picks)
+
+
+def positions(levels: DataFrame, col: str, name: str) -> DataFrame:
+    """Add ``name``, the 0-based position of each of the distinct non-null
+    values of ``col``: numbered inside range parts, each starting from the
+    sizes of the parts before it (one row a part)."""
+    ensure_checkpoint_dir(levels.sparkSession)
+    ranged = levels.checkpoint().repartitionByRange(col).withColumn("_b", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.agg(F.sort_array(F.collect_list(F.struct("_b", "_n"))).alias("_all"))
+    first = F.aggregate(F.filter("_all", lambda p: p["_b"] < F.col("_p._b")), F.lit(0).cast("bigint"), lambda s, p: s + p["_n"])
+    first = sizes.select("_all", F.explode("_all").alias("_p")).select(F.col("_p._b").alias("_b"), first.alias("_off"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(col)) - 1
+    return ranged.join(F.broadcast(first), "_b").withColumn(name, F.col("_off") + place).drop("_b", "_off")

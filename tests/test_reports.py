@@ -1,6 +1,7 @@
 """Edge-case frames for the report, window and cleanup operators."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -190,3 +191,38 @@ def test_quantiles_by_ranked_counts(spark):
     assert set(box) == {"a", "b", "d"} and box["b"].q1 == 2.5 and box["b"].n_outliers == 0
     assert R.describe_by(df.limit(0), "g", "v").count() == 0
     assert "percentile" not in R.describe_by(df, "g", "v")._jdf.queryExecution().toString()
+
+
+def test_category_positions_over_many_parts(spark):
+    df = spark.range(3000).select(F.concat(F.lit("v"), F.lpad((F.col("id") * 7 % 500).cast("string"), 3, "0")).alias("g"))
+    got = {r.g: r.code for r in cleanup.category_codes(df, "g", "code").distinct().collect()}
+    assert got == {f"v{i:03d}": i for i in range(500)}
+
+
+def test_modes_of_typed_columns(spark):
+    data = [(D(2009, 1, 2), True, "b", 1.0), (D(2009, 1, 1), False, "a", None), (D(2009, 1, 2), None, "a", 3.0),
+            (D(2009, 1, 1), True, "b", None), (None, None, None, None)]
+    df = spark.createDataFrame(data, "d date, f boolean, s string, x double")
+    assert cleanup.impute_values(df) == {"d": D(2009, 1, 1), "f": True, "s": "a", "x": 2.0}
+    filled = cleanup.impute_mean_mode(df)
+    assert filled.schema["d"].dataType.simpleString() == "date"
+    assert filled.where("d is null or f is null or s is null or x is null").count() == 0
+    assert cleanup.impute_values(df.limit(0)) == {}
+
+
+def test_density_merges_batches(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(size=400), "b": rng.integers(0, 5, 300).astype(float)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("one", 1.0), ("a", None), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    got = {}
+    for r in S.density(df, "v", "g", grid=20).collect():
+        got.setdefault(r.g, {})[r.point] = (r.x, r.density)
+    assert set(got) == {"a", "b", "one"} and all(d is None for _, d in got["one"].values())
+    for g, v in groups.items():
+        bw = v.std(ddof=1) * len(v) ** -0.2
+        grid = np.linspace(v.min(), v.max(), 20)
+        want = np.exp(-0.5 * ((grid[:, None] - v[None, :]) / bw) ** 2).sum(axis=1) / (len(v) * bw * math.sqrt(2 * math.pi))
+        assert np.allclose([got[g][i] for i in range(20)], np.stack([grid, want], axis=1))
