@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from dataclasses import dataclass, field
 from html import unescape
 
 TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</[^a-zA-Z][^>]*>",
+    r"<!--(?:.*?-->|.*)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</[^a-zA-Z][^>]*>",
     re.S,
 )
-LOOSE = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>]*)>")
+TAG_AT = re.compile("</?[a-zA-Z]")
+LOOSE = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*)>")
 HINTS = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 MAY_HIDE = re.compile("hidden|style", re.I)
 DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 
+#: After so many tags whose quotes never end, the rest of a page is read without regard to quotes, so that the cost of
+#: a page stays proportional to its length.
+MAX_OPEN_QUOTES = 16
+
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())  # end at their end tag only
@@ -46,6 +52,18 @@ class Page:
     text: list[str] = field(default_factory=lambda: [""])
     linked: list[int] = field(default_factory=lambda: [0])  # characters inside links
     truth: list[int] = field(default_factory=lambda: [-1])  # label of pages made for training
+    depth: list[int] = field(default_factory=lambda: [0])
+
+    def add(self, parent: int, tag: str, hints: str = "", text: str = "", linked: int = 0, truth: int = -1) -> int:
+        """Appends a node and returns its number."""
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.hints.append(hints)
+        self.text.append(text)
+        self.linked.append(linked)
+        self.truth.append(truth)
+        self.depth.append(self.depth[parent] + 1)
+        return len(self.parent) - 1
 
 
 def parse(html: str) -> Page:
@@ -53,46 +71,74 @@ def parse(html: str) -> Page:
 
     Text between two block bounds is one leaf, whatever inline markup it has.  Scripts, styles, form controls,
     comments and hidden elements give no leaf.  Unclosed and stray tags are accepted as browsers do; a hidden element
-    ends where a visible one would.
+    ends where a visible one would.  Time is proportional to the page's length, however broken its markup.
     """
     page = Page()
-    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with their block's node
+    # open elements with their block's node; one ended out of turn keeps its place, without a name, until it is on top
+    stack: list[list] = [["#page", 0]]
+    places: dict[str, list[int]] = {}  # of each name, its open elements' places on the stack
+    walls: list[int] = [0]  # places of blocks, which inline end tags do not pass
     marks: list[int] = []  # places of hidden elements on the stack; without any, text is seen
     buffer: list[str] = []
-    links = linked = at = 0
+    links = linked = at = open_quotes = 0
     size = len(html)
+    gt = html.find(">")  # the next one; without any, a "<" is text
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             if text:
-                page.parent.append(stack[-1][1])
-                page.tag.append("#text")
-                page.hints.append("")
-                page.text.append(text)
-                page.linked.append(min(linked, len(text)))
-                page.truth.append(-1)
+                page.add(stack[-1][1], "#text", text=text, linked=min(linked, len(text)))
             buffer.clear()
         linked = 0
 
-    def close_to(depth: int) -> None:
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            walls.append(len(stack))
+        stack.append([tag, node])
+
+    def last(tag: str) -> int:
+        """Place of the topmost open element of this name, or 0."""
+        at = places.get(tag)
+        return at[-1] if at else 0
+
+    def forget(d: int) -> None:
         nonlocal links
-        if not marks or depth < marks[0]:
-            flush()
-        while len(stack) > depth:
-            name, _ = stack.pop()
+        name = stack[d][0]
+        if name:
+            places[name].pop()
             if name == "a":
                 links -= 1
+            if walls[-1] == d:
+                walls.pop()
+            stack[d][0] = ""
+
+    def tidy(depth: int) -> None:
+        """Takes all from ``depth`` on off the stack, and elements below that have ended."""
+        while len(stack) > depth or not stack[-1][0]:
+            forget(len(stack) - 1)
+            stack.pop()
+
+    def close_to(depth: int) -> None:
+        if not marks or depth < marks[0]:
+            flush()
+        tidy(depth)
         while marks and marks[-1] >= depth:
             marks.pop()
 
-    def end_inline(d: int) -> None:
-        """Ends one inline element, with all in it if that holds a hidden one."""
-        nonlocal links
-        past = len(stack) if marks and marks[-1] > d else d + 1
-        links -= sum(name == "a" for name, _ in stack[d:past])
-        del stack[d:past]
+    def end_inline(tag: str) -> None:
+        """Ends the topmost inline element of a name unless a block stands between, with all in it if that holds a
+        hidden one."""
+        d = last(tag)
+        if d <= walls[-1]:
+            return
+        if marks and marks[-1] > d:
+            tidy(d)
+        else:
+            forget(d)
+            tidy(len(stack))
         while marks and marks[-1] >= d:
             marks.pop()
 
@@ -113,7 +159,14 @@ def parse(html: str) -> Page:
             seen(html[at:lt])
         if lt >= size:
             break
-        m = TOKEN.match(html, lt) or LOOSE.match(html, lt)
+        if 0 <= gt < lt:
+            gt = html.find(">", lt)
+        m = None
+        if gt >= 0 or html.startswith("<!--", lt):
+            m = TOKEN.match(html, lt) if open_quotes < MAX_OPEN_QUOTES or not TAG_AT.match(html, lt) else None
+            if m is None:
+                m = LOOSE.match(html, lt)
+                open_quotes += m is not None
         if m is None:
             if not marks:
                 buffer.append("&lt;")
@@ -126,27 +179,19 @@ def parse(html: str) -> Page:
         tag = tag.lower()
         if m["close"]:
             if tag in INLINE:
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d][0] == tag:
-                        end_inline(d)
-                        break
-                    if stack[d][0] not in INLINE:
-                        break
+                end_inline(tag)
                 if tag == "br" and not marks:
                     buffer.append(" ")
                 continue
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][0] == tag:
-                    close_to(d)
-                    break
-            else:
-                if tag == "p" and not marks:
-                    flush()
+            if last(tag):
+                close_to(last(tag))
+            elif tag == "p" and not marks:
+                flush()
             continue
         attrs = m["attrs"]
         if stack[-1][0] == "head" and tag not in IN_HEAD:
             close_to(len(stack) - 1)
-        if tag in RAW and not (marks and any(name == "svg" for name, _ in stack)):
+        if tag in RAW and not (marks and last("svg")):
             if not marks:
                 if tag not in ("script", "style", "noscript"):
                     flush()
@@ -162,18 +207,13 @@ def parse(html: str) -> Page:
                     buffer.append(" ")
                 continue
             if tag == "a":
-                for d in range(len(stack) - 1, 0, -1):  # a link does not hold another
-                    if stack[d][0] == "a":
-                        end_inline(d)
-                        break
-                    if stack[d][0] not in INLINE:
-                        break
+                end_inline("a")  # a link does not hold another
                 links += 1
             if not marks and (hides or tag in ("mtr", "mtd")):
                 buffer.append(" ")
             if hides:
                 marks.append(len(stack))
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             continue
         if tag in VOID:
             if tag == "hr" and not marks:
@@ -181,41 +221,29 @@ def parse(html: str) -> Page:
             continue
         if not marks and tag not in ("svg", "button", "select"):
             flush()
-        if tag in CLOSES_P:
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][0] == "p":
-                    close_to(d)
-                    break
-                if stack[d][0] not in INLINE:
-                    break
+        if tag in CLOSES_P and stack[walls[-1]][0] == "p":
+            close_to(walls[-1])
         if tag in IMPLIED:
             ends, wall = IMPLIED[tag]
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][0] in wall:
-                    break
-                if stack[d][0] in ends:
-                    close_to(d)
-                    if tag != "tr":
-                        break
-        if tag in ("html", "body") and any(n == tag for n, _ in stack):
+            low = max(last(name) for name in wall)
+            open_ones = [places[name] for name in ends if last(name) > low]
+            if open_ones and tag == "tr":  # ends a cell and its row
+                close_to(min(at[bisect(at, low)] for at in open_ones))
+            elif open_ones:
+                close_to(max(at[-1] for at in open_ones))
+        if tag in ("html", "body") and last(tag):
             continue
         if hides:
             if not marks:
                 buffer.append(" ")
             marks.append(len(stack))
         if marks:
-            stack.append((tag, stack[-1][1]))
+            push(tag, stack[-1][1])
             continue
         flush()
         hints = " ".join(x for g in HINTS.findall(attrs) for x in g if x) if attrs else ""
-        page.parent.append(stack[-1][1])
-        page.tag.append(tag)
-        page.hints.append(hints.lower())
-        page.text.append("")
-        page.linked.append(0)
         label = re.search(r"data-content=\"([01])\"", attrs) if "data-content" in attrs else None
-        page.truth.append(int(label[1]) if label else -1)
-        stack.append((tag, len(page.parent) - 1))
+        push(tag, page.add(stack[-1][1], tag, hints=hints.lower(), truth=int(label[1]) if label else -1))
     flush()
     return page
 
@@ -235,5 +263,6 @@ def _hides(attrs: str) -> bool:
 
 def _skip(html: str, at: int, tag: str) -> int:
     """Position after the end tag of an element whose content is not markup; its start tag ends at ``at``."""
-    m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-    return m.end() if m else len(html)
+    m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+    gt = html.find(">", m.end()) if m else -1
+    return gt + 1 if gt >= 0 else len(html)

@@ -21,10 +21,13 @@ MADE_PAGES, SAMPLE_PAGES, CUTOFF = 300, 100, 0.5
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", made: int = MADE_PAGES, sample: int = SAMPLE_PAGES) -> TreeModel:
-    """Fit the tree model.  The sample is drawn by a hash of the id; pages with a null id are not drawn."""
+    """Fit the tree model.  The sample is drawn and ordered by a hash of the id, so that the order of the rows does not
+    matter; pages with a null id are not drawn."""
     n = pages.count()
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("html sample")), F.lit(max(1, -(-n // sample)))) == 0
-    rows = pages.where(F.col(id_col).isNotNull() & draw).select(text_or_empty(html_col).alias("h")).limit(2 * sample).collect() if sample else []
+    rank = F.xxhash64(F.col(id_col), F.lit("html sample"))
+    draw = F.pmod(rank, F.lit(max(1, -(-n // max(1, sample))))) == 0
+    drawn = pages.where(F.col(id_col).isNotNull() & draw).select(text_or_empty(html_col).alias("h"), rank.alias("r"))
+    rows = drawn.orderBy("r", "h").limit(2 * sample).collect() if sample else []
     return fit(training_pages([r["h"] for r in rows], made))
 
 

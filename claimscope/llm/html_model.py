@@ -18,8 +18,8 @@ from claimscope.llm.dom import Page, parse
 #: Groups of tags that share a weight.
 TAG_GROUPS = {
     "page": "#page html body", "article": "article", "main": "main", "section": "section", "div": "div center details",
-    "p": "p", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol dl", "item": "li dd dt", "nav": "nav menu dir",
-    "header": "header", "footer": "footer address", "aside": "aside dialog", "form": "form fieldset legend label option summary",
+    "p": "p", "heading": "h1 h2 h3 h4 h5 h6 hgroup summary", "list": "ul ol dl", "item": "li dd dt", "nav": "nav menu dir",
+    "header": "header", "footer": "footer address", "aside": "aside dialog", "form": "form fieldset legend label option",
     "table": "table tbody thead tfoot tr td th caption", "quote": "blockquote pre figure figcaption", "text": "#text",
 }
 #: Words in class, id and role attributes.  Words of up to four letters must be a whole part of a name.
@@ -85,17 +85,9 @@ def forest(pages: list[Page]) -> Forest:
     parent = np.concatenate([np.array(p.parent, np.int64) + f for p, f in zip(pages, first, strict=False)])
     parent[first[:-1]] = -1
     n = len(parent)
-    depth = np.zeros(n, np.int64)
-    pending = np.flatnonzero(parent >= 0)
-    levels = [first[:-1].copy()]
-    known = np.zeros(n, bool)
-    known[levels[0]] = True
-    while len(pending):
-        ready = known[parent[pending]]
-        levels.append(pending[ready])
-        depth[pending[ready]] = len(levels) - 1
-        pending = pending[~ready]
-        known[levels[-1]] = True
+    depth = np.concatenate([np.array(p.depth, np.int64) for p in pages])
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1)
     text = [t for p in pages for t in p.text]
     length = np.array([len(t) for t in text], float)
     linked = np.array([x for p in pages for x in p.linked], float)
@@ -251,6 +243,10 @@ def made_page(rng: np.random.Generator) -> str:
                 f"<pre>{words(5, 30)}</pre>",
                 f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>",
                 f"<div>{para()}</div>",
+                f'<p><a href="/x">{words(2, 9)}</a></p>',
+                f'<p>{words(0, 3)} <a href="/x">{sentence()}</a> <a href="/y">{words(1, 5)}</a></p>',
+                *[f"<{(kind := pick('ul', 'ol'))}>{links(1, 7)}</{kind}>"] * 2,
+                f"<details><summary>{words(1, 6)}</summary><p>{para(1, 4)}</p></details>",
                 f"<p><b>{para()}<br><p>{para()}",
             )
         )
@@ -310,6 +306,7 @@ def self_labelled(html: str, mask: bool) -> Page | None:
 
 
 def training_pages(sample: list[str], made: int, seed: int = 1) -> list[Page]:
+    """Generated pages, and those of the sample that label themselves; every second one is masked."""
     rng = np.random.default_rng(seed)
     own = [q for i, h in enumerate(sample) if (q := self_labelled(h, bool(i % 2))) is not None]
     return [parse(made_page(rng)) for _ in range(made)] + own

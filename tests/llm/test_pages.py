@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import numpy as np
 import pytest
@@ -75,6 +76,25 @@ def test_deep_and_wide_pages():
     assert leaves("<b>" * 3000 + "y") == ["y"]
 
 
+@pytest.mark.parametrize(
+    ("html", "n"),
+    [
+        ("<a " * 300_000, 1),
+        ('<a ">"' * 150_000, None),
+        ("<div>" * 80_000 + "x" + "</nav>" * 80_000, 1),
+        ("<b>" * 100_000 + "x" + "</i>" * 100_000, 1),
+        ("<i>" * 80_000 + "<b>" * 80_000 + "x" + "</i>" * 80_000, 1),
+        ("x<script>" + "</script " * 100_000, 1),
+        ("<" + "a" * 900_000 + " 'x>y", 1),
+    ],
+)
+def test_hostile_pages_take_linear_time(html, n):
+    start = time.process_time()
+    got = leaves(html)
+    assert time.process_time() - start < 5  # a quadratic reader takes minutes
+    assert n is None or len(got) == n
+
+
 # ---- the model -------------------------------------------------------------------------------------------------
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
@@ -122,6 +142,25 @@ def test_boilerplate_goes(model, tag):
     assert main_texts([html], model) == ["A title of the story\nThe first paragraph has several words, and a stop.\nThe second one links to a place. It goes on for a while."]
 
 
+@pytest.mark.parametrize(
+    ("block", "want"),
+    [
+        ("<p><a href=/q>A link paragraph here</a></p>", "A link paragraph here"),
+        ("<ul><li><a href=/1>First source of it</a></li><li><a href=/2>Second source</a></li></ul>", "First source of it\nSecond source"),
+        ("<details><summary>More on this</summary><p>It is text, and it is there.</p></details>", "More on this\nIt is text, and it is there."),
+    ],
+)
+def test_links_and_summaries_of_an_article_stay(model, block, want):
+    html = PAGE.replace("{0}", "article").replace('<div class="ad">', block + '<div class="ad">')
+    assert main_texts([html], model) == [f"A title of the story\nThe first paragraph has several words, and a stop.\n{want}\nThe second one links to a place. It goes on for a while."]
+
+
+def test_training_ignores_row_order(spark):
+    rows = [(i, PAGE.replace("{0}", "article" if i % 3 else "main").replace("title", f"title {i}")) for i in range(60)]
+    models = [train_html(spark.createDataFrame(r, "page_id bigint, html string").repartition(k), made=20, sample=20) for r, k in ((rows, 1), (rows[::-1], 3))]
+    assert np.array_equal(models[0].weights, models[1].weights) and np.array_equal(models[0].pair, models[1].pair)
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "u", None, "x"), (2, "v", "", "x"), (3, None, "<nav><a href=/>x</a></nav>", "x"), (None, "w", PAGE.replace("{0}", "article"), "x"), (4, "y", "<p>" + "long text. " * 40000, "x"), (4, "y", "\x00<퟿", "x")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
