@@ -7,6 +7,8 @@ Vertices are ``(id, type)``, edges ``(src, dst, ...)``.  Iterative algorithms
   (a hub's many claims become one weighted row per neighbour);
 * the weighted edges are hash-partitioned by source once and reused, so each
   round shuffles only the messages;
+* a hub's edges are cut into parts of about ``HUB_EDGES`` and dealt over all
+  partitions; its one state a round is copied to each part (a vertex cut);
 * messages are summed with map-side partial aggregation (hub vertices are
   pre-aggregated per task);
 * lineage is cut with a reliable ``checkpoint()`` (written to the folder in
@@ -36,6 +38,9 @@ from claimscope.functions.values import (
 )
 from claimscope.session import ensure_checkpoint_dir
 
+HUB_EDGES = 100_000  # a vertex with more neighbours is cut into parts of about this many
+BROADCAST_HUBS = 10**6  # so many hubs are broadcast, more are joined by a shuffle
+
 PHYS = ["AttendingPhysician", "OperatingPhysician", "OtherPhysician"]
 
 
@@ -145,31 +150,71 @@ def _cut(df: DataFrame, round_no: int, every: int, last: int) -> DataFrame:
     return df
 
 
+class HubCut:
+    """Edges ``(key, other, m)`` laid out for rounds that send a state along them.
+
+    ``light`` holds the edges of ordinary vertices, hash-partitioned by ``key``.  ``heavy`` holds those of hubs (more
+    than ``hub_edges`` edges), hash-partitioned by ``key`` and a part number drawn from the other end, so that a hub's
+    edges lie in all partitions.  There are at most edges / ``hub_edges`` hubs and as many copies of their states."""
+
+    def __init__(self, edges: DataFrame, key: str, other: str, hub_edges: int = HUB_EDGES) -> None:
+        n = _partitions(edges)
+        ensure_checkpoint_dir(edges.sparkSession)
+        self.key, self.heavy = key, None
+        self.edges = edges.persist()
+        fans = self.edges.groupBy(key).agg(F.count(F.lit(1)).alias("fan"), F.sum("m").alias("deg"))
+        self.degrees = fans.repartition(n, key).persist()
+        fans = self.degrees.where(F.col("fan") > hub_edges)
+        hubs = fans.select(key, F.ceil(F.col("fan") / hub_edges).alias("parts")).checkpoint()
+        found = hubs.count()
+        rest = self.edges
+        if found:
+            self.hubs = F.broadcast(hubs) if found <= BROADCAST_HUBS else hubs
+            rest = rest.join(self.hubs, key, "left_anti")
+            heavy = self.edges.join(self.hubs, key).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")))
+            self.heavy = heavy.drop("parts").repartition(n, key, "part").persist()
+        self.light = rest.repartition(n, key).persist()
+
+    def sent(self, state: DataFrame) -> DataFrame:
+        """Every edge with the columns of its key vertex in ``state`` (``id``, ...)."""
+        own = state.withColumnRenamed("id", self.key)
+        out = self.light.join(own, self.key)
+        if self.heavy is None:
+            return out
+        copies = own.join(self.hubs, self.key).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
+        hot = self.heavy.join(copies, [self.key, "part"])
+        return out.unionByName(hot.select(*out.columns))
+
+    def release(self) -> None:
+        for df in (self.light, self.heavy, self.degrees, self.edges):
+            if df is not None:
+                df.unpersist()
+
+
 # G8
 def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, iters: int = 10,
-             checkpoint_every: int = 3) -> DataFrame:
+             checkpoint_every: int = 3, hub_edges: int = HUB_EDGES) -> DataFrame:
     """Static PageRank: start 1.0; each round
-    ``rank = reset + (1 - reset) * sum(rank(src) * w(src, dst))`` with
-    w = parallel-edge count / out-degree; finally scaled so the ranks sum to
+    ``rank = reset + (1 - reset) * sum(rank(src) / outdegree(src) * m(src, dst))``
+    with m = number of parallel edges; finally scaled so the ranks sum to
     the number of vertices (sinks leak rank, the scaling restores it)."""
     n = _partitions(edges)
     pairs = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).groupBy("src", "dst").agg(
         F.count(F.lit(1)).alias("m")
     )
-    outdeg = pairs.groupBy("src").agg(F.sum("m").alias("deg"))
-    w = pairs.join(outdeg, "src").select("src", "dst", (F.col("m") / F.col("deg")).alias("w"))
-    w = w.repartition(n, "src").persist()
-    ids = vertices.select("id").where(F.col("id").isNotNull()).distinct().repartition(n, "id").persist()
+    cut = HubCut(pairs, "src", "dst", hub_edges)
+    outdeg = cut.degrees.select(F.col("src").alias("id"), "deg")
+    ids = vertices.select("id").where(F.col("id").isNotNull()).distinct()
+    ids = ids.repartition(n, "id").join(outdeg, "id", "left").persist()
     ranks = ids.withColumn("rank", F.lit(1.0))
     for i in range(1, iters + 1):
-        msg = w.join(ranks.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(
-            F.sum(F.col("rank") * F.col("w")).alias("s")
-        )
+        shares = ranks.select("id", (F.col("rank") / F.col("deg")).alias("share"))
+        msg = cut.sent(shares).groupBy("dst").agg(F.sum(F.col("share") * F.col("m")).alias("s"))
         ranks = ids.join(msg.withColumnRenamed("dst", "id"), "id", "left").select(
-            "id", (F.lit(reset) + F.lit(1.0 - reset) * F.coalesce(F.col("s"), F.lit(0.0))).alias("rank")
+            "id", "deg", (F.lit(reset) + F.lit(1.0 - reset) * F.coalesce(F.col("s"), F.lit(0.0))).alias("rank")
         )
         ranks = _cut(ranks, i, checkpoint_every, iters)
-    w.unpersist()
+    cut.release()
     ids.unpersist()
     total = ranks.agg(F.sum("rank")).scalar()
     count = ranks.agg(F.count(F.lit(1)).cast("double")).scalar()
@@ -177,7 +222,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, iters:
 
 
 # G9
-def label_propagation(vertices: DataFrame, edges: DataFrame, iters: int = 5, checkpoint_every: int = 3) -> DataFrame:
+def label_propagation(vertices: DataFrame, edges: DataFrame, iters: int = 5, checkpoint_every: int = 3,
+                      hub_edges: int = HUB_EDGES) -> DataFrame:
     """Synchronous label propagation over both edge directions: each round a
     vertex takes the label carried by most of its edges (parallel edges
     count), ties to the smallest label; vertices without edges keep their
@@ -189,19 +235,17 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, iters: int = 5, che
             F.struct(F.col("dst").alias("v"), F.col("src").alias("nbr")),
         ))
     )
-    adj = both.groupBy("v", "nbr").agg(F.count(F.lit(1)).alias("m")).repartition(n, "nbr").persist()
+    cut = HubCut(both.groupBy("v", "nbr").agg(F.count(F.lit(1)).alias("m")), "nbr", "v", hub_edges)
     ids = vertices.select("id").where(F.col("id").isNotNull()).distinct().repartition(n, "id").persist()
     labels = ids.withColumn("label", F.col("id"))
     for i in range(1, iters + 1):
-        cand = adj.join(labels.withColumnRenamed("id", "nbr"), "nbr").groupBy("v", "label").agg(
-            F.sum("m").alias("c")
-        )
+        cand = cut.sent(labels).groupBy("v", "label").agg(F.sum("m").alias("c"))
         best = cand.groupBy("v").agg(F.min_by("label", F.struct(-F.col("c"), F.col("label"))).alias("new"))
         labels = labels.join(best.withColumnRenamed("v", "id"), "id", "left").select(
             "id", F.coalesce(F.col("new"), F.col("label")).alias("label")
         )
         labels = _cut(labels, i, checkpoint_every, iters)
-    adj.unpersist()
+    cut.release()
     ids.unpersist()
     return labels
 

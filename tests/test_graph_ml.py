@@ -59,6 +59,29 @@ def test_label_propagation_ties_to_smallest_label(spark):
     assert out["x"] == "m" and out["lonely"] == "lonely"
 
 
+def test_hubs_are_cut_without_changing_ranks_or_labels(spark):
+    rng = np.random.default_rng(4)
+    pairs = [(f"v{a}", f"v{b}") for a, b in rng.integers(0, 40, (150, 2))] + [("hub", f"v{i}") for i in range(40)] + [(f"v{i}", "hub") for i in range(0, 40, 2)] + [("hub", "v1")] * 9
+    verts = sorted({x for p in pairs for x in p}) + ["iso"]
+    v, e = spark.createDataFrame([(x, "t") for x in verts], "id string, type string"), edges_df(spark, pairs)
+    ref = _pagerank_reference(verts, pairs)
+    got = {r.id: r.pagerank for r in G.pagerank(v, e, hub_edges=5).collect()}
+    assert got.keys() == ref.keys() and all(abs(got[k] - ref[k]) < 1e-9 for k in ref)
+    labels = [sorted(map(tuple, G.label_propagation(v, e, iters=3, hub_edges=h).collect())) for h in (5, 10**6)]
+    assert labels[0] == labels[1]
+
+
+def test_star_lies_in_all_partitions(spark):
+    n = 50_000
+    star = spark.range(n).select(F.lit("hub").alias("src"), F.col("id").cast("string").alias("dst"), F.lit(1).alias("m"))
+    cut = G.HubCut(star, "src", "dst", hub_edges=500)
+    sizes = [r["count"] for r in cut.heavy.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and len(sizes) == G._partitions(star) and max(sizes) < n / 2
+    assert cut.light.count() == 0
+    assert cut.sent(spark.createDataFrame([("hub", 1.0)], "id string, share double")).agg(F.sum("share")).first()[0] == n
+    cut.release()
+
+
 def test_tripartite_drops_null_ends(spark):
     c = spark.createDataFrame([("B1", "P1", "D1", None, None)],
                               "BeneID string, Provider string, AttendingPhysician string, OperatingPhysician string, OtherPhysician string")
