@@ -2,12 +2,16 @@
 
 Exact parts (feature tables, split, encodings, metrics on a fixed rule score,
 TF-IDF, explanation text on fixed contributions) have SQL twins; trained
-models, TreeSHAP, SVD topics and SMOTE are checked rows-only here and by unit
-tests (properties) in ``tests/``.
+models, SVD topics and SMOTE are checked rows-only here and by unit tests
+(properties) in ``tests/``.  Sums that a fitted model must satisfy (importances,
+contributions and margins) have twins too.
 """
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -324,18 +328,35 @@ def _smote_gbt(spark, d):
     return memo(spark, d, "smote_gbt", lambda: MO.fit_gbt(train, feats, rounds=100, depth=5, rate=0.1))
 
 
+def _forest(spark, d):
+    train, _, feats = _smote_parts(spark, d)
+    return memo(spark, d, "forest", lambda: MO.fit_rf(train, feats, trees=100, depth=10))
+
+
 @query("m09_rf_report", None, ("M9", "M18", "M11", "M12"))
 def m09_rf_report(spark, d):
     """Random forest, 100 trees of depth 10, on the SMOTE-balanced part."""
-    train, val, feats = _smote_parts(spark, d)
-    return _report(MO.fit_rf(train, feats, trees=100, depth=10), val, feats)
+    _, val, feats = _smote_parts(spark, d)
+    return _report(_forest(spark, d), val, feats)
+
+
+@query("m11_confusion_forest", None, ("M9", "M18", "M11"))
+def m11_confusion_forest(spark, d):
+    _, val, feats = _smote_parts(spark, d)
+    return ME.confusion(MO.predict(_forest(spark, d), val, feats))
+
+
+@query("m12_roc_curve_forest", None, ("M9", "M18", "M12"))
+def m12_roc_curve_forest(spark, d):
+    _, val, feats = _smote_parts(spark, d)
+    return ME.roc_curve(MO.predict(_forest(spark, d), val, feats))
 
 
 @query("m10_forest_importance", None, ("M10", "M9", "M18"))
 def m10_forest_importance(spark, d):
     """Top-20 importances of the forest trained after SMOTE."""
-    train, _, feats = _smote_parts(spark, d)
-    return MO.feature_importance(spark, MO.fit_rf(train, feats, trees=100, depth=10), feats, 20)
+    _, _, feats = _smote_parts(spark, d)
+    return MO.feature_importance(spark, _forest(spark, d), feats, 20)
 
 
 @query("m07_smote_logistic_report", None, ("M7", "M18", "M11", "M12"))
@@ -351,6 +372,23 @@ def m10_feature_importance(spark, d):
     return MO.feature_importance(spark, _smote_gbt(spark, d), feats, 20)
 
 
+@query("m10_importance_total", f"""
+select 1.0::double as total, cast({len(M1_MODEL)} as bigint) as n_features, cast(0 as bigint) as n_negative
+""", ("M10", "M8"))
+def m10_importance_total(spark, d):
+    """What importances of a fitted model must satisfy: one a feature, none negative, sum 1."""
+    imp = MO.feature_importance(spark, _default_gbt(spark, d), M1_MODEL, None)
+    return imp.agg(F.round(F.sum("Importance"), 9).alias("total"), F.count(F.lit(1)).alias("n_features"),
+                   F.count_if(F.col("Importance") < 0).alias("n_negative"))
+
+
+@query("m13_fold_sizes", """
+select cast((rn - 1) % 5 as integer) as fold, FraudLabel, count(*) as count from split group by all
+""", "M13", extra_ctes=EXTRA)
+def m13_fold_sizes(spark, d):
+    return FE.stratified_folds(m1(spark, d)).groupBy("fold", "FraudLabel").agg(F.count(F.lit(1)).alias("count"))
+
+
 @query("m13_cross_validation", None, ("M13", "M8", "M11", "M12"))
 def m13_cross_validation(spark, d):
     df = kept(FE.stratified_folds(m1_model(spark, d)))
@@ -481,6 +519,62 @@ def m14_linear_contributions(spark, d):
     return contrib.withColumn("base", F.lit(base))
 
 
+#: Fixed coefficients, so that the linear contributions have an exact twin.
+_COEFS = [(-1) ** i * (i + 1) / 8 for i in range(len(M1_NUMERIC))]
+
+
+def _fixed_linear_sql() -> str:
+    mean = "(select avg(cast({0} as double)) from split where not is_test)"
+    ent = ", ".join(f"({q(c)}, {w}::double * (cast({c} as double) - {mean.format(c)}))" for c, w in zip(M1_NUMERIC, _COEFS, strict=True))
+    base = " + ".join(f"{w}::double * {mean.format(c)}" for c, w in zip(M1_NUMERIC, _COEFS, strict=True))
+    return f"""select RowID, t.feature, round(t.value, 6) as value, round((select 0.25::double + ({base})), 6) as base
+from split, lateral (select * from (values {ent}) x(feature, value)) t where is_test"""
+
+
+@query("m14_linear_fixed", _fixed_linear_sql(), "M14", extra_ctes=EXTRA)
+def m14_linear_fixed(spark, d):
+    """Linear contributions for fixed coefficients: coefficient times distance from the training mean."""
+    tr, va = _train_val(spark, d)
+    model = SimpleNamespace(coefficients=Vectors.dense(_COEFS), intercept=0.25)
+    contrib, base = E.linear_contributions(model, tr, va, M1_NUMERIC)
+    return rounded(contrib.withColumn("base", F.lit(base)), {"value": 6, "base": 6})
+
+
+@query("m14_additivity", """
+select count(*) as n_rows, count(*) as n_additive from split where is_test
+""", ("M14", "M8"), extra_ctes=EXTRA)
+def m14_additivity(spark, d):
+    """What contributions must satisfy: with the base value they sum to the model's margin, row by row."""
+    _, va = _train_val(spark, d)
+    model = _default_gbt(spark, d)
+    contrib, base = E.tree_contributions(model, va, M1_MODEL)
+    sums = contrib.groupBy("RowID").agg(F.sum("value").alias("total"))
+    both = E.raw_margin(model, va, M1_MODEL).join(sums, "RowID", "left")
+    same = F.abs(F.col("total") + F.lit(base) - F.col("margin")) < 1e-6
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(same).alias("n_additive"))
+
+
+@query("m15_claim_breakdown", None, ("M14", "O1"))
+def m15_claim_breakdown(spark, d):
+    """Every feature's contribution for one claim, the first of the validation part by RowID, largest first."""
+    _, va = _train_val(spark, d)
+    one = va.orderBy("RowID").limit(1)
+    contrib, base = E.tree_contributions(_default_gbt(spark, d), one, M1_MODEL)
+    return contrib.withColumn("base", F.lit(base)).orderBy(F.desc(F.abs("value")), "feature")
+
+
+@query("m11_confusion_gbt", None, ("M8", "M11"))
+def m11_confusion_gbt(spark, d):
+    _, va = _train_val(spark, d)
+    return ME.confusion(MO.predict(_default_gbt(spark, d), va, M1_MODEL))
+
+
+@query("m12_roc_curve_gbt", None, ("M8", "M12"))
+def m12_roc_curve_gbt(spark, d):
+    _, va = _train_val(spark, d)
+    return ME.roc_curve(MO.predict(_default_gbt(spark, d), va, M1_MODEL))
+
+
 @query("m15_explanation_model", None, ("M15", "M14"))
 def m15_explanation_model(spark, d):
     _, va = _train_val(spark, d)
@@ -489,21 +583,35 @@ def m15_explanation_model(spark, d):
 
 
 # ------------------------------------------------------------ text
-@query("m16_tfidf", f"""
-with docs as (select {RID_SQL} as RowID, lower(concat_ws(' ', {", ".join(diag_cols())})) as t from valid_claims),
+def _tfidf_sql(document: str) -> str:
+    return f"""
+with docs as (select {RID_SQL} as RowID, lower({document}) as t from valid_claims),
 n as (select count(*) as n from docs),
 terms as (select RowID, unnest(regexp_extract_all(t, '\\b\\w\\w+\\b')) as term from docs),
 tf as (select RowID, term, count(*) as tf from terms group by RowID, term),
 idf as (select term, ln((1 + (select n from n)) / (1 + count(*))) + 1 as idf from tf group by term),
 w as (select tf.RowID, tf.term, tf.tf, idf.idf, tf.tf * idf.idf as raw from tf join idf on tf.term = idf.term)
 select RowID, term, tf, round(idf, 9) as idf, round(raw / sqrt(sum(raw * raw) over (partition by RowID)), 9) as weight from w
-""", ("M16", "X13"))
-def m16_tfidf(spark, d):
+"""
+
+
+def _tfidf(spark, d, compat: bool):
     enr = valid_stay(FE.with_claim_row_id(fx.claims_src(spark, d)))
-    docs = enr.select("RowID", X.code_document(FE.diag_cols(enr)).alias("DiagDoc"))
+    docs = enr.select("RowID", X.code_document(FE.diag_cols(enr), compat).alias("DiagDoc"))
     return rounded(TX.tfidf(docs, "RowID", "DiagDoc"), {"idf": 9, "weight": 9})
 
 
+@query("m16_tfidf", _tfidf_sql(f"concat_ws(' ', {', '.join(diag_cols())})"), ("M16", "X13"))
+def m16_tfidf(spark, d):
+    return _tfidf(spark, d, compat=False)
+
+
+@query("m16_tfidf_nan_tokens", _tfidf_sql("concat_ws(' ', " + ", ".join(f"coalesce({c}, 'nan')" for c in diag_cols()) + ")"), ("M16", "X13"))
+def m16_tfidf_nan_tokens(spark, d):
+    """The literal form of the document: a missing code is the token ``nan``."""
+    return _tfidf(spark, d, compat=True)
+
+
 @query("m17_svd_topics", None, ("M17", "M16", "J9"))
 def m17_svd_topics(spark, d):
     return topics(spark, d)
