@@ -6,7 +6,9 @@
   The fitted model is written to the shared checkpoint folder and its node
   table is read back as a DataFrame (model-sized, collected once); each task
   then evaluates the trees on its Arrow batches with numpy, vectorised over
-  the rows of the batch (``mapInPandas``).  Contributions plus the expected
+  the rows of the batch (``mapInPandas``).  A leaf's share in a row depends
+  only on which decisions on its path the row follows, so for trees of a
+  usual depth the shares are worked out once per leaf and looked up.  Contributions plus the expected
   value give the model's raw margin exactly.
 * Explanation text: the long contribution table is cut to the top 10 per row
   by |value| (``row_number`` with a limit: at most 10 rows per group leave a
@@ -37,6 +39,9 @@ from claimscope.functions.values import (
 from claimscope.operators.windows import top_k_per_group
 from claimscope.session import ensure_checkpoint_dir
 
+#: Bytes of a model's leaf tables beyond which rows are worked out one by one.
+TABLE_BYTES = 64 << 20
+
 
 def _long(df: DataFrame, key: str, values: dict, keep: Sequence[str] = ()) -> DataFrame:
     entries = [F.struct(F.lit(name).alias("feature"), expr.cast("double").alias("value")) for name, expr in values.items()]
@@ -183,6 +188,55 @@ def tree_shap(x: np.ndarray, tree, phi: np.ndarray, scale: float = 1.0) -> None:
         rec(0, [], [], [], [], 1.0, np.ones(n), -1)
 
 
+def leaf_tables(tree, scale: float = 1.0, room: float = TABLE_BYTES) -> dict[int, list[tuple[int, np.ndarray]]] | None:
+    """Per leaf, (feature, values): what the leaf adds to the feature's value
+    for each of the 2 ** depth ways a row can agree with the decisions on the
+    leaf's path (the root's is the highest bit).  Worked out once by the same
+    recursion as ``tree_shap``.  None if the tables would take over ``room`` bytes."""
+    left, right, feat, _, value, cover = tree
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+    size = 0
+    stack = [(0, [])]
+    while stack:
+        node, steps = stack.pop()
+        if left[node] >= 0:
+            for child in (int(right[node]), int(left[node])):
+                stack.append((child, [*steps, (int(feat[node]), cover[child], cover[node])]))
+            continue
+        n = 1 << len(steps)
+        size += 8 * n * len(steps)
+        if size > room:
+            return None
+        ways = np.arange(n)
+        d, z, o, w = _extend([], [], [], [], 1.0, np.ones(n), -1, n)
+        for j, (f, part, whole) in enumerate(steps):
+            iz, io = 1.0, np.ones(n)
+            if f in d:
+                k = d.index(f)
+                iz, io = z[k], o[k]
+                d, z, o, w = _unwind(d, z, o, w, k)
+            follows = ((ways >> (len(steps) - 1 - j)) & 1).astype(np.float64)
+            d, z, o, w = _extend(d, z, o, w, iz * part / whole, io * follows, f, n)
+        found[node] = [(d[i], scale * _unwound_sum(z, o, w, i) * (o[i] - z[i]) * value[node]) for i in range(1, len(d))]
+    return found
+
+
+def tree_shap_by_table(x: np.ndarray, tree, leaves: dict, phi: np.ndarray) -> None:
+    """``tree_shap`` by looking up each leaf's values; ``phi`` has one row a feature."""
+    left, right, feat, thr, _, _ = tree
+
+    def rec(node, way):
+        if left[node] < 0:
+            for f, values in leaves[node]:
+                phi[f] += values[way]
+            return
+        go_left = (x[:, int(feat[node])] <= thr[node]).astype(np.intp)
+        rec(int(left[node]), 2 * way + go_left)
+        rec(int(right[node]), 2 * way + 1 - go_left)
+
+    rec(0, np.zeros(len(x), dtype=np.intp))
+
+
 def tree_contributions(model, df: DataFrame, features: Sequence[str], key: str = "RowID",
                        keep: Sequence[str] = ()) -> tuple[DataFrame, float]:
     """Long table (key, keep..., feature, value) of TreeSHAP values in the
@@ -190,13 +244,19 @@ def tree_contributions(model, df: DataFrame, features: Sequence[str], key: str =
     trees, weights = tree_tables(model)
     base = float(sum(wt * expected_value(t) for t, wt in zip(trees, weights)))
     feats = list(features)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tables = [leaf_tables(t, wt, TABLE_BYTES / len(trees)) for t, wt in zip(trees, weights)]
 
     def part(batches):
         for pdf in batches:
-            x = pdf[feats].to_numpy(dtype=np.float64)
-            phi = np.zeros((len(pdf), len(feats)))
-            for t, wt in zip(trees, weights):
-                tree_shap(x, t, phi, wt)
+            x = np.asfortranarray(pdf[feats].to_numpy(dtype=np.float64))
+            by_feature = np.zeros((len(feats), len(pdf)))
+            phi = by_feature.T
+            for t, wt, leaves in zip(trees, weights, tables):
+                if leaves is None:
+                    tree_shap(x, t, phi, wt)
+                else:
+                    tree_shap_by_table(x, t, leaves, by_feature)
             cols = {c: np.repeat(pdf[c].to_numpy(), len(feats)) for c in [key, *keep]}
             cols["feature"] = np.tile(np.array(feats, dtype=object), len(pdf))
             cols["value"] = phi.reshape(-1)
