@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.session import ensure_checkpoint_dir
+from claimscope.session import ensure_checkpoint_dir, short_methods
 
 #: Rows of the set of repeated hashes (8 bytes each) up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -154,7 +154,9 @@ def with_row_id(df: DataFrame, keys: Sequence[str] | None = None, name: str = "R
     row_id = lambda copy: F.md5(F.concat_ws("|", *parts, copy))
     short = df.withColumn("_s", F.xxhash64(F.concat_ws("|", *parts)))
     ensure_checkpoint_dir(df.sparkSession)
-    repeated = short.select("_s").groupBy("_s").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_s").checkpoint()
+    repeated = short.select("_s").groupBy("_s").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_s")
+    with short_methods(df.sparkSession):
+        repeated = repeated.checkpoint()
     found = repeated.count()
     if not found:
         return df.withColumn(name, row_id(F.lit("1")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,11 +50,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or folder
 
 
+#: Java runs a method beyond this size without compiling it to machine code.
+METHOD_LIMIT = 8000
+_METHOD_LIMIT_KEY = "spark.sql.codegen.hugeMethodLimit"
+
+
+@contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """For the jobs run inside: expressions over very many columns are generated
+    as several methods of a size that Java compiles, instead of a single one.
+    The session's own setting is put back, and a smaller one is left alone."""
+    own = spark.conf.get(_METHOD_LIMIT_KEY, None)
+    if own is not None and int(own) <= METHOD_LIMIT:
+        yield
+        return
+    spark.conf.set(_METHOD_LIMIT_KEY, str(METHOD_LIMIT))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(_METHOD_LIMIT_KEY)
+        else:
+            spark.conf.set(_METHOD_LIMIT_KEY, own)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: the work
     before it is done once, as with a checkpoint, but the columns are packed
     and later readers take only those that they use."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with short_methods(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
