@@ -1,16 +1,17 @@
-"""Rows that the trees are trained on."""
+"""Boosted trees without cached node ids: the same trees, and memory left to Spark ML's own copy of the rows."""
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
 from claimscope.operators import models as MO
 
 
-def test_tree_input_is_dealt_into_equal_parts(spark, monkeypatch):
-    df = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") % 2).cast("int").alias("y")).coalesce(3)
-    cores = spark.sparkContext.defaultParallelism
-    for most, parts in ((1_000_000, cores), (1000 // (2 * cores), 2 * cores)):
-        monkeypatch.setattr(MO, "PART_ROWS", most)
-        with MO.training_input(df, ["a"], "y", even=True) as data:
-            sizes = data.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
-            assert len(sizes) == parts and sum(sizes) == 1000 and max(sizes) - min(sizes) <= parts
-            assert not data.storageLevel.useMemory
+def test_boosted_trees_need_no_cached_node_ids(spark):
+    df = spark.range(400).select(F.col("id").alias("a"), (F.col("id") * 7 % 31).alias("b"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    model = MO.fit_gbt(df, ["a", "b"], "y", rounds=4, depth=4)
+    assert not model.getOrDefault("cacheNodeIds")
+    with MO.training_input(df, ["a", "b"], "y") as data:
+        assert data.storageLevel.useDisk and not data.storageLevel.useMemory
+        old = GBTClassifier(featuresCol="features", labelCol="y", maxIter=4, maxDepth=4, stepSize=0.3, seed=MO.SEED,
+                            maxMemoryInMB=1024, cacheNodeIds=True).fit(data)
+    assert [t.toDebugString.split("\n")[1:] for t in old.trees] == [t.toDebugString.split("\n")[1:] for t in model.trees]
