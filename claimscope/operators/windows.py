@@ -1,9 +1,9 @@
 """Window-style operators.
 
 Where a window would put a whole (possibly hot) group into one task, the
-operator is written as an aggregation instead: duplicate flags and first row
-per key use grouped aggregates (partial aggregation before the shuffle) and a
-join back.  Top-k per group uses ``row_number`` with a ``<= k`` filter, which
+operator is written otherwise: first row per key is a grouped aggregate
+(partial aggregation before the shuffle), and duplicate flags and previous
+rows set the keys of very many rows apart.  Top-k per group uses ``row_number`` with a ``<= k`` filter, which
 Spark plans as a WindowGroupLimit that keeps only k rows per group in each
 map task before the shuffle.
 """
@@ -23,6 +23,8 @@ BROADCAST_ROWS = 1_000_000
 COPY_BLOCK = 100_000
 #: Rows of one key beyond which it is cut into ordered parts of this size.
 HOT_ROWS = 1_000_000
+#: Groups of keys that are counted first when keys of many rows are looked for.
+BUCKETS = 1 << 20
 
 
 def ordered_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int) -> DataFrame:
@@ -36,22 +38,41 @@ def ordered_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows
     return drawn.repartitionByRange(number, *keys, *order, "_t").withColumn("_b", F.spark_partition_id()).checkpoint()
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """The keys with more than ``rows`` rows, as ``_k0``, ``_k1``, ...; null keys are one key.
+
+    First the rows of ``BUCKETS`` groups of keys are counted, which shuffles at most so many counts a task; keys
+    themselves are counted only in groups of more than ``rows`` rows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    named = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
+    names = named.columns
+    grouped = named.withColumn("_g", F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).cast("int"))
+    large = grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).select("_g").checkpoint()
+    if large.isEmpty():
+        return df.sparkSession.createDataFrame([], named.schema)
+    counts = grouped.join(F.broadcast(large), "_g", "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > rows).drop("_n").checkpoint()
+
+
+def _same_key(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+
+
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+                  hot_rows: int = HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
     """Add ``value`` of the previous row of the same key (in ``order``; equal
     rows in any order), null for its first row; null keys are one key.
 
     A key of at most ``hot_rows`` rows is one window group.  Larger keys (at
     most rows / ``hot_rows`` of them, so their list is broadcast) are cut into
-    ordered parts, and the last row of a part is handed to the next one."""
+    ordered parts, and the last row of a part is handed to the next one.
+    ``hot``: the larger keys, if ``hot_keys`` has found them already."""
     keys, order = list(keys), list(order)
-    ensure_checkpoint_dir(df.sparkSession)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot = hot.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).checkpoint()
+    hot = hot_keys(df, keys, hot_rows) if hot is None else hot
     lag = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
     if hot.isEmpty():
         return df.withColumn(name, lag)
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    same = _same_key(keys)
     cold = df.join(F.broadcast(hot), same, "left_anti").withColumn(name, lag)
     parts = ordered_parts(df.join(F.broadcast(hot), same, "left_semi"), keys, order, hot_rows)
     last = parts.groupBy(*keys, "_b").agg(F.max_by(F.struct(value.alias("v")), F.struct(*order, "_t")).alias("_last"))
@@ -108,20 +129,25 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 # W3
 def flag_duplicates(df: DataFrame, keys: Sequence[str], keep: str | bool = False,
                     order: Sequence[str] | None = None, name: str = "is_duplicate",
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``keep=False``: every member of a group of >1 rows is flagged (group
-    size by aggregation, null-safe join back).  ``keep='first'``: all but the
-    first row of each group (by ``order``), that is, rows with a previous one."""
+                    hot_rows: int = HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
+    """``keep=False``: every member of a group of >1 rows is flagged.
+    ``keep='first'``: all but the first row of each group (by ``order``), that
+    is, rows with a previous one.  Null keys are one key.
+
+    Both number a group of at most ``hot_rows`` rows in a window over ``keys``,
+    so that rows flagged twice on the same keys are shuffled once.  The members
+    of a larger group need no count: all are flagged.  ``hot``: the larger
+    keys, if ``hot_keys`` has found them already."""
+    hot_rows = max(hot_rows, 1)
+    hot = hot_keys(df, keys, hot_rows) if hot is None else hot
     if keep is False:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        sizes = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
-        cond = None
-        for i, k in enumerate(keys):
-            c = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-            cond = c if cond is None else cond & c
-        joined = df.join(sizes, cond, "left")
-        return joined.select(*df.columns, (F.col("_n") > 1).alias(name))
-    prev = with_previous(df, keys, order or keys, F.lit(True), "_prev", hot_rows)
+        several = (F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1).alias(name)
+        if hot.isEmpty():
+            return df.select("*", several)
+        same = _same_key(keys)
+        cold = df.join(F.broadcast(hot), same, "left_anti").select(*df.columns, several)
+        return cold.unionByName(df.join(F.broadcast(hot), same, "left_semi").withColumn(name, F.lit(True)))
+    prev = with_previous(df, keys, order or keys, F.lit(True), "_prev", hot_rows, hot)
     return prev.withColumn(name, F.col("_prev").isNotNull()).drop("_prev")
 
 

@@ -554,8 +554,9 @@ select cast(count_if(n > 1) as bigint) as n_flag_all, cast(count_if(rn > 1) as b
 """, ("W3", "A19"))
 def w03_duplicate_flags(spark, d):
     dup = fx.with_second_copies(full(spark, d)).select(*DUP_KEYS_FIVE, "ClaimID")
-    a = windows.flag_duplicates(dup, DUP_KEYS_FIVE, keep=False, name="flag_all")
-    b = windows.flag_duplicates(a, DUP_KEYS_FIVE, keep="first", order=["ClaimID"], name="flag_later")
+    hot = windows.hot_keys(dup, DUP_KEYS_FIVE, windows.HOT_ROWS)
+    a = windows.flag_duplicates(dup, DUP_KEYS_FIVE, keep=False, name="flag_all", hot=hot)
+    b = windows.flag_duplicates(a, DUP_KEYS_FIVE, keep="first", order=["ClaimID"], name="flag_later", hot=hot)
     return b.agg(F.count_if("flag_all").cast("bigint").alias("n_flag_all"),
                  F.count_if("flag_later").cast("bigint").alias("n_flag_later"))
 
@@ -578,8 +579,9 @@ select ClaimID, {", ".join(DUP_KEYS_FIVE)}, n > 1 as flag_all, rn > 1 as flag_la
 """, "W3")
 def w03_duplicate_rows(spark, d):
     dup = fx.with_second_copies(full(spark, d)).select("ClaimID", *DUP_KEYS_FIVE)
-    a = windows.flag_duplicates(dup, DUP_KEYS_FIVE, keep=False, name="flag_all")
-    return windows.flag_duplicates(a, DUP_KEYS_FIVE, keep="first", order=["ClaimID"], name="flag_later")
+    hot = windows.hot_keys(dup, DUP_KEYS_FIVE, windows.HOT_ROWS)
+    a = windows.flag_duplicates(dup, DUP_KEYS_FIVE, keep=False, name="flag_all", hot=hot)
+    return windows.flag_duplicates(a, DUP_KEYS_FIVE, keep="first", order=["ClaimID"], name="flag_later", hot=hot)
 
 
 @query("w04_first_claim_per_patient", """

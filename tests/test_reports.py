@@ -61,6 +61,26 @@ def test_duplicates_null_equals_null(spark):
     assert sorted(r.f for r in flags.collect()) == [False, True, True]
 
 
+def test_both_duplicate_flags_shuffle_the_rows_once(spark):
+    rows = [(k, v, i) for i, (k, v) in enumerate([("a", 1), ("a", 1), ("a", None), (None, 1), (None, 1), ("b", 2), ("a", 1), (None, None)])]
+    rows += [("hot", i % 2, 100 + i) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, v int, i int")
+    found = [sorted(tuple(r) for r in W.hot_keys(df, ["k", "v"], n).collect()) for n in (20, 1000)]
+    assert found == [[("hot", 0), ("hot", 1)], []]
+    for hot_rows in (20, 1000, 0):
+        flagged = W.flag_duplicates(df, ["k", "v"], keep=False, name="every", hot_rows=hot_rows)
+        flagged = W.flag_duplicates(flagged, ["k", "v"], keep="first", order=["i"], name="later", hot_rows=hot_rows)
+        if hot_rows == 1000:
+            plan = flagged._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+        seen, want = {}, {}
+        for k, v, i in rows:
+            seen.setdefault((k, v), []).append(i)
+        for members in seen.values():
+            want |= {i: (len(members) > 1, i > min(members)) for i in members}
+        assert {r.i: (r.every, r.later) for r in flagged.collect()} == want
+
+
 def test_duplicate_label_split_denominator_includes_unlabelled(spark):
     df = spark.createDataFrame([("a", "Yes"), ("a", None), ("b", "No"), ("c", "No"), ("c", "No")], "k string, PotentialFraud string")
     out = {r.PotentialFraud: (r["count"], r.percent) for r in R.duplicate_label_split(df, ["k"]).collect()}
