@@ -18,6 +18,8 @@ Vertices are ``(id, type)``, edges ``(src, dst, ...)``.  Iterative algorithms
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ from claimscope.functions.values import (
     VERTEX_PATIENT,
     VERTEX_PROVIDER,
 )
+from claimscope.operators.windows import hot_keys
 from claimscope.session import ensure_checkpoint_dir
 
 HUB_EDGES = 100_000  # a vertex with more neighbours is cut into parts of about this many
@@ -159,22 +162,25 @@ class HubCut:
 
     def __init__(self, edges: DataFrame, key: str, other: str, hub_edges: int = HUB_EDGES) -> None:
         n = _partitions(edges)
-        ensure_checkpoint_dir(edges.sparkSession)
         self.key, self.heavy = key, None
         self.edges = edges.persist()
-        fans = self.edges.groupBy(key).agg(F.count(F.lit(1)).alias("fan"), F.sum("m").alias("deg"))
-        self.degrees = fans.repartition(n, key).persist()
-        fans = self.degrees.where(F.col("fan") > hub_edges)
-        hubs = fans.select(key, F.ceil(F.col("fan") / hub_edges).alias("parts")).checkpoint()
-        found = hubs.count()
+        hubs = hot_keys(self.edges, [key], hub_edges).withColumnRenamed("_k0", key)
         rest = self.edges
-        if found:
-            self.hubs = F.broadcast(hubs) if found <= BROADCAST_HUBS else hubs
+        if not hubs.isEmpty():
+            fans = self.edges.join(hubs, key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("fan"))
+            hubs = fans.select(key, F.ceil(F.col("fan") / hub_edges).alias("parts")).checkpoint()
+            self.hubs = F.broadcast(hubs) if hubs.count() <= BROADCAST_HUBS else hubs
             rest = rest.join(self.hubs, key, "left_anti")
             heavy = self.edges.join(self.hubs, key).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")))
             self.heavy = heavy.drop("parts").repartition(n, key, "part").persist()
         self.light = rest.repartition(n, key).persist()
 
+    def degrees(self) -> DataFrame:
+        """``id`` and ``deg`` (sum of ``m``) of every key vertex; ordinary ones are counted where their edges lie."""
+        sides = [self.light] if self.heavy is None else [self.light, self.heavy]
+        sums = [x.groupBy(F.col(self.key).alias("id")).agg(F.sum("m").alias("deg")) for x in sides]
+        return reduce(DataFrame.unionByName, sums)
+
     def sent(self, state: DataFrame) -> DataFrame:
         """Every edge with the columns of its key vertex in ``state`` (``id``, ...)."""
         own = state.withColumnRenamed("id", self.key)
@@ -186,7 +192,7 @@ class HubCut:
         return out.unionByName(hot.select(*out.columns))
 
     def release(self) -> None:
-        for df in (self.light, self.heavy, self.degrees, self.edges):
+        for df in (self.light, self.heavy, self.edges):
             if df is not None:
                 df.unpersist()
 
@@ -203,9 +209,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, iters:
         F.count(F.lit(1)).alias("m")
     )
     cut = HubCut(pairs, "src", "dst", hub_edges)
-    outdeg = cut.degrees.select(F.col("src").alias("id"), "deg")
     ids = vertices.select("id").where(F.col("id").isNotNull()).distinct()
-    ids = ids.repartition(n, "id").join(outdeg, "id", "left").persist()
+    ids = ids.repartition(n, "id").join(cut.degrees(), "id", "left").persist()
     ranks = ids.withColumn("rank", F.lit(1.0))
     for i in range(1, iters + 1):
         shares = ranks.select("id", (F.col("rank") / F.col("deg")).alias("share"))
@@ -222,20 +227,22 @@ def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = 0.15, iters:
 
 
 # G9
-def label_propagation(vertices: DataFrame, edges: DataFrame, iters: int = 5, checkpoint_every: int = 3,
+def label_propagation(vertices: DataFrame, edges: DataFrame, iters: int = 5, checkpoint_every: int = 1,
                       hub_edges: int = HUB_EDGES) -> DataFrame:
     """Synchronous label propagation over both edge directions: each round a
     vertex takes the label carried by most of its edges (parallel edges
     count), ties to the smallest label; vertices without edges keep their
-    own id as label."""
+    own id as label.  A round reads its labels twice (to send them and to keep
+    those of vertices without messages), so they are written every round."""
     n = _partitions(edges)
-    both = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(
-        F.inline(F.array(
-            F.struct(F.col("src").alias("v"), F.col("dst").alias("nbr")),
-            F.struct(F.col("dst").alias("v"), F.col("src").alias("nbr")),
-        ))
-    )
-    cut = HubCut(both.groupBy("v", "nbr").agg(F.count(F.lit(1)).alias("m")), "nbr", "v", hub_edges)
+    ends = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    pairs = ends.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+    # a pair that occurs both ways (or joins a vertex to itself) gives two rows, whose messages are added up
+    both = pairs.select(F.inline(F.array(
+        F.struct(F.col("src").alias("v"), F.col("dst").alias("nbr"), "m"),
+        F.struct(F.col("dst").alias("v"), F.col("src").alias("nbr"), "m"),
+    )))
+    cut = HubCut(both, "nbr", "v", hub_edges)
     ids = vertices.select("id").where(F.col("id").isNotNull()).distinct().repartition(n, "id").persist()
     labels = ids.withColumn("label", F.col("id"))
     for i in range(1, iters + 1):

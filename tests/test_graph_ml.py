@@ -71,6 +71,31 @@ def test_hubs_are_cut_without_changing_ranks_or_labels(spark):
     assert labels[0] == labels[1]
 
 
+def test_label_propagation_writes_its_labels_every_round(spark, monkeypatch):
+    cuts, cut = [], G._cut
+
+    def counted(df, *args):
+        out = cut(df, *args)
+        cuts.append(out is not df)
+        return out
+
+    monkeypatch.setattr(G, "_cut", counted)
+    rng = np.random.default_rng(9)
+    # both directions, edges to oneself and parallel edges
+    pairs = [(f"v{a}", f"v{b}") for a, b in rng.integers(0, 12, (60, 2))] + [("v1", "v1"), ("v1", "v2"), ("v2", "v1")]
+    labels = {f"v{i}": f"v{i}" for i in range(12)}
+    v = spark.createDataFrame([(x, "t") for x in labels], "id string, type string")
+    got = {r.id: r.label for r in G.label_propagation(v, edges_df(spark, pairs), iters=4).collect()}
+    assert cuts == [True] * 4
+    for _ in range(4):
+        votes = {x: {} for x in labels}
+        for a, b in pairs:
+            for x, y in ((a, b), (b, a)):
+                votes[x][labels[y]] = votes[x].get(labels[y], 0) + 1
+        labels = {x: min(c, key=lambda k: (-c[k], k)) if (c := votes[x]) else labels[x] for x in labels}
+    assert got == labels
+
+
 def test_star_lies_in_all_partitions(spark):
     n = 50_000
     star = spark.range(n).select(F.lit("hub").alias("src"), F.col("id").cast("string").alias("dst"), F.lit(1).alias("m"))
