@@ -124,7 +124,7 @@ def _m2_sql() -> str:
 
 @query("m02_features_b", _m2_sql(), ("M2", "P11", "P8", "P4", "F3"))
 def m02_features_b(spark, d):
-    return FE.features_b(claims(spark, d))
+    return saved(FE.features_b(claims(spark, d)))
 
 
 _C_NUM = ["InscClaimAmtReimbursed", "DeductibleAmtPaid", "Gender", "Race", "RenalDiseaseIndicator", "State",

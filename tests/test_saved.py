@@ -63,3 +63,17 @@ def test_saved_keeps_rows_and_columns(spark):
     out = saved(df)
     assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
     assert saved(df.where("a > 5")).count() == 0
+
+
+def test_features_b_are_worked_out_once(spark, monkeypatch):
+    from claimscope.plans import model_queries as MQ
+
+    rows = [("r1", "Yes", "12", None, 3), ("r2", None, "x", 2.5, None)]
+    own = spark.createDataFrame(rows, "RowID string, PotentialFraud string, State string, ratio double, Race int")
+    monkeypatch.setattr(MQ, "claims", lambda spark, d: own)
+    out = MQ.m02_features_b(spark, "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Project" not in plan and plan.count("Relation") == 1  # only written rows are read
+    got = {r.RowID: r.asDict() for r in out.collect()}
+    assert got["r1"] == {"RowID": "r1", "FraudLabel": 1, "State": 12.0, "ratio": 0.0, "Race": 3.0}
+    assert got["r2"] == {"RowID": "r2", "FraudLabel": None, "State": 0.0, "ratio": 2.5, "Race": 0.0}
