@@ -29,7 +29,7 @@ LENGTH, END_ID = 4096, 2
 DIMS, BITS = 4, 12
 _SEPARATOR = "\x01"  # a word that no other text yields once texts that hold it are encoded by themselves
 _PART = 512  # pieces encoded in one call; longer strings fall out of the processor's cache
-_KNOWN_WORDS = 300_000  # pieces in a worker's memory; beyond, it starts anew and keeps those still in use
+_KNOWN_WORDS = 600_000  # pieces in a worker's memory; beyond, it starts anew and keeps those still in use
 #: Letters whose lower case is one letter and that no normal form changes: Latin up to U+017F, less one whose lower
 #: case holds a mark.
 _LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
@@ -66,6 +66,7 @@ class WordEncoder:
         self.stops = {c: np.array(self._ids(c), "<u2").tobytes() for c in ".,"}
         self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}  # what was known until the memory last started anew
+        self.cores: dict[str, bytes] = {}  # runs of Latin letters in lower case, at most as many as pieces
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -74,17 +75,19 @@ class WordEncoder:
         """A stop or comma after a letter or digit is a word of the tokenizer by itself, and its words have no case, so
         ``The``, ``the,`` and ``the.`` are looked up as ``the``.  A run of Latin letters is one word for the
         tokenizer's model; other runs of letters end with an id that ends a word; the rest is set apart by a separator."""
-        one, more, fresh = [], [], {}
+        one, more, cores = [], [], self.cores
         known, tokenize, two_bytes, stops = self.known, self.model.tokenize, self.two_bytes, self.stops
         for w in words:
-            stop = stops.get(w[-1], b"") if w[-2:-1].isalnum() else b""
-            core = w[:-1] if stop else w
-            if core.isalpha() and (core.isascii() or _LATIN(core)):
+            core, stop, letters = w, b"", w.isalpha()
+            if not letters and w[-1] in stops and w[-2:-1].isalnum():
+                core, stop = w[:-1], stops[w[-1]]
+                letters = core.isalpha()
+            if letters and (core.isascii() or _LATIN(core)):
                 core = core.lower()
-                ids = fresh.get(core) or known.get(core)
+                ids = cores.get(core)
                 if ids is None:
                     seen = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTE_SIGNS)
-                    ids = fresh[core] = b"".join([two_bytes[x.id] for x in tokenize(seen)])
+                    ids = cores[core] = b"".join([two_bytes[x.id] for x in tokenize(seen)])
                 known[w] = ids + stop
             elif w.isalpha() and "\u0130" not in w:  # its lower case holds a mark
                 one.append(w)
@@ -111,22 +114,18 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]  # other white space stays inside a piece
-        rows = [list(map(self.known.get, s)) for s in split]
-        gaps = [(k, [i for i, x in enumerate(r) if x is None]) for k, r in enumerate(rows) if None in r]
-        new = {split[k][i] for k, at in gaps for i in at}
+        pieces = set().union(*split)
+        new = pieces.difference(self.known)
         if new:
             if len(self.known) + len(new) > _KNOWN_WORDS:
-                self.before, self.known = self.known, {"": b""}
+                self.before, self.known, self.cores, new = self.known, {"": b""}, {}, pieces - {""}
             if self.before:
                 again = [w for w in new if w in self.before]
                 self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
                 new.difference_update(again)
             self._learn(list(new))
-            for k, at in gaps:
-                row, pieces = rows[k], split[k]
-                for i in at:
-                    row[i] = self.known[pieces[i]]
-        return [b"".join(r) for r in rows]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, s)) for s in split]
 
 
 @lru_cache(maxsize=4)

@@ -207,6 +207,26 @@ def test_encoder_equals_the_tokenizer():
     assert encoder.encode(texts) == want and encoder.encode(texts) == want
 
 
+def test_encoder_looks_a_word_up_once_for_all_its_forms(monkeypatch):
+    import claimscope.llm.packing as P
+
+    encoder = WordEncoder(tokenizer_path())
+    model, asked = encoder.model, []
+
+    class Counted:
+        def tokenize(self, word):
+            asked.append(word)
+            return model.tokenize(word)
+
+    encoder.model = Counted()
+    want = [encoder._ids("Alpha, b\u00e9ta"), encoder._ids("alpha B\u00c9TA. ALPHA.")]
+    got = [np.frombuffer(encoder.encode([t])[0], "<u2").tolist() for t in ("Alpha, b\u00e9ta", "alpha B\u00c9TA. ALPHA.")]
+    assert got == want and len(asked) == 2
+    monkeypatch.setattr(P, "_KNOWN_WORDS", 6)  # the memory starts anew in the middle of a text's words
+    for text in ("alpha gamma delta", "alpha  epsilon, gamma zeta", "b\u00e9ta alpha 12 $$ eta"):
+        assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == encoder._ids(text)
+
+
 def test_hilbert_neighbours_touch():
     side = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     order = side[np.argsort(hilbert_keys(side, 3))]
