@@ -135,6 +135,8 @@ def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
         for empty in common.CACHES:
             empty()
         yield from task(batches)
+        for empty in common.CACHES:  # Spark deals tasks to idle workers in turn, and each would keep its own
+            empty()
         common.hand_back()
 
     return run

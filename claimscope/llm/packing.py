@@ -29,7 +29,7 @@ LENGTH, END_ID = 4096, 2
 DIMS, BITS = 4, 12
 _SEPARATOR = "\x01"  # a word that no other text yields once texts that hold it are encoded by themselves
 _PART = 512  # pieces encoded in one call; longer strings fall out of the processor's cache
-_KNOWN_WORDS = 600_000  # pieces in a worker's memory; beyond, it starts anew and keeps those still in use
+_KNOWN_WORDS = 600_000  # pieces in a worker's memory; beyond, it starts anew and keeps those still in use (some 180 MB)
 #: Letters whose lower case is one letter and that no normal form changes: Latin up to U+017F, less one whose lower
 #: case holds a mark.
 _LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+").fullmatch
@@ -51,9 +51,10 @@ class WordEncoder:
     blanks and line feeds in order.  Pieces not met before are encoded together in one call, with a separator.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_words: int = _KNOWN_WORDS):
         from tokenizers import Tokenizer
 
+        self.known_words = known_words
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= 1 << 16:
@@ -117,7 +118,7 @@ class WordEncoder:
         pieces = set().union(*split)
         new = pieces.difference(self.known)
         if new:
-            if len(self.known) + len(new) > _KNOWN_WORDS:
+            if len(self.known) + len(new) > self.known_words:
                 self.before, self.known, self.cores, new = self.known, {"": b""}, {}, pieces - {""}
             if self.before:
                 again = [w for w in new if w in self.before]
@@ -129,8 +130,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, known_words: int) -> WordEncoder:
+    return WordEncoder(path, known_words)
 
 
 CACHES.append(_encoder.cache_clear)  # only encoding needs it
@@ -179,14 +180,14 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int, known_words: int = _KNOWN_WORDS, lasting: bool = True) -> DataFrame:
     """``__cs_id``, ``__cs_key``, ``__cs_th``, ``curve`` (Hilbert key), ``n`` (tokens with the end) and ``ids``."""
     keyed = keyed_texts(docs, id_col, text_col)
     out = T.StructType([f for f in keyed.schema if f.name != "__cs_text"] + [T.StructField("curve", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
     end = np.array([end_id], "<u2").tobytes()
 
     def encode(batches):
-        encoder = _encoder(path)
+        encoder = _encoder(path, known_words)
         for b in batches:
             kept = [c for c in b.schema.names if c != "__cs_text"]
             for i, j, texts in column_chunks(b.column("__cs_text")):
@@ -198,17 +199,18 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int)
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(hilbert_keys(points)), pa.array(np.diff(edges) + 1), pa.array([x + end for x in rows], pa.binary())], names=[*kept, "curve", "n", "ids"])
 
-    return keyed.mapInArrow(encode, out)
+    return keyed.mapInArrow(encode if lasting else lean(encode), out)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True, known_words: int = _KNOWN_WORDS, lasting: bool = True) -> DataFrame:
     """One row for each piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``
     and, unless ``with_ids`` is false, ``ids`` (16-bit little-endian).
 
     A null or empty text is the end id alone.  Repeated rows are packed as often as they occur.  An empty table
-    gives an empty result.
+    gives an empty result.  A worker remembers the ids of about ``known_words`` pieces of text and, if ``lasting``,
+    keeps them for its next task; fewer, and no longer, cost time but leave memory to others.
     """
-    src = written(encoded(docs, id_col, text_col, path or tokenizer_path(), end_id), "encoded")
+    src = written(encoded(docs, id_col, text_col, path or tokenizer_path(), end_id, known_words, lasting), "encoded")
     ordered = src.repartitionByRange("curve", "__cs_key", TEXT_HASH).sortWithinPartitions("curve", "__cs_key", TEXT_HASH)
     longs = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     out = T.StructType([T.StructField(id_col, src.schema["__cs_id"].dataType), *[T.StructField(c, T.LongType()) for c in longs]] + ([T.StructField("ids", T.BinaryType())] if with_ids else []))

@@ -207,9 +207,7 @@ def test_encoder_equals_the_tokenizer():
     assert encoder.encode(texts) == want and encoder.encode(texts) == want
 
 
-def test_encoder_looks_a_word_up_once_for_all_its_forms(monkeypatch):
-    import claimscope.llm.packing as P
-
+def test_encoder_looks_a_word_up_once_for_all_its_forms():
     encoder = WordEncoder(tokenizer_path())
     model, asked = encoder.model, []
 
@@ -222,11 +220,34 @@ def test_encoder_looks_a_word_up_once_for_all_its_forms(monkeypatch):
     want = [encoder._ids("Alpha, b\u00e9ta"), encoder._ids("alpha B\u00c9TA. ALPHA.")]
     got = [np.frombuffer(encoder.encode([t])[0], "<u2").tolist() for t in ("Alpha, b\u00e9ta", "alpha B\u00c9TA. ALPHA.")]
     assert got == want and len(asked) == 2
-    monkeypatch.setattr(P, "_KNOWN_WORDS", 6)  # the memory starts anew in the middle of a text's words
+    encoder.known_words = 6  # the memory starts anew in the middle of a text's words
     for text in ("alpha gamma delta", "alpha  epsilon, gamma zeta", "b\u00e9ta alpha 12 $$ eta"):
         assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == encoder._ids(text)
 
 
+def test_lean_tasks_leave_no_encoder_behind(monkeypatch):
+    import claimscope.llm.common as C
+    import claimscope.llm.packing as P
+
+    held = []
+    monkeypatch.setattr(C, "hand_back", lambda: held.append(P._encoder.cache_info().currsize))
+
+    def task(batches):
+        for b in batches:
+            yield P._encoder(tokenizer_path(), 50).encode(b)
+
+    assert [len(x) for x in C.lean(task)([["one two", None or ""]])] == [2]
+    assert held == [0]
+
+
+@pytest.mark.parametrize("how", [{"known_words": 5, "lasting": False}, {"known_words": 5}])
+def test_packing_is_the_same_with_little_memory(docs_of, how):
+    rng = random.Random(8)
+    docs = docs_of([(i, words(rng, rng.randint(0, 80))) for i in range(40)] + [(40, None)])
+    want, got = (sorted(map(tuple, pack(docs, length=64, **x).collect())) for x in ({}, how))
+    assert want == got
+
+
 def test_hilbert_neighbours_touch():
     side = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     order = side[np.argsort(hilbert_keys(side, 3))]
