@@ -5,7 +5,7 @@ the same columns by fixed rules so that every operator can be checked.  The
 rules are those agreed in FIXTURES.md and are mirrored, as SQL text, by
 ``claimscope.plans.fixture_sql`` for the DuckDB twin.
 
-All readers return lazy DataFrames: Catalyst prunes each scan to the columns a
+All readers return lazy DataFrames (the claims' join only counts its rows beforehand): Catalyst prunes each scan to the columns a
 report uses and pushes filters into the parquet reader.
 """
 
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from claimscope.functions.values import CHRONIC_CONDITIONS, N_DIAGNOSIS, N_PROCEDURE
 
+#: Rows of line items and orders together that one task of their join takes.
+PART_ROWS = 250_000
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -25,6 +28,21 @@ def _id(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix), key.cast("string"))
 
 
+def _dealt(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables dealt by the key of their join, ``PART_ROWS`` rows of the two a task.
+
+    Spark raises the number to its own of shuffle partitions.  Where that would leave under a quarter of the rows to
+    a task, or keep no more tasks busy than there are cores, Spark chooses by itself.  With more rows it would put
+    neighbouring parts together up to 64 packed MB, or broadcast a table whose file is packed well, so what one task
+    holds would grow with the tables.  The rows are counted from the files' footers."""
+    spark = left.sparkSession
+    number = -(-left.select(F.lit(1)).unionAll(right.select(F.lit(1))).count() // PART_ROWS)
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if number <= max(spark.sparkContext.defaultParallelism, own // 4):
+        return left.repartition(left_key), right
+    return left.repartition(number, left_key), right.repartition(number, right_key).hint("merge")
+
+
 def claims_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim per line item (``lineitem`` joined to ``orders``)."""
     li = _table(spark, sf_dir, "lineitem").select(
@@ -33,7 +51,8 @@ def claims_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     od = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     # dealt by the key that the join needs: the same shuffle as a sort-merge join's own, and a file with a single
     # row group does not keep all later work in one task
-    j = li.repartition("l_orderkey").join(od, li.l_orderkey == od.o_orderkey)
+    li, od = _dealt(li, "l_orderkey", od, "o_orderkey")
+    j = li.join(od, li.l_orderkey == od.o_orderkey)
 
     pk = F.col("l_partkey")
     ln = F.col("l_linenumber")
