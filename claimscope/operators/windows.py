@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimscope.session import ensure_checkpoint_dir, short_methods
+from claimscope.session import ensure_checkpoint_dir, short_methods, small_tasks
 
 #: Rows of the set of repeated hashes (8 bytes each) up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -105,13 +105,19 @@ def overlap_count(claims: DataFrame) -> DataFrame:
     the previous (start, end) group - whose end is that group's end.  So the
     count needs a partial aggregation per (patient, start, end) and a ``lag``
     over the distinct date pairs of a patient, which the calendar bounds
-    (a patient with billions of claims still has at most days x days pairs)."""
+    (a patient with billions of claims still has at most days x days pairs).
+
+    The groups are counted when the operator is applied, in tasks whose size
+    does not grow with the claims; the result is one row."""
     g = claims.groupBy("BeneID", "ClaimStartDt", "ClaimEndDt").agg(F.count(F.lit(1)).alias("n"))
     prev_end = F.lag("ClaimEndDt").over(Window.partitionBy("BeneID").orderBy("ClaimStartDt", "ClaimEndDt"))
     g = g.withColumn("prev_end", prev_end)
     first = F.coalesce((F.col("ClaimStartDt") <= F.col("prev_end")).cast("bigint"), F.lit(0))
     rest = F.coalesce((F.col("ClaimStartDt") <= F.col("ClaimEndDt")).cast("bigint"), F.lit(0)) * (F.col("n") - 1)
-    return g.agg(F.coalesce(F.sum(first + rest), F.lit(0)).cast("bigint").alias("overlap_count"))
+    count = g.agg(F.coalesce(F.sum(first + rest), F.lit(0)).cast("bigint").alias("overlap_count"))
+    ensure_checkpoint_dir(claims.sparkSession)
+    with small_tasks(claims.sparkSession):
+        return count.checkpoint()
 
 
 def overlap_count_window(claims: DataFrame) -> DataFrame:

@@ -74,6 +74,27 @@ def short_methods(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_METHOD_LIMIT_KEY, own)
 
 
+#: What a task of ``small_tasks`` reads of a shuffle, packed.
+TASK_BYTES = "8m"
+
+
+@contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """For the jobs run inside: neighbouring shuffle partitions are put together
+    up to ``TASK_BYTES`` only, so that a task's hash map or sort stays small.
+    The session's own setting is put back."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    own = spark.conf.get(key, None) if key in dict(spark.conf.getAll) else None
+    spark.conf.set(key, TASK_BYTES)
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, own)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: the work
     before it is done once, as with a checkpoint, but the columns are packed
