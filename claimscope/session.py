@@ -84,7 +84,7 @@ def small_tasks(spark: SparkSession) -> Iterator[None]:
     up to ``TASK_BYTES`` only, so that a task's hash map or sort stays small.
     The session's own setting is put back."""
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    own = spark.conf.get(key, None) if key in dict(spark.conf.getAll) else None
+    own = spark.conf.get(key, None)
     spark.conf.set(key, TASK_BYTES)
     try:
         yield
