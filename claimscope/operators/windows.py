@@ -21,6 +21,8 @@ from claimscope.session import ensure_checkpoint_dir, short_methods, small_tasks
 #: Rows of the set of repeated hashes (8 bytes each) up to which it is broadcast.
 BROADCAST_ROWS = 1_000_000
 COPY_BLOCK = 100_000
+#: Size of the bitmap that stands for a larger set (32 MB).
+BITMAP_BITS = 28
 #: Rows of one key beyond which it is cut into ordered parts of this size.
 HOT_ROWS = 1_000_000
 #: Groups of keys that are counted first when keys of many rows are looked for.
@@ -166,6 +168,19 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     return agg.select(*key, "_r.*")
 
 
+def _marked(df: DataFrame, col: str, values: DataFrame) -> DataFrame:
+    """Adds ``_marked``: false only where the bigint ``col`` is surely not among ``values`` (same column).
+    The values' low ``BITMAP_BITS`` bits are broadcast as a bitmap, in pieces of 4096 bytes."""
+    low = F.pmod(F.col(col), F.lit(1 << BITMAP_BITS))
+    pieces = values.select(low.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    at = df.withColumn("_at", low).withColumns({"_piece": F.bitmap_bucket_number("_at"), "_at": F.bitmap_bit_position("_at")})
+    byte = "cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)"
+    bit = F.expr(f"(shiftright({byte}, cast(_at % 8 as int)) & 1) = 1")
+    found = at.join(F.broadcast(pieces), "_piece", "left")  # at most 2 ** (BITMAP_BITS - 15) pieces
+    return found.select(*df.columns, F.coalesce(bit, F.lit(False)).alias("_marked"))
+
+
 # W6
 def with_row_id(df: DataFrame, keys: Sequence[str] | None = None, name: str = "RowID") -> DataFrame:
     """Stable unique row key: md5 of the key columns (all columns by default),
@@ -178,8 +193,9 @@ def with_row_id(df: DataFrame, keys: Sequence[str] | None = None, name: str = "R
     array.  ``keys`` must determine the other columns.
     Unlike a position-based id it is the same on every recomputation, so joins
     on it survive task retries.  The set of repeated hashes is counted when
-    the operator is applied: it is broadcast up to ``BROADCAST_ROWS`` rows and
-    joined by a shuffle beyond."""
+    the operator is applied: it is broadcast up to ``BROADCAST_ROWS`` rows.
+    Beyond, a bitmap of fixed size is broadcast, and only rows whose bit is set
+    are shuffled to be looked up."""
     keys = list(keys or df.columns)
     cols = df.columns
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("␀")) for k in keys]
@@ -192,8 +208,13 @@ def with_row_id(df: DataFrame, keys: Sequence[str] | None = None, name: str = "R
     found = repeated.count()
     if not found:
         return df.withColumn(name, row_id(F.lit("1")))
-    side = F.broadcast(repeated) if found <= BROADCAST_ROWS else repeated
-    single = short.join(side, "_s", "left_anti").withColumn(name, row_id(F.lit("1")))
+    if found <= BROADCAST_ROWS:
+        side, alone = F.broadcast(repeated), None
+    else:
+        marked = _marked(short, "_s", repeated)
+        side, alone, short = repeated, marked.where("not _marked").select(*short.columns), marked.where("_marked").select(*short.columns)
+    single = short.join(side, "_s", "left_anti")
+    single = (single if alone is None else single.select(*alone.columns).unionByName(alone)).withColumn(name, row_id(F.lit("1")))
     copied = short.join(side, "_s", "left_semi").withColumn("_h", F.md5(F.concat_ws("|", *parts)))
     groups = copied.groupBy("_h", *cols).agg(F.count(F.lit(1)).alias("_n"))
     # different rows whose text is the same go on numbering where the one before ended

@@ -25,6 +25,7 @@ from claimscope.operators import cleanup, reports as R, reshape, stats, windows
 from claimscope.operators.claims import union_claims, valid_stay, with_length_of_stay
 from claimscope.operators.features import ROW_ID_COLS
 from claimscope.plans.base import query, rounded
+from claimscope.session import saved
 from claimscope.plans.sqlgen import (
     age_group_sql,
     box_sql,
@@ -650,6 +651,7 @@ select {row_id_sql(ROW_ID_COLS)} as RowID, ClaimID, cast(ClaimEndDt - ClaimStart
 """, ("J9", "W6", "X3"))
 def j09_join_on_row_id(spark, d):
     c = windows.with_row_id(fx.with_second_copies(full(spark, d)), ROW_ID_COLS)
+    c = saved(c.select("RowID", "ClaimID", "ClaimStartDt", "ClaimEndDt"))  # keyed once for both sides
     stay = with_length_of_stay(c).select("RowID", "LengthOfStay")
     return cleanup.join_on_row_id(c.select("RowID", "ClaimID"), stay)
 

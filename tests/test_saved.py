@@ -77,3 +77,26 @@ def test_features_b_are_worked_out_once(spark, monkeypatch):
     got = {r.RowID: r.asDict() for r in out.collect()}
     assert got["r1"] == {"RowID": "r1", "FraudLabel": 1, "State": 12.0, "ratio": 0.0, "Race": 3.0}
     assert got["r2"] == {"RowID": "r2", "FraudLabel": None, "State": 0.0, "ratio": 2.5, "Race": 0.0}
+
+
+def test_row_ids_with_many_repeated_rows_shuffle_few(spark, monkeypatch):
+    """More repeated rows than are broadcast: the ids of before, and rows whose bit is not set are not joined by a shuffle."""
+    from claimscope.operators import windows
+
+    df = spark.range(4000).select((F.col("id") % 3700).alias("n"), F.when(F.col("id") % 5 > 0, F.col("id") % 100).cast("string").alias("t"))
+    want = sorted(map(tuple, windows.with_row_id(df).collect()), key=str)
+    monkeypatch.setattr(windows, "BROADCAST_ROWS", 10)
+    got = windows.with_row_id(df)
+    assert sorted(map(tuple, got.collect()), key=str) == want and len({r[-1] for r in want}) == 4000
+    values = spark.range(0, 60_000, 7).select((F.xxhash64("id")).alias("_s"))
+    rows = spark.range(60_000).select(F.col("id"), F.xxhash64("id").alias("_s"))
+    marked = {r.id: r._marked for r in windows._marked(rows, "_s", values).collect()}
+    assert all(marked[i] for i in range(0, 60_000, 7))
+    assert sum(marked.values()) < 8572 + 50  # about two of a hundred thousand by chance
+
+
+def test_join_on_row_id_keys_the_rows_once(spark, sf_small):
+    from claimscope.plans.registry import queries
+
+    plan = queries()["j09_join_on_row_id"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan and plan.count("Relation") == 2
