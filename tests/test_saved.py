@@ -100,3 +100,15 @@ def test_join_on_row_id_keys_the_rows_once(spark, sf_small):
 
     plan = queries()["j09_join_on_row_id"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and "l_orderkey" not in plan and plan.count("Relation") == 2
+
+
+def test_claims_of_variant_d_are_keyed_once(spark, sf_small, monkeypatch):
+    from claimscope.plans import model_queries as MQ
+
+    seen = []
+    monkeypatch.setattr(MQ.TX, "tfidf", lambda docs, *a, **k: seen.append(docs) or docs)
+    monkeypatch.setattr(MQ.TX, "svd_topics", lambda w, key, n: w.select(key, F.length("DiagDoc").cast("double").alias("DiagTopic_1")))
+    plans = [MQ.m04_features_d(spark, sf_small), seen[0], MQ.topics(spark, sf_small), seen[1]]
+    for df in plans:  # the claims' join is behind them
+        assert "l_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert plans[0].count() == MQ.m04_features_d_base(spark, sf_small).count() > 0
